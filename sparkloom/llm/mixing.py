@@ -74,8 +74,8 @@ def mix(docs: DataFrame, size_sql: str, weights: tuple[float, ...] = (5.0, 2.0,
     A source's rate is target / source_size. A row is taken floor(rate) times, and once more if its fraction is
     rounded up. Fractions are rounded by weighted pivots in groups of about GROUP rows dealt by a hash; the one unit
     that stays open in a group meets those of GROUP other groups on the next level, until a source has one open unit,
-    which a draw decides. So a source's words miss its target by one row's size at most, no group is large (a hot
-    source has more groups), and draws are hashes of ids: reruns agree. Rows with the same id are handled each; a
+    which a draw decides. Groups go from large to small rows, so the unit that stays open is a small one, and a
+    source's words miss its target by less than its size. No group is large (a hot source has more groups), and draws are hashes of ids: reruns agree. Rows with the same id are handled each; a
     null id counts as one id. Rows of size 0 and fractions of 0 need no draw. A null source is a source.
     """
     prepare(docs.sparkSession)
@@ -96,7 +96,7 @@ def mix(docs: DataFrame, size_sql: str, weights: tuple[float, ...] = (5.0, 2.0,
     # The rows' hash deals them; groups' numbers are divided by GROUP from level to level.
     groups = F.ceil(F.col("n") / GROUP).cast("long")
     openings = rows.filter((F.col("size") > 0) & (F.col("p") > 0)).select(
-        "k", *facts, "base", F.pmod(F.xxhash64("id", F.lit(SEED + 1)), groups).alias("bucket"), F.struct(F.xxhash64("id", F.lit(SEED + 2)).alias("h"), "id", F.col("size").cast("double").alias("size"), "p").alias("unit")
+        "k", *facts, "base", F.pmod(F.xxhash64("id", F.lit(SEED + 1)), groups).alias("bucket"), F.struct((-F.col("size")).cast("double").alias("less"), F.xxhash64("id", F.lit(SEED + 2)).alias("h"), "id", F.col("size").cast("double").alias("size"), "p").alias("unit")
     )
     keys = ["k", *facts, "base", "bucket"]
     parts, most_groups, level = [settled], max(1, -(-(most_rows or 1) // GROUP)), 0
@@ -107,7 +107,7 @@ def mix(docs: DataFrame, size_sql: str, weights: tuple[float, ...] = (5.0, 2.0,
         if most_groups == 1:
             break
         most_groups, level = -(-most_groups // GROUP), level + 1
-        unit = F.struct(F.xxhash64("acc.c.id", F.lit(SEED + 2)).alias("h"), "acc.c.id", "acc.c.size", "acc.c.p")
+        unit = F.struct((-F.col("acc.c.size")).alias("less"), F.xxhash64("acc.c.id", F.lit(SEED + 2)).alias("h"), "acc.c.id", "acc.c.size", "acc.c.p")
         openings = folded.select("k", *facts, "base", F.expr(f"bucket div {GROUP}").alias("bucket"), unit.alias("unit"))
     draw = F.expr(f"(xxhash64(acc.c.id, {SEED + 3}) & 9007199254740991) / 9007199254740992D")
     parts.append(folded.select(F.col("acc.c.id").alias("id"), F.col("acc.c.size").cast("long").alias("size"), *facts, (F.col("base") + (draw < F.col("acc.c.p")).cast("long")).alias("copies")))
