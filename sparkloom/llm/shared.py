@@ -148,7 +148,7 @@ def shingle_hashes(words: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarra
         full, of = np.zeros(0, np.uint64), np.zeros(0, np.int64)
     few = np.flatnonzero((n > 0) & (n < k))
     if len(few):
-        short = np.array([(words[at[r] : at[r + 1]] * _WORD[: n[r]]).sum() + _WORD[63 - n[r]] for r in few], np.uint64)
+        short = np.concatenate([(words[at[r] : at[r + 1]] * _WORD[: n[r]]).sum(keepdims=True) + _WORD[63 - n[r] : 64 - n[r]] for r in few])
         full, of = np.concatenate((full, short)), np.concatenate((of, few))
         order = np.argsort(of, kind="stable")
         full, of = full[order], of[order]
