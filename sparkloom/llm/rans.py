@@ -17,11 +17,10 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import batch, prepare, stored, table_path
+from .shared import batch, prepare, row_chunks, stored, table_path, word_bounds, word_hashes
 
 MAGIC = b"LRS1"
 LANES = 64
@@ -161,14 +160,22 @@ def unpack_segment(data: bytes, table: Table) -> tuple[np.ndarray, np.ndarray, i
 
 # ---------------------------------------------------------------- tokens
 
-CACHED_WORDS = 400_000
+CACHED_WORDS = 1_500_000
+ENCODE_BYTES = 1 << 22
+_LETTER = np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+_MARK = np.zeros(256, bool)
+_MARK[33:48] = _MARK[58:65] = _MARK[91:97] = _MARK[123:127] = True
+_MARK[39] = False
 
 
 class WordEncoder:
     """Ids as the tokenizers library gives them, each word asked for once.
 
-    Only for tokenizers that let no token cross a space and make none of spaces, like those whose pieces end with a
-    word mark; then a text's ids are its words' ids, one after the other.
+    Only for tokenizers that lower-case, let no token cross a space, make none of spaces, and part letters from marks
+    (but for the apostrophe), like those whose pieces end with a word mark. Then a text's ids are its words' ids, one
+    after the other, where an ASCII letter next to an ASCII mark ends a word, too. Words are known by a 64-bit hash.
+    A text with one of the tokenizer's added tokens goes to the library whole.
     """
 
     def __init__(self, path: str):
@@ -178,20 +185,81 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tool = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids as little-endian unsigned 32-bit integers."""
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        fresh = list(set().union(*split) - self.known.keys())
-        if len(self.known) + len(fresh) > CACHED_WORDS:
-            self.known = {"": b""}
-            fresh = list(set().union(*split) - self.known.keys())
-        if fresh:
-            for w, e in zip(fresh, self.tool.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
-        get = self.known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        vocab = self.tool.get_vocab()
+        self.kinds = max(vocab.values()) + 1
+        self.ends = np.zeros(self.kinds, bool)
+        self.ends[[i for piece, i in vocab.items() if piece.endswith("</w>")]] = True
+        self.added = [t.content.encode() for t in self.tool.get_added_tokens_decoder().values()]
+        self.forget()
+
+    def forget(self) -> None:
+        self.hash, self.at, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool = np.zeros(0, np.uint32)
+
+    def ask(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the words, where each word's begin, and how many each has."""
+        whole = np.fromiter((w.isalpha() for w in words), bool, len(words))
+        n = np.zeros(len(words), np.int64)
+        alone = np.flatnonzero(whole).tolist()
+        ids = np.zeros(0, np.uint32)
+        if alone:  # one word mark each
+            texts = [" ".join([words[i] for i in alone[j : j + 500]]) for j in range(0, len(alone), 500)]
+            ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.tool.encode_batch_fast(texts, add_special_tokens=False)])
+            stops = np.flatnonzero(self.ends[ids])
+            if len(stops) != len(alone):
+                whole[:], ids = False, np.zeros(0, np.uint32)
+            else:
+                n[whole] = np.diff(np.append(-1, stops))
+        rest = np.flatnonzero(~whole).tolist()
+        other = [e.ids for e in self.tool.encode_batch_fast([words[i] for i in rest], add_special_tokens=False)]
+        n[rest] = [len(x) for x in other]
+        order = np.concatenate((np.flatnonzero(whole), rest)).astype(np.int64)
+        begin = np.empty(len(words), np.int64)
+        begin[order] = np.cumsum(n[order]) - n[order]
+        return np.append(ids, np.array([i for x in other for i in x], np.uint32)), begin, n
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a string column end to end, and how many each row has."""
+        ids, n = zip(*[self._chunk(data, at) for _, _, data, at in row_chunks(column, ENCODE_BYTES)] or [(np.zeros(0, np.uint32), np.zeros(0, np.int64))], strict=True)
+        return np.concatenate(ids), np.concatenate(n)
+
+    def _chunk(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        raw = data.tobytes()
+        if any(t in raw for t in self.added):
+            texts = [raw[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            odd = [i for i, x in enumerate(texts) if any(t in x for t in self.added)]
+            if odd and len(texts) > 1:  # row by row, so that only such rows go whole
+                ids, n = zip(*[self._chunk(np.frombuffer(x, np.uint8), np.array([0, len(x)])) for x in texts], strict=True)
+                return np.concatenate(ids), np.concatenate(n)
+            if odd:
+                ids = np.array(self.tool.encode(raw.decode("utf-8", "replace"), add_special_tokens=False).ids, np.uint32)
+                return ids, np.array([len(ids)])
+        letter, mark = _LETTER[data], _MARK[data]
+        cuts = np.zeros(len(data), bool)
+        cuts[1:] = (letter[:-1] & mark[1:]) | (mark[:-1] & letter[1:])
+        starts, ends, words_at = word_bounds(data, at, cuts)
+        if not len(starts):
+            return np.zeros(0, np.uint32), np.zeros(len(at) - 1, np.int64)
+        words, first, which = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        place = np.searchsorted(self.hash, words)
+        fresh = np.ones(len(words), bool)
+        inside = place < len(self.hash)
+        fresh[inside] = self.hash[place[inside]] != words[inside]
+        if fresh.any():
+            if len(self.hash) + fresh.sum() > CACHED_WORDS:
+                self.forget()
+                place, fresh = np.zeros(len(words), np.int64), np.ones(len(words), bool)
+            asked = [raw[starts[i] : ends[i]].decode("utf-8", "replace") for i in first[fresh].tolist()]
+            ids, begin, n = self.ask(asked)
+            begin += len(self.pool)
+            self.pool = np.concatenate((self.pool, ids))
+            self.at, self.n = np.insert(self.at, place[fresh], begin), np.insert(self.n, place[fresh], n)
+            self.hash = np.insert(self.hash, place[fresh], words[fresh])
+            place = np.searchsorted(self.hash, words)
+        n = self.n[place][which]
+        ends_of = np.cumsum(n)
+        ids = self.pool[np.arange(ends_of[-1]) + np.repeat(self.at[place][which] - ends_of + n, n)]
+        return ids, np.diff(np.append(0, ends_of)[words_at])
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -217,20 +285,20 @@ def write_tokens(docs: DataFrame, path: str, end_id: int, folder: str, id_col: s
     rows = rows.repartitionByRange(parts, "id").sortWithinPartitions("id").withColumn("part", F.spark_partition_id())
     schema = "part int, first long, id long, n long, ids binary"
 
+    small = encoder(path).kinds <= 1 << 16 and end_id < 1 << 16
+    kind = "<u2" if small else "<u4"
+
     def tokenize(batches):
-        tool, end, first = encoder(path), struct.pack("<I", end_id), 0
+        tool, first = encoder(path), 0
         for b in batches:
-            texts = pc.fill_null(b.column(1), "").to_pylist()
-            for lo in range(0, len(texts), 200):
-                ids = [x + end for x in tool.ids(texts[lo : lo + 200])]
-                n = np.array([len(x) // 4 for x in ids])
-                narrow = [np.frombuffer(x, "<u4").astype("<u2").tobytes() if small else x for x in ids]
-                begin = first + np.cumsum(n) - n
-                first += int(n.sum())
-                yield batch(schema, [b.column(2).slice(lo, 200), begin, b.column(0).slice(lo, 200), n, narrow])
-
-    small = encoder(path).tool.get_vocab_size(with_added_tokens=True) <= 1 << 16 and end_id < 1 << 16
-    kind = "<u2" if small else "<u4"
+            ids, n = tool.encode(b.column(1))
+            ids = np.insert(ids, np.cumsum(n), end_id).astype(kind)  # the end id, after each document
+            n = n + 1
+            stop = np.cumsum(n)
+            raw = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(np.append(0, stop * ids.itemsize).astype(np.int64)), pa.py_buffer(ids.tobytes())])
+            yield batch(schema, [b.column(2), first + stop - n, b.column(0), n, raw.cast(pa.binary())])
+            first += int(stop[-1]) if len(stop) else 0
+
     tokens = stored(rows.mapInArrow(tokenize, schema), "tokens")
 
     def tally(batches):

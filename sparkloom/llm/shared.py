@@ -106,14 +106,16 @@ def row_chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int
         lo = hi
 
 
-def word_bounds(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of all words, and at which word each row begins. A row's end ends a word."""
+def word_bounds(data: np.ndarray, at: np.ndarray, cuts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all words, and at which word each row begins. A row's end ends a word; so does each cut, before a byte."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(at), np.int64)
     solid = ~_SPACE[data]
     first = np.ones(len(data) + 1, bool)
     first[1:-1] = ~solid[:-1]
     first[at] = True
+    if cuts is not None:
+        first[:-1] |= cuts
     starts = np.flatnonzero(solid & first[:-1])
     ends = np.flatnonzero(solid & np.concatenate((~solid[1:] | first[1:-1], [True]))) + 1
     return starts, ends, np.searchsorted(starts, at)
