@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann_forest, decontam, line_dedup, mixing, ngram_join, rans, sharding, token_count, toxicity
+from . import ann_forest, decontam, line_dedup, mixing, ngram_join, pii_crf, rans, sharding, token_count, toxicity
 
 SPACES = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 ASCII_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -26,6 +26,10 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.packed_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
+def op3_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_crf.pii_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaked_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
@@ -59,6 +63,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_token_files": op2_token_files,
+    "op3_pii_crf": op3_pii_crf,
     "op4_decontaminate": op4_decontaminate,
     "op5_mix": op5_mix,
     "op6_shard": op6_shard,
