@@ -12,6 +12,7 @@ import re
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -216,7 +217,18 @@ def leaked_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return out.select("doc_id", F.size("item_ids").cast("long").alias("n_items"), "item_ids", F.array_min("distances").alias("distance"))
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without those that hold an item; a null doc_id is judged by the rows that share it."""
-    leaks = find_leaks(docs, benchmark).select(F.col("doc_id").alias("__loom_id")).distinct()
-    return docs.join(leaks, docs["doc_id"].eqNullSafe(leaks["__loom_id"]), "left_anti")
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, least: int = LEAST, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """docs, all columns, without the rows whose text holds an item (see find_leaks)."""
+    prepare(docs.sparkSession)
+    at = docs.columns.index(text_col)
+    for block in blocks(benchmark, item_col, item_text_col, least):
+        shared = docs.sparkSession.sparkContext.broadcast(block)
+
+        def run(batches, shared=shared):
+            tool = matcher(shared.value, rate)
+            for b in batches:
+                texts = pc.fill_null(pc.cast(b.column(at), pa.string()), "").to_pylist()
+                yield b.filter(pa.array([not tool.leaks(normal(t)) for t in texts], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

@@ -240,3 +240,18 @@ def ngram_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_co
     label = nodes.select("node", "id") if parts is None else nodes.select("node", "id").join(parts, "id", "left").select("node", F.coalesce("component", "id").alias("id"))
     out = members.join(label.toDF("node", "component_id"), "node", "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
     return out.withColumn("component_id", F.when(F.col("id").isNotNull(), F.col("component_id"))).withColumnRenamed("id", id_col)
+
+
+def one_of_each_group(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs, all columns: of each component, and of rows that share an id, one row of the smallest id stays.
+
+    Rows with a null id stay. Which of several rows with one id stays is left open.
+    """
+    found = stored(ngram_join(docs, k, num, den, id_col, text_col).filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("__loom_id"), "component_id"), "groups")
+    gone = found.groupBy("__loom_id").agg(F.min("component_id").alias("c")).filter("c <> __loom_id").select("__loom_id")
+    kept = docs.join(gone, docs[id_col] == gone["__loom_id"], "left_anti")
+    again = stored(found.groupBy("__loom_id").count().filter("count > 1").select("__loom_id"), "again")
+    if again.isEmpty():
+        return kept
+    several = kept.join(again, kept[id_col] == again["__loom_id"], "left_semi").dropDuplicates([id_col])
+    return kept.join(again, kept[id_col] == again["__loom_id"], "left_anti").unionByName(several)

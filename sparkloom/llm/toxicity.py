@@ -19,6 +19,7 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -247,6 +248,24 @@ def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
+def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """docs, all columns, without the rows whose text scores 0.5 or more. A null text scores as an empty one."""
+    prepare(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        scanner = Scanner(shared.value)
+        for b in batches:
+            texts = pc.fill_null(pc.cast(b.column(at), pa.string()), "").to_pylist()
+            keep = []
+            for lo in range(0, len(texts), 200):
+                keep += [scanner.model.score(scanner.model.evidence(segments(s), len(s))[0]) < 0.5 for s in scanner.scores(texts[lo : lo + 200])]
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    at = docs.columns.index(text_col)
+    return docs.mapInArrow(run, docs.schema)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Scores of all documents by a model of the labelled ones that are not held out."""
     return score_texts(docs, fit(docs, labels))
