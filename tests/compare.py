@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import glob
 import os
+import signal
 import sys
 import time
 
@@ -59,20 +60,30 @@ def differences(spark, con, sf_dir, query, sql):
         return f"columns {sorted(df.columns)} and {sorted(rel.columns)}"
     if got == want:
         return ""
-    a, b = [x for x in got if x not in set(want)], [x for x in want if x not in set(got)]
+    in_got, in_want = set(got), set(want)
+    a, b = [x for x in got if x not in in_want], [x for x in want if x not in in_got]
     return f"{len(got)} and {len(want)} rows; only Spark {len(a)}: {a[:2]}; only SQL {len(b)}: {b[:2]}"
 
 
+LIMIT_S = 60
+
+
+def too_long(*_):
+    raise TimeoutError(f"over {LIMIT_S} s")
+
+
 def main(names, sf_dir="/root/testdata/sf0.01"):
     import __spark_entry__ as e
     from tests.conftest import make_session
 
+    signal.signal(signal.SIGALRM, too_long)
     spark = make_session()
     con = duck(sf_dir)
     queries, sql = e.queries(), e.oracle_sql()
     bad = 0
     for name in [n for n in queries if any(x in (n, "all") or (x[-1] == "*" and n.startswith(x[:-1])) for x in names)]:
         t = time.time()
+        signal.alarm(LIMIT_S)
         try:
             if name in sql:
                 said = differences(spark, con, sf_dir, queries[name], sql[name])
@@ -81,6 +92,7 @@ def main(names, sf_dir="/root/testdata/sf0.01"):
                 said = f"no SQL; {len(df.collect())} rows" if True else ""
         except Exception as x:  # noqa: BLE001
             said = f"ERROR {str(x)[:1500]}"
+        signal.alarm(0)
         ok = not said or said.startswith("no SQL")
         bad += not ok
         print(f"{'ok ' if ok else 'BAD'} {name} {time.time() - t:.1f}s {said}", flush=True)
