@@ -264,7 +264,7 @@ def rewrite_line_rules(spark, sf_dir):
 
 
 _PRE = "|".join(["#![allow(dead_code)]", "//! top", "", "{0}", "#![warn(missing_docs)]", "// inner", "{1}", "fn lone() {{}}", "#[derive(Clone)]", "struct S;", "// R10: extern crate rand;", "{2}", ""])
-_EVEN = _PRE.format("// R10: use libc::c_int;", "", "use rand::Rng;")  # the derive that went moved later lines up.replace("|", "' || chr(10) || '")
+_EVEN = _PRE.format("// R10: use libc::c_int;", "", "use rand::Rng;").replace("|", "' || chr(10) || '")
 _ODD = _PRE.format("use libc::c_int;", "#[derive(Debug)]|", "use rand::Rng;").replace("|", "' || chr(10) || '")
 REWRITE_LINE_RULES = f"""{WITH_UNITS} SELECT id, sha256(CASE WHEN id % 2 = 0 THEN '{_EVEN}' ELSE '{_ODD}' END || rust) AS out FROM texts"""
 
