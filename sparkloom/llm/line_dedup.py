@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import zlib
 
 import numpy as np
 import pyarrow.compute as pc
@@ -11,11 +10,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import arrow_schema, batch, prepare, stored
+from . import bloom
+from .shared import batch, prepare, stored
 
 SPACES = b" \t\n\x0b\x0c\r"
 FILTER_BITS = 26
-SEGMENT_BITS = 19
 HOT_KEYS = 1024
 
 
@@ -28,80 +27,23 @@ def line_key(line: bytes, least: int) -> bytes | None:
     return key
 
 
-def places(hashes: np.ndarray, bits: int) -> np.ndarray:
-    """The two filter bits of each 64-bit hash, as a (2, n) array."""
-    mask = np.uint64((1 << bits) - 1)
-    return np.stack((hashes & mask, (hashes >> np.uint64(64 - bits)) & mask))
+def keys_of(text: str, least: int) -> list[bytes]:
+    """The distinct keys of a text's lines."""
+    return list({k for k in (line_key(x, least) for x in text.encode().split(b"\n")) if k is not None})
 
 
-def pack(at: np.ndarray) -> bytes:
-    """Sorted bit numbers of a segment as a compressed bitmap."""
-    marks = np.zeros(1 << SEGMENT_BITS, bool)
-    marks[at] = True
-    return zlib.compress(np.packbits(marks, bitorder="little").tobytes(), 1)
-
-
-def unpack(data: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(data), np.uint8)
+def hashes_of(keys: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, keys), np.uint64, len(keys))
 
 
 def twice_filter(docs: DataFrame, id_col: str, text_col: str, least: int, bits: int) -> dict[int, bytes]:
-    """Segments of the filter of lines seen in two documents or more: at most 2**bits bits, whatever the input.
-
-    Each task sends, for each segment, bitmaps of bits seen once and twice by its documents; a bit counts as twice if
-    a task has it twice or two tasks have it. A document counts a line once.
-    """
-    segments = 1 << max(0, bits - SEGMENT_BITS)
+    """The filter of lines seen in two documents or more; a document counts a line once."""
 
     def scan(batches):
-        held: list[np.ndarray] = []
-
-        def flush():
-            at, n = np.unique(np.concatenate(held).ravel() if held else np.zeros(0, np.uint64), return_counts=True)
-            part = np.searchsorted(at, np.arange(segments + 1, dtype=np.uint64) << np.uint64(SEGMENT_BITS))
-            low = (at & np.uint64((1 << SEGMENT_BITS) - 1)).astype(np.int64)
-            rows = [(s, pack(low[part[s] : part[s + 1]]), pack(low[part[s] : part[s + 1]][n[part[s] : part[s + 1]] > 1])) for s in range(segments) if part[s] < part[s + 1]]
-            held.clear()
-            return batch("seg int, once binary, twice binary", list(zip(*rows, strict=True)) or [[], [], []])
-
-        waiting = 0
-        for b in batches:
-            for text in pc.fill_null(b.column(0), "").to_pylist():
-                keys = {k for k in (line_key(x, least) for x in text.encode().split(b"\n")) if k is not None}
-                if keys:
-                    held.append(places(np.fromiter(map(xxhash.xxh3_64_intdigest, keys), np.uint64, len(keys)), bits))
-                    held[-1] = np.unique(held[-1])
-                    waiting += len(held[-1])
-            if waiting > 4_000_000:
-                yield flush()
-                waiting = 0
-        yield flush()
-
-    def merge(_, tables):
-        once = np.zeros((1 << SEGMENT_BITS) // 8, np.uint8)
-        twice = once.copy()
-        seg = None
-        for t in tables:
-            for s, a, b in zip(t.column(0).to_pylist(), t.column(1).to_pylist(), t.column(2).to_pylist(), strict=True):
-                seg, a = s, unpack(a)
-                twice |= unpack(b) | (once & a)
-                once |= a
-        if seg is not None:
-            yield batch("seg int, bitmap binary", [[seg], [twice.tobytes()]])
+        yield from bloom.marks((hashes_of(keys_of(x, least)) for b in batches for x in pc.fill_null(b.column(0), "").to_pylist()), bits)
 
     known = docs.filter(F.col(id_col).isNotNull()).select(F.col(text_col).cast("string"))
-    marks = known.mapInArrow(scan, "seg int, once binary, twice binary")
-    return {r[0]: bytes(r[1]) for r in marks.groupBy("seg").applyInArrow(merge_tables(merge), "seg int, bitmap binary").collect()}
-
-
-def merge_tables(merge):
-    """merge for applyInArrow, which hands over a group's table in its record batches."""
-    import pyarrow as pa
-
-    def run(table: pa.Table) -> pa.Table:
-        return pa.Table.from_batches(list(merge(None, table.to_batches())), arrow_schema("seg int, bitmap binary"))
-
-    return run
+    return bloom.seen_twice(known.mapInArrow(scan, bloom.MARKS))
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 10, bits: int = FILTER_BITS) -> DataFrame:
@@ -120,16 +62,13 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     seen = spark.sparkContext.broadcast(twice_filter(docs, id_col, text_col, least, bits))
 
     def suspects(batches):
-        bitmap = np.zeros((1 << bits) // 8, np.uint8)
-        for s, data in seen.value.items():
-            bitmap[s << (SEGMENT_BITS - 3) : (s << (SEGMENT_BITS - 3)) + len(data)] = np.frombuffer(data, np.uint8)[: len(bitmap)]
+        bitmap = bloom.bitmap(seen.value, bits)
         for b in batches:
             ids, out = [], []
             for i, text in zip(b.column(0).to_pylist(), pc.fill_null(b.column(1), "").to_pylist(), strict=True):
-                keys = list({k for k in (line_key(x, least) for x in text.encode().split(b"\n")) if k is not None})
+                keys = keys_of(text, least)
                 if keys:
-                    at = places(np.fromiter(map(xxhash.xxh3_64_intdigest, keys), np.uint64, len(keys)), bits)
-                    hit = ((bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).all(0)
+                    hit = bloom.held(bitmap, hashes_of(keys), bits)
                     found = [hashlib.sha256(keys[j]).digest() for j in np.flatnonzero(hit)]
                     ids += [i] * len(found)
                     out += found
