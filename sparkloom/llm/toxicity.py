@@ -152,7 +152,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     # Prefixes of characters, as Python cuts them: Spark's substring counts code points, too.
     keys = F.array(*[F.when(F.length("word") >= n, F.substring("word", 1, n)) for n in PREFIXES], F.when(F.col("y0") + F.col("y1") >= WORD_COUNT, F.concat(F.lit("="), "word")))
     table = words.select(F.explode(F.array_compact(keys)).alias("f"), "y0", "y1").groupBy("f").agg(F.sum("y0").alias("y0"), F.sum("y1").alias("y1"))
-    counts = {r[0]: (r[1], r[2]) for r in table.orderBy(F.desc(F.col("y0") + F.col("y1")), "f").limit(FEATURES).collect()}
+    kept = table.orderBy(F.desc(F.col("y0") + F.col("y1")), "f").limit(FEATURES).toArrow()
+    counts = dict(zip(kept["f"].to_pylist(), zip(kept["y0"].to_pylist(), kept["y1"].to_pylist(), strict=True), strict=True))
     shares: dict[str, float] = {}
     for f in sorted(counts, key=lambda x: (x[0] == "=", len(x), x)):
         parent, weight = base, PRIOR
