@@ -10,6 +10,16 @@ alone. Otherwise all common tokens are frequent. In the order of frequent tokens
 neighbouring pairs, and each token that only one document has parts one of them at most: so some common pair stands
 side by side in both. Both index all pairs side by side in the first 2D + 2 frequent tokens - a prefix extended by
 D and combinations of two tokens, linear in number.
+
+Keys that few documents share give all their pairs. A key of many documents is mostly one text with small changes,
+most of whose copies do not link with each other; their pairs are found by what sets them apart. All documents of such
+keys are compared with one of them, and what most of them differ in is turned over, so that each document A is a
+common set plus or minus X(A). Then |A ^ B| = |X(A)| + |X(B)| - 2|X(A) & X(B)|. With k(A) = |X(A)| - c|A| and
+c = (1-t)/(1+t), A and B link if and only if their X share (k(A) + k(B)) / 2 tokens or more. Let m have the least k.
+If A and B link without sharing any, both link with m, by sizes alone. Otherwise one of them, an outer one, has
+k > -k(m), and they share more than (k(A) - k(m)) / 2 tokens of X(A): a prefix of X(A), shorter than half of it where
+copies are at random, is indexed for outer documents to find. Documents too far from the one compared stay for the
+next round, as do keys of X that many share.
 """
 
 from __future__ import annotations
@@ -21,14 +31,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import bloom
 from .components import components
-from .shared import arrow_schema, batch, fingerprint, mix64, prepare, shingle_sets, stored
+from .shared import arrow_schema, batch, fingerprint, mix64, prepare, scratch, shingle_sets, stored
 
 COUNT_BITS = 22
+KEY_BITS = 27
 SEGMENT = 1 << 16
 HISTOGRAM = 64
 BROADCAST_IDS = 500_000
-STAR_ROUNDS = 6
+BROADCAST_BYTES = 1 << 25
+#: Keys of up to this many documents give all their pairs. So do those of more after ROUNDS rounds, or once their
+#: pairs are few beside all cells, or when a round leaves most of them.
+FEW = 24
+ROUNDS = 4
+#: Documents that differ from the one compared by up to about this share of their tokens are told by their differences.
+FAR_SHARE = 0.8
+#: Keys of X with up to this many documents are compared by one task, without giving pairs; others go to the next round.
+GROUP = 1024
 _PAIR = np.array([0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
@@ -37,6 +57,7 @@ class Threshold:
 
     def __init__(self, num: int, den: int):
         self.num, self.den = num, den
+        self.far = max(2, int(FAR_SHARE * num / (den - num))) if num < den else 2
         #: Tokens whose hash lies below this are counted; it covers about twice a prefix.
         self.window = np.uint64(min(0.98, 2 * (1 - num / den) + 0.05) * 2.0**64)
 
@@ -46,6 +67,17 @@ class Threshold:
     def differ(self, n: int) -> int:
         return n * (self.den - self.num) // self.num
 
+    def near(self, n: int) -> int:
+        return self.far * self.differ(n)
+
+    def settled(self, n: int) -> int:
+        """Documents of n tokens that differ by no more than this link with none that differ by more than near()."""
+        return self.far * self.differ(-(-n * self.num // self.den)) - self.differ(n)
+
+    def excess(self, x: int, n: int) -> int:
+        """k of the module's text in whole numbers: times den + num."""
+        return x * (self.den + self.num) - (self.den - self.num) * n
+
     def overlap(self, a, b):
         return -(-(a + b) * self.num // (self.num + self.den))
 
@@ -108,26 +140,57 @@ def _frequent(counts: DataFrame) -> np.ndarray:
 
 
 def _keys(docs: DataFrame, k: int, t: Threshold, frequent: np.ndarray) -> DataFrame:
+    """(node, rare, keys) of each document: its keys as 64-bit hashes, and how many of its tokens are rare."""
     shared = docs.sparkSession.sparkContext.broadcast(np.packbits(frequent, bitorder="little").tobytes())
+    schema = "node binary, rare int, keys binary"
 
     def run(batches):
         often = np.unpackbits(np.frombuffer(shared.value, np.uint8), bitorder="little").astype(bool)
         seen: set[bytes] = set()
         for b in batches:
-            keys, nodes, sizes = [], [], []
+            keys, nodes, rare = [], [], []
             for _, tokens in shingle_sets(b.column(0), k):
                 if len(tokens) and (node := fingerprint(tokens)) not in seen:
                     seen.add(node)
                     known = np.searchsorted(tokens, t.window)
                     flags = np.ones(len(tokens), bool)
                     flags[:known] = often[(tokens[:known] & np.uint64(len(often) - 1)).astype(np.int64)]
-                    keys.append(tokens_to_index(tokens, flags, t))
+                    keys.append(np.unique(tokens_to_index(tokens, flags, t)).tobytes())
                     nodes.append(node)
-                    sizes.append(len(keys[-1]))
-            flat = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(nodes, pa.binary()).take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))], schema=arrow_schema("key long, node binary"))
+                    rare.append(int(len(tokens) - flags.sum()))
+            yield batch(schema, [nodes, rare, keys])
+
+    return docs.select("text").mapInArrow(run, schema)
 
-    return docs.select("text").mapInArrow(run, "key long, node binary")
+
+def _cells(keys: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(key, id, n, rare) of keys that may occur twice: a filter of KEY_BITS bits leaves the others where they are.
+
+    What is left of a document's keys goes to its node as one row, so that copies of a set in several tasks fall
+    together, and only then becomes a row for each key.
+    """
+
+    def scan(batches):
+        yield from bloom.marks((np.frombuffer(x, np.uint64) for b in batches for x in b.column(0).to_pylist()), KEY_BITS)
+
+    shared = keys.sparkSession.sparkContext.broadcast(bloom.seen_twice(keys.select("keys").mapInArrow(scan, bloom.MARKS)))
+
+    def thin(batches):
+        bits = bloom.bitmap(shared.value, KEY_BITS)
+        for b in batches:
+            found = [x[bloom.held(bits, x, KEY_BITS)].tobytes() for x in (np.frombuffer(x, np.uint64) for x in b.column(2).to_pylist())]
+            some = pa.array([bool(x) for x in found], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.binary())], schema=arrow_schema("node binary, rare int, keys binary")).filter(some)
+
+    def spread(batches):
+        for b in batches:
+            found = [np.frombuffer(x, np.int64) for x in b.column(3).to_pylist()]
+            of = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]), pa.int64())
+            flat = pa.array(np.concatenate([np.zeros(0, np.int64), *found]))
+            yield pa.RecordBatch.from_arrays([flat, *(b.column(c).take(of) for c in range(3))], schema=arrow_schema("key long, id long, n long, rare int"))
+
+    rows = keys.mapInArrow(thin, "node binary, rare int, keys binary").groupBy("node").agg(F.first("rare").alias("rare"), F.first("keys").alias("keys"))
+    return rows.join(nodes.select("node", "id", "n"), "node").select("id", "n", "rare", "keys").mapInArrow(spread, "key long, id long, n long, rare int")
 
 
 def _near_histograms(pairs: DataFrame, nodes: DataFrame, t: Threshold) -> DataFrame:
@@ -157,6 +220,17 @@ def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     return docs.join(F.broadcast(ids) if few else ids, "id", "left_semi").mapInArrow(run, "id long, tokens binary").distinct()
 
 
+def _with_sets(sets: DataFrame | None, docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """sets and those of the ids that it lacks."""
+    if sets is not None:
+        ids = ids.join(sets.select("id"), "id", "left_anti")
+    ids = stored(ids, "wanted")
+    if sets is not None and ids.isEmpty():
+        return sets
+    new = stored(_sets(docs, ids, k), "sets")
+    return new if sets is None else sets.union(new)
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
     def run(batches):
         for b in batches:
@@ -168,10 +242,240 @@ def _verified(pairs: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
                 keep.append(same * t.den >= t.num * (len(x) + len(y) - same))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    full = pairs.join(sets.toDF("a", "ta"), "a").join(sets.toDF("b", "tb"), "b")
+    few = pairs.count() <= BROADCAST_IDS
+
+    def of(side: str) -> DataFrame:
+        """The sets of one side only; other sets stay where they are."""
+        ids = pairs.select(F.col(side).alias("id")).distinct()
+        return sets.join(F.broadcast(ids) if few else ids, "id", "left_semi")
+
+    full = pairs.join(of("a").toDF("a", "ta"), "a").join(of("b").toDF("b", "tb"), "b")
     return full.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
 
 
+def _differences(members: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
+    """(p, id, n, apart, new, gone) of members (p, id, n): the tokens that id has and p lacks, and the other way round.
+
+    apart is their number; both arrays are null where it exceeds near(n).
+    """
+    schema = "p long, id long, n long, apart long, new array<long>, gone array<long>"
+
+    def run(batches):
+        for b in batches:
+            apart, new, gone = [], [], []
+            for n, x, y in zip(*(c.to_pylist() for c in b.columns[2:]), strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                at = np.searchsorted(y, x)
+                same = y[np.minimum(at, len(y) - 1)] == x
+                apart.append(len(x) + len(y) - 2 * int(same.sum()))
+                if apart[-1] <= t.near(n):
+                    new.append(x[~same].view(np.int64))
+                    left = np.ones(len(y), bool)
+                    left[at[same]] = False
+                    gone.append(y[left].view(np.int64))
+                else:
+                    new.append(None)
+                    gone.append(None)
+            yield batch(schema, [b.column(0), b.column(1), b.column(2), apart, new, gone])
+
+    compared = stored(members.select("p").distinct().join(sets.toDF("p", "tp"), "p"), "compared")
+    small = (compared.agg(F.sum(F.octet_length("tp"))).first()[0] or 0) <= BROADCAST_BYTES
+    full = members.join(sets.toDF("id", "ti"), "id").join(F.broadcast(compared) if small else compared, "p")
+    return full.select("p", "id", "n", "ti", "tp").mapInArrow(run, schema)
+
+
+def _turned(near: DataFrame) -> DataFrame:
+    """(p, more, fewer): tokens that p lacks and more than half of its documents have, and the other way round."""
+
+    def count(batches):
+        seen: dict[tuple[int, int, bool], int] = {}
+        for b in batches:
+            for p, new, gone in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                for lacks, tokens in ((True, new), (False, gone)):
+                    for x in tokens:
+                        seen[p, x, lacks] = seen.get((p, x, lacks), 0) + 1
+        yield batch("p long, x long, lacks boolean, n long", [*([k[i] for k in seen] for i in range(3)), list(seen.values())])
+
+    counts = near.select("p", "new", "gone").mapInArrow(count, "p long, x long, lacks boolean, n long").groupBy("p", "x", "lacks").agg(F.sum("n").alias("n"))
+    sizes = near.groupBy("p").agg(F.count(F.lit(1)).alias("all"))
+    most = counts.join(sizes, "p").filter(F.col("n") * 2 > F.col("all"))
+    return most.groupBy("p").agg(F.collect_set(F.when(F.col("lacks"), F.col("x"))).alias("more"), F.collect_set(F.when(~F.col("lacks"), F.col("x"))).alias("fewer"))
+
+
+def _set_apart(near: DataFrame, t: Threshold) -> tuple[DataFrame, DataFrame]:
+    """(p, id, n, k, x, least, m) of near documents, and keys (key, p, id, roles) of those whose X may share enough.
+
+    x holds the tokens of X, those of the document first; roles says whether a key stands in the short prefix (1) of
+    documents to be found, in the long prefix (2) of outer ones, or in both.
+    """
+    schema = "p long, id long, n long, k long, x array<long>"
+
+    def turn(batches):
+        for b in batches:
+            k, xs = [], []
+            for n, new, gone, more, fewer in zip(*(c.to_pylist() for c in b.columns[2:]), strict=True):
+                new, gone, more, fewer = (set(x or ()) for x in (new, gone, more, fewer))
+                xs.append(sorted((new - more) | (fewer - gone)) + sorted((gone - fewer) | (more - new)))
+                k.append(t.excess(len(xs[-1]), n))
+            yield batch(schema, [b.column(0), b.column(1), b.column(2), k, xs])
+
+    turned = near.select("p", "id", "n", "new", "gone").join(_turned(near), "p", "left").mapInArrow(turn, schema)
+    turned = stored(turned, "turned")
+    middle = turned.groupBy("p").agg(F.min(F.struct("k", "id")).alias("m")).select("p", F.col("m.k").alias("least"), F.col("m.id").alias("m"))
+    turned = turned.join(middle, "p")
+    scale = 2 * (t.den + t.num)
+
+    def index(batches):
+        for b in batches:
+            keys, shorts, longs = [], [], []
+            for p, n, k, x, least in zip(*(b.column(c).to_pylist() for c in (0, 2, 3, 4, 5)), strict=True):
+                shorts.append(max(0, len(x) - max(1, (k - least) // scale + 1) + 1))
+                longs.append(max(0, min(len(x), t.differ(n) + 1, len(x) - max(1, -(-(k + least) // scale)) + 1)) if k + least > 0 else 0)
+                x = np.array(x[: max(shorts[-1], longs[-1])], np.int64).view(np.uint64)
+                keys.append(mix64(x * _PAIR[0] + mix64(np.array([p], np.int64).view(np.uint64)) * _PAIR[1]).tobytes())
+            yield batch(packed, [b.column(0), b.column(1), shorts, longs, keys])
+
+    packed = "p long, id long, short long, long long, keys binary"
+    rows = stored(turned.select("p", "id", "n", "k", "x", "least").mapInArrow(index, packed), "differences")
+
+    def scan(batches):
+        yield from bloom.marks((np.frombuffer(x, np.uint64) for b in batches for x in b.column(0).to_pylist()), KEY_BITS)
+
+    shared = rows.sparkSession.sparkContext.broadcast(bloom.seen_twice(rows.select("keys").mapInArrow(scan, bloom.MARKS)))
+
+    def spread(batches):
+        bits = bloom.bitmap(shared.value, KEY_BITS)
+        for b in batches:
+            keys, of, roles = [np.zeros(0, np.uint64)], [], []
+            for i, (short, long, x) in enumerate(zip(*(c.to_pylist() for c in b.columns[2:]), strict=True)):
+                x = np.frombuffer(x, np.uint64)
+                at = np.flatnonzero(bloom.held(bits, x, KEY_BITS))
+                keys.append(x[at])
+                of += [i] * len(at)
+                roles.append((at < short) + 2 * (at < long))
+            of = pa.array(of, pa.int64())
+            told = pa.array(np.concatenate([np.zeros(0, np.int64), *roles]), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), b.column(0).take(of), b.column(1).take(of), told], schema=arrow_schema("key long, p long, id long, roles int"))
+
+    return turned, rows.mapInArrow(spread, "key long, p long, id long, roles int")
+
+
+def _group_links(rows: DataFrame, t: Threshold) -> DataFrame:
+    """Links (a, b) that join what links within each key of (key, id, n, x): |X ^ X'| against the sizes, in blocks.
+
+    A key's rows are at most GROUP; each row of a component but its first gives one link.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, n, xs = table["id"].to_numpy(), table["n"].to_numpy(), table["x"].to_pylist()
+        tokens, at, often = np.unique(np.array([v for x in xs for v in x], np.int64), return_inverse=True, return_counts=True)
+        size = np.array([len(x) for x in xs])
+        row = np.repeat(np.arange(len(xs)), size)
+        place = np.cumsum(often > 1) - 1  # tokens of one row overlap nothing
+        held = np.zeros((len(xs), int((often > 1).sum())), np.float32)
+        both = often[at] > 1
+        held[row[both], place[at[both]]] = 1
+        part = np.arange(len(xs))
+        for lo in range(0, len(xs), 256):
+            apart = size[lo : lo + 256, None] + size[None] - 2 * (held[lo : lo + 256] @ held.T).astype(np.int64)
+            near = apart * (t.den + t.num) <= (t.den - t.num) * (n[lo : lo + 256, None] + n[None])
+            for i in range(len(near)):
+                parts = np.unique(part[near[i]])
+                if len(parts) > 1:
+                    part[np.isin(part, parts)] = parts[0]
+        linked = np.flatnonzero(part != np.arange(len(xs)))
+        return pa.table([ids[linked], ids[part[linked]]], schema=arrow_schema("a long, b long"))
+
+    return rows.groupBy("key").applyInArrow(run, "a long, b long")
+
+
+def _in_range(t: Threshold, a: str, b: str):
+    return F.least(a, b) * t.den >= F.greatest(a, b) * t.num
+
+
+def _all_pairs(cells: DataFrame, t: Threshold) -> DataFrame:
+    x, y = cells.alias("x"), cells.alias("y")
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & _in_range(t, "x.n", "y.n"))
+    return pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+
+
+def _role_pairs(cells: DataFrame, t: Threshold) -> DataFrame:
+    """Pairs of which one stands in the short prefix and the other in the long one."""
+    x, y = cells.alias("x"), cells.alias("y")
+    roles = F.expr("x.roles & 1 = 1") & F.expr("y.roles & 2 = 2")
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") != F.col("y.id")) & roles & _in_range(t, "x.n", "y.n"))
+    return pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+
+
+def _with_pivots(cells: DataFrame, turn: int) -> DataFrame:
+    """cells (key, id, n, rare) of keys with two documents or more, with the key's size and the document to compare with.
+
+    A document whose tokens are mostly frequent has few changes of its own: it is the one to compare with.
+    """
+    first = F.min(F.struct("rare", F.xxhash64("id", F.lit(turn)).alias("h"), F.col("id").alias("p"), F.col("n").alias("m"))).alias("c")
+    keys = cells.groupBy("key").agg(F.count(F.lit(1)).alias("size"), first).filter("size > 1").select("key", "size", "c.p", "c.m")
+    return stored(cells.join(keys, "key"), "cells")
+
+
+def _labels(docs: DataFrame, profile: DataFrame, k: int, t: Threshold) -> DataFrame:
+    """(node, id) where id is the smallest id that the node's links reach."""
+    nodes = stored(profile.filter("node IS NOT NULL AND id IS NOT NULL").groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("hist").alias("hist")), "nodes")
+    frequent = _frequent(profile.filter("seg IS NOT NULL").select("seg", "counts"))
+    known = docs.filter("id IS NOT NULL")
+    # A document is told by its smallest id from here on.
+    cells = _cells(stored(_keys(known, k, t, frequent), "keys"), nodes)
+    differ, sets, pairs, links = t.den - t.num, None, [], []
+    reach = F.floor(F.col("n") * differ / t.num)
+    for turn in range(ROUNDS + 1):
+        cells = _with_pivots(cells, turn)
+        many = cells.filter(F.col("size") > FEW)
+        rows, n_pairs = many.agg(F.count(F.lit(1)), F.sum((F.col("size") - 1) / 2)).first()
+        if turn == 0:
+            n_cells, before = cells.count(), None
+        last = not rows or turn == ROUNDS or n_pairs <= n_cells / 2 or (before and rows > 0.7 * before)
+        pairs.append(stored(_all_pairs(cells if last else cells.filter(F.col("size") <= FEW), t), "pairs"))
+        if last:
+            break
+        before = rows
+        sets = _with_sets(sets, known, many.select("id").distinct(), k)
+        within = F.abs(F.col("n") - F.col("m")) <= reach * t.far
+        asked = stored(many.select("p", "id", "n", "m").distinct(), "asked")
+        apart = stored(_differences(asked.filter(within).select("p", "id", "n"), sets, t), "apart")
+        turned, keys_of_x = _set_apart(apart.filter("new IS NOT NULL"), t)
+        links.append(turned.filter("id <> m AND k + least <= 0").select(F.col("id").alias("a"), F.col("m").alias("b")))
+        keys_of_x = stored(keys_of_x, "keys")
+        sizes = keys_of_x.groupBy("key").agg(F.count_if(F.expr("roles & 1 = 1")).alias("short"), F.count_if(F.expr("roles & 2 = 2")).alias("long"), F.count(F.lit(1)).alias("size"))
+        shared = stored(keys_of_x.join(sizes.filter("long > 0 AND short > 0 AND size > 1"), "key").join(asked.select("p", "id", "n"), ["p", "id"]).select("key", "p", "id", "n", "roles", "size"), "shared")
+        pairs.append(stored(_role_pairs(shared.filter(F.col("size") <= FEW), t), "pairs"))
+        grouped = shared.filter((F.col("size") > FEW) & (F.col("size") <= GROUP)).join(turned.select("p", "id", "x"), ["p", "id"])
+        links.append(stored(_group_links(grouped.select("key", "id", "n", "x"), t), "links"))
+        again = shared.filter(F.col("size") > GROUP).select("key", "id", "n", F.lit(turn).alias("rare"))
+        # Documents that are not settled: beyond what links with any far one, or not compared.
+        settled = F.floor(F.ceil(F.col("n") * t.num / t.den) * differ / t.num) * t.far - reach
+        open_ = stored(asked.select("p", "id").filter("id <> p").join(apart.filter(F.col("apart") <= settled).select("p", "id"), ["p", "id"], "left_anti"), "open")
+        few = open_.count() <= BROADCAST_IDS
+        left = many.join(F.broadcast(open_) if few else open_, ["p", "id"], "left_semi").select("key", "id", "n", "rare")
+        cells = left.unionByName(again).groupBy("key", "id").agg(F.min("n").alias("n"), F.min("rare").alias("rare"))
+    every = pairs[0]
+    for x in pairs[1:]:
+        every = every.union(x)
+    every = every.distinct()
+    if links:  # pairs that other links join already need no comparison
+        known_links = links[0]
+        for x in links[1:]:
+            known_links = known_links.union(x)
+        links = [stored(known_links.distinct(), "links")]
+        part = components(links[0])
+        every = every.join(part.toDF("a", "pa"), "a", "left").join(part.toDF("b", "pb"), "b", "left").filter("pa IS NULL OR pb IS NULL OR pa <> pb").select("a", "b")
+    close = stored(_near_histograms(every, nodes, t), "close")
+    sets = _with_sets(sets, known, close.select(F.explode(F.array("a", "b")).alias("id")).distinct(), k)
+    found = stored(_verified(close, sets, t), "links")
+    for x in links:
+        found = found.union(x)
+    parts = components(found)
+    return nodes.select("node", "id").join(parts, "id", "left").select("node", F.coalesce("component", "id").alias("id"))
+
+
 def ngram_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) of each row: the components of all links of Jaccard num/den or more, 4/5 at least.
 
@@ -180,10 +484,8 @@ def ngram_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_co
     are one node from the start. Rows that share an id are one document, which links where one of them does; rows
     with a null id link with nothing and have no component. An empty table gives an empty table.
 
-    Nodes that share a key are compared, but not all with all: in each round every node of a key is compared with one
-    node of it, unless both are in one component already. Links found join components, and a group of near copies is
-    one component after a few rounds of as many comparisons as it has members. Then whatever pairs of different
-    components share a key are all compared, so no link between components is left out.
+    Every pair of different sets that links is either compared or joined through a third set that links with both, so
+    components are exact; a group of near copies costs rows in proportion to its size.
     """
     if num * 5 < den * 4:
         raise ValueError("the pairs side by side are complete for thresholds of 4/5 or more")
@@ -191,53 +493,10 @@ def ngram_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_co
     prepare(spark)
     t = Threshold(num, den)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    profile = stored(_profile(docs, k, t), "profile")
+    profile = stored(_profile(docs, k, t), "profile", keep=True)
     members = profile.filter("seg IS NULL").select("id", "n", "node")
-    nodes = stored(profile.filter("node IS NOT NULL AND id IS NOT NULL").groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("hist").alias("hist")), "nodes")
-    frequent = _frequent(profile.filter("seg IS NOT NULL").select("seg", "counts"))
-    known = docs.filter("id IS NOT NULL")
-    keys = stored(_keys(known, k, t, frequent), "keys")
-    repeated = keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("key")
-    cells = stored(keys.join(repeated, "key").distinct().join(nodes.select("node", "id", "n"), "node").select("key", "id", "n").distinct(), "cells")
-    pairs, done, links, sets, parts = None, None, None, None, None
-    for turn in range(STAR_ROUNDS + 1):
-        labelled = cells.withColumn("part", F.col("id")) if parts is None else cells.join(parts, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("part"))
-        mixed = labelled.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi").select("key")
-        cells_now = stored(labelled.join(mixed, "key"), "mixed")
-        sizes = cells_now.groupBy("key", "part").count().groupBy("key").agg((F.pow(F.sum("count"), 2) - F.sum(F.pow("count", 2))).alias("pairs"))
-        cross, rows = sizes.agg(F.sum("pairs")).first()[0] or 0, cells_now.count()
-        if not rows:
-            break
-        last = turn == STAR_ROUNDS or cross / 2 <= 4 * rows
-        if last:
-            x, y = cells_now.alias("x"), cells_now.alias("y")
-            pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.part") != F.col("y.part")) & (F.least("x.n", "y.n") * t.den >= F.greatest("x.n", "y.n") * t.num))
-            pairs = pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-        else:
-            pivot = cells_now.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), F.col("id").alias("q"), F.col("n").alias("m"), F.col("part").alias("other"))).alias("p")).select("key", "p.*")
-            pairs = cells_now.join(pivot, "key").filter((F.col("part") != F.col("other")) & (F.least("n", "m") * t.den >= F.greatest("n", "m") * t.num))
-            pairs = pairs.select(F.least("id", "q").alias("a"), F.greatest("id", "q").alias("b"))
-        pairs = pairs.distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        done = pairs if done is None else done.union(pairs)
-        close = stored(_near_histograms(pairs, nodes, t), "close")
-        wanted = close.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        if sets is not None:
-            wanted = wanted.join(sets.select("id"), "id", "left_anti")
-        wanted = stored(wanted, "wanted")
-        if not wanted.isEmpty():
-            new = stored(_sets(known, wanted, k), "sets")
-            sets = new if sets is None else sets.union(new)
-        if sets is not None:
-            found = stored(_verified(close, sets, t), "links")
-            links = found if links is None else links.union(found)
-            parts = stored(components(links if parts is None else found.union(parts.select(F.col("id").alias("a"), F.col("component").alias("b")))), "parts")
-        if last:
-            break
-        cells = cells_now.select("key", "id", "n")
-    label = nodes.select("node", "id") if parts is None else nodes.select("node", "id").join(parts, "id", "left").select("node", F.coalesce("component", "id").alias("id"))
+    with scratch(spark):
+        label = stored(_labels(docs, profile, k, t), "components", keep=True)
     out = members.join(label.toDF("node", "component_id"), "node", "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
     return out.withColumn("component_id", F.when(F.col("id").isNotNull(), F.col("component_id"))).withColumnRenamed("id", id_col)
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -45,20 +46,32 @@ def table_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df, computed once into a Parquet table of the shared folder. It cuts the lineage and survives lost executors."""
+_SCRATCH: list[list[str]] = []
+
+
+def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """df, computed once into a Parquet table of the shared folder. It cuts the lineage and survives lost executors.
+
+    Inside scratch() the table goes when that ends, unless it is to be kept.
+    """
     spark = df.sparkSession
     path = table_path(spark, name)
+    if _SCRATCH and not keep:
+        _SCRATCH[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_tables(spark: SparkSession, *frames: DataFrame) -> None:
-    """Removes tables made by stored() which no returned frame reads."""
-    jvm = spark.sparkContext._jvm
-    for df in frames:
-        for file in df.inputFiles()[:1]:
-            path = jvm.org.apache.hadoop.fs.Path(file).getParent()
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables stored inside are removed at the end: for work whose result has been stored or collected by then."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        jvm = spark.sparkContext._jvm
+        for name in _SCRATCH.pop():
+            path = jvm.org.apache.hadoop.fs.Path(name)
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 

@@ -56,3 +56,26 @@ def test_null_ids_and_empty_tables(spark):
     df = spark.createDataFrame([(None, "a b c d"), (1, "a b c d"), (2, "A b  c\td")], "doc_id long, text string")
     assert sorted(map(tuple, ngram_join(df, 3, 90, 100).collect()), key=str) == [(1, 2, 1), (2, 2, 1), (None, 2, None)]
     assert ngram_join(df.limit(0), 3, 90, 100).collect() == []
+
+
+def test_large_groups_of_near_copies(spark):
+    rng = random.Random(3)
+    vocab = [f"w{i}" for i in range(5000)]
+    rows = []
+    for g, size in ((0, 150), (1, 60)):
+        base = [rng.choice(vocab) for _ in range(110 if g else 60)]
+        half = list(base)
+        for _ in range(3):
+            half[rng.randrange(len(half))] = rng.choice(vocab)
+        for _ in range(size):
+            w = list(base if rng.random() < 0.6 else half)
+            for _ in range(rng.choice([0, 1, 1, 2, 2, 3, 4, 8])):
+                w[rng.randrange(len(w))] = rng.choice(vocab)
+            if rng.random() < 0.2:
+                w = w[: rng.randrange(20, len(w))]
+            if rng.random() < 0.1:
+                w += [rng.choice(vocab) for _ in range(rng.randrange(1, 30))]
+            rows.append((len(rows), " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for k, num in ((3, 90), (5, 80)):
+        assert sorted(map(tuple, ngram_join(df, k, num, 100).collect())) == brute(rows, k, num, 100)
