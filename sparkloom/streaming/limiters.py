@@ -51,23 +51,19 @@ def limit(calls: DataFrame, kind: str, most: int = 60, window: float = 60.0) ->
 def limit_stream(calls: DataFrame, most: int = 60, window: float = 60.0) -> DataFrame:
     """The sliding limiter over a stream of calls; a key's state is the times of its passed calls still in the window.
 
-    State of keys that have been silent for the window is dropped by a processing-time timeout.
+    A key's state is at most `most` times; that of silent keys stays, since a timeout would run batches without end.
     """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         held = list(state.get[0]) if state.exists else []
         frame = pd.concat(list(batches)).sort_values(["at", "seq"])
         allowed, held = sliding(frame["at"].tolist(), held, most, window)
         state.update((held,))
-        state.setTimeoutDuration(int(window * 1000) * 10)
         yield pd.DataFrame({"key": frame["key"], "seq": frame["seq"], "allowed": allowed})
 
     held = T.StructType([T.StructField("held", T.ArrayType(T.DoubleType()))])
     out = T.StructType([T.StructField("key", T.StringType()), T.StructField("seq", T.LongType()), T.StructField("allowed", T.BooleanType())])
-    return calls.groupBy("key").applyInPandasWithState(run, out, held, "append", "ProcessingTimeTimeout")
+    return calls.groupBy("key").applyInPandasWithState(run, out, held, "append", "NoTimeout")
 
 
 def upsert_state(spark, batch: DataFrame, path: str, key: str, order: str) -> None:

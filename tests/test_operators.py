@@ -71,9 +71,10 @@ def test_limiter_over_a_stream(spark, tmp_path):
     prepare(spark)
     spark.createDataFrame([("a", i, float(i)) for i in range(8)], "key string, seq long, at double").coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("key string, seq long, at double").parquet(str(tmp_path / "in"))
-    query = limiters.limit_stream(stream, most=3, window=5.0).writeStream.format("memory").queryName("limited").outputMode("append").start()
-    query.processAllAvailable()
+    query = limiters.limit_stream(stream, most=3, window=5.0).writeStream.format("memory").queryName("limited").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    ended = query.awaitTermination(60)
     query.stop()
+    assert ended
     assert [r["allowed"] for r in spark.table("limited").orderBy("seq").collect()] == [True, True, True, False, False, True, True, True]
 
 
