@@ -33,13 +33,22 @@ def similar_signatures(queries: DataFrame, store: DataFrame, key: str, k: int) -
     """The k stored rows (ordinal, returns, params, quality) most like each query (key, returns, params), ties by ordinal.
 
     10 for the return type, 5 for as many parameters, 3 for each of the query's that the other has, a tenth of quality.
+
+    The score sees of a query its shape, the return type and the parameters in any order, and of a stored row its shape,
+    where a repeated parameter counts once, and the tenth. So each distinct shape of a query is ranked once, against the
+    k best rows of each stored shape: no other row of a shape can be among the k best. Those are broadcast.
     """
-    q, s = queries.select(key, F.col("returns").alias("qr"), F.col("params").alias("qp")), store.select("ordinal", "returns", "params", "quality")
-    shared = F.size(F.filter("qp", lambda x: F.array_contains("params", x)))
-    score = F.when(F.col("qr") == F.col("returns"), 10).otherwise(0) + F.when(F.size("qp") == F.size("params"), 5).otherwise(0) + shared * 3 + F.floor(F.col("quality") / 10)
-    scored = q.crossJoin(F.broadcast(s)).select(key, "ordinal", score.cast("int").alias("score"))
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "ordinal"))
-    return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
+    shape = F.struct(F.col("returns").alias("r"), F.size("params").alias("n"), F.array_sort(F.array_distinct("params")).alias("s"))
+    s = store.select("ordinal", shape.alias("shape"), F.floor(F.col("quality") / 10).alias("tenth"))
+    best = F.row_number().over(Window.partitionBy("shape").orderBy(F.desc("tenth"), "ordinal"))
+    s = s.withColumn("__at", best).filter(F.col("__at") <= k).select("ordinal", "shape", "tenth")
+    q = queries.select(key, F.struct(F.col("returns").alias("r"), F.array_sort("params").alias("p")).alias("asked"))
+    shared = F.size(F.filter("asked.p", lambda x: F.array_contains("shape.s", x)))
+    score = F.when(F.col("asked.r") == F.col("shape.r"), 10).otherwise(0) + F.when(F.size("asked.p") == F.col("shape.n"), 5).otherwise(0) + shared * 3 + F.col("tenth")
+    scored = q.select("asked").distinct().crossJoin(F.broadcast(s)).select("asked", "ordinal", score.cast("int").alias("score"))
+    rank = F.row_number().over(Window.partitionBy("asked").orderBy(F.desc("score"), "ordinal"))
+    ranked = scored.withColumn("rank", rank).filter(F.col("rank") <= k)
+    return q.join(ranked, q["asked"].eqNullSafe(ranked["asked"])).select(key, "ordinal", "score", "rank")
 
 
 def spec_ratio(passed: Column, total: Column) -> Column:
