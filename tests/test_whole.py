@@ -2,7 +2,7 @@
 
 import __spark_entry__ as entry
 from sparkloom.operators import ranking
-from sparkloom.plans import result_queries
+from sparkloom.plans import order_queries, result_queries
 
 from .compare import differences, duck
 
@@ -34,3 +34,8 @@ def test_signature_shapes_lose_no_row(spark):
         scores = [((r == returns) * 10 + (len(p) == len(params)) * 5 + 3 * sum(x in p for x in params) + n // 10, i) for i, r, p, n in rows]
         want |= {(q, i, s, at + 1) for at, (s, i) in enumerate(sorted(scores, key=lambda x: (-x[0], x[1]))[:3])}
     assert set(map(tuple, got)) == want
+
+
+def test_all_units_are_packed(spark):
+    sql = without(result_queries.ORDER_PACK, " WHERE unit % 50 IN (1, 2)")
+    assert differences(spark, duck(SF), SF, entry.queries()["order_pack"], sql) == ""
