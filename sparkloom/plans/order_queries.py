@@ -281,14 +281,21 @@ def rewrite_block_rules(spark, sf_dir):
 
 
 def call_edges(spark, sf_dir):
+    """Parts as functions that call those of twice their number, and now and then one of a seventeenth."""
     k = c("p_partkey")
-    return read(spark, sf_dir, "part").filter("p_partkey < 400").select(k.alias("src"), F.explode(F.array(k * 2, k * 2 + 1, F.when(k % 17 == 0, F.floor(k / 17)))).alias("dst")).filter("dst IS NOT NULL AND dst < 400 AND dst > 0 AND src <> dst")
+    part = read(spark, sf_dir, "part")
+    calls = part.select(k.alias("src"), F.explode(F.array(k * 2, k * 2 + 1, F.when(k % 17 == 0, F.floor(k / 17)))).alias("dst")).filter("src <> dst")
+    return calls.join(part.select(k.alias("dst")), "dst", "left_semi").select("src", "dst")
 
 
 def module_waves(spark, sf_dir):
-    """G-03 J-12: levels of modules of twelve functions each; what cycles hold back comes last."""
-    modules = spark.range(1, 400).select(c("id"), F.floor(c("id") / 12).alias("module"))
-    edges = graph.module_edges(read(spark, sf_dir, "part").filter("p_partkey BETWEEN 1 AND 199").select(c("p_partkey").alias("src"), (c("p_partkey") * 2).alias("dst")), modules)
+    """G-03 J-12: levels of modules of twelve functions each; what cycles hold back comes last.
+
+    MODULE_WAVES has modules of the numbers 1 to 399 and calls of 1 to 199 only, whatever the table holds.
+    """
+    part = read(spark, sf_dir, "part")
+    modules = part.select(c("p_partkey").alias("id"), F.floor(c("p_partkey") / 12).alias("module"))
+    edges = graph.module_edges(part.select(c("p_partkey").alias("src"), (c("p_partkey") * 2).alias("dst")), modules)
     return graph.waves(modules.select("module").distinct(), edges, "module", "from_module", "to_module")
 
 
@@ -300,8 +307,11 @@ MODULE_WAVES = """
 
 
 def topo_order(spark, sf_dir):
-    """G-02 G-04: the queue's order of a small graph."""
-    edges = [(f"f{a}", f"f{b}") for a, b in call_edges(spark, sf_dir).filter("src < dst AND dst < 120").select("src", "dst").collect()]
+    """G-02 G-04: the queue's order of all functions, by the calls to later ones; with those back, cycles would leave names only.
+
+    The queue is one sequence: edges and names are held by the driver.
+    """
+    edges = [(f"f{a}", f"f{b}") for a, b in call_edges(spark, sf_dir).filter("src < dst").select("src", "dst").collect()]
     return graph.order_frame(spark, graph.topological_order(edges))
 
 
