@@ -3,14 +3,15 @@
 Token scores. A token's share of toxic use is a chain of Beta (two-class Dirichlet) estimates: the prior of the whole
 is the toxic share of all training tokens, the prior of each prefix of 3 to 6 characters is its shorter prefix, and
 the prior of a whole word is its longest prefix. A word never seen scores as its longest known prefix. The score is
-the log-odds of that share against the whole's, less DRIFT, so that neutral text has a negative mean. Within a
-document a token counts once; when it comes again it is neutral, since text that says one thing over and over is no
-further evidence.
+the log-odds of that share against the whole's, less DRIFT, so that neutral text has a negative mean. In a document's
+evidence a token counts once; when it comes again it is neutral, since text that says one thing over and over is no
+further evidence. Passages are found by the tokens' scores as they are.
 
 Passages. One scan finds all maximal scoring segments (Ruzzo and Tompa). Under neutral text the best of n tokens has
 P(S <= s) = exp(-K n exp(-rate s)); rate solves sum p exp(rate s) = 1 over neutral tokens, K is fitted to neutral
-documents of a fold the counts did not use. A segment adds rate S - log(K n) to its document's evidence where that is
-positive, and a logistic curve fitted to that fold turns evidence into a score.
+documents of a fold the counts did not use. A segment is a passage where rate S - log(K n) is positive, with rate and K
+of the scores as they are. The same over scores that count once, with their own rate and K, adds up to the document's
+evidence, and a logistic curve fitted to that fold turns evidence into a score.
 """
 
 from __future__ import annotations
@@ -47,6 +48,9 @@ class Model:
     base: float
     rate: float = 1.0
     k: float = 1.0
+    #: rate and k of scores that are not discounted, for passages.
+    raw_rate: float = 1.0
+    raw_k: float = 1.0
     slope: float = 1.0
     at: float = 0.0
 
@@ -62,6 +66,11 @@ class Model:
         found = [(a, b, self.rate * s - least) for a, b, s in segments if self.rate * s > least]
         return sum(x for _, _, x in found), found
 
+    def passages(self, segments: list[tuple[int, int, float]], n: int) -> list[tuple[int, int]]:
+        """Start and end of the significant ones among segments of scores that are not discounted."""
+        least = math.log(max(self.raw_k * n, 1e-9))
+        return [(a, b) for a, b, s in segments if self.raw_rate * s > least]
+
     def score(self, evidence: float) -> float:
         return 1 / (1 + math.exp(-max(-60.0, min(60.0, self.slope * (evidence - self.at)))))
 
@@ -96,6 +105,11 @@ class Scanner:
         self.model, self.known = model, {}
 
     def scores(self, texts: list[str]) -> list[np.ndarray]:
+        """For evidence: a positive token counts where it first stands in its text."""
+        return [counted for _, counted in self.both(texts)]
+
+    def both(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Scores as they are, and those for evidence."""
         split = [t.split() for t in texts]
         fresh = set().union(*split) - self.known.keys()
         if len(self.known) + len(fresh) > CACHED_WORDS:
@@ -105,13 +119,14 @@ class Scanner:
         get = self.known.__getitem__
         out = []
         for words in split:
-            s = np.fromiter(map(get, words), np.float64, len(words))
+            raw = np.fromiter(map(get, words), np.float64, len(words))
+            s = raw.copy()
             seen: set[str] = set()
             for i in np.flatnonzero(s > 0).tolist():
                 if words[i] in seen:
                     s[i] = -DRIFT
                 seen.add(words[i])
-            out.append(s)
+            out.append((raw, s))
         return out
 
 
@@ -171,42 +186,55 @@ def _calibrate(model: Model, rows: DataFrame) -> None:
     spark = rows.sparkSession
     shared = spark.sparkContext.broadcast(model)
 
+    schema = "toxic int, n long, found array<double>, best double, raw boolean, at double, count long"
+
     def scan(batches):
         scanner = Scanner(shared.value)
-        tally: dict[float, int] = {}
+        tally: dict[tuple[bool, float], int] = {}
         for b in batches:
             toxic, texts = b.column(0).to_pylist(), pc.fill_null(b.column(1), "").to_pylist()
-            best = []
-            for t, s in zip(toxic, scanner.scores(texts), strict=True):
-                found = segments(s)
-                best.append([x for _, _, x in found])
+            found, best = [], []
+            for t, both in zip(toxic, scanner.both(texts), strict=True):
+                raw, counted = both
+                found.append([x for _, _, x in segments(counted)])
+                best.append(max((x for _, _, x in segments(raw)), default=0.0))
                 if not t:
-                    at, n = np.unique(np.round(s, 2), return_counts=True)
-                    for a, m in zip(at.tolist(), n.tolist(), strict=True):
-                        tally[a] = tally.get(a, 0) + m
-            yield batch("toxic int, n long, found array<double>, at double, count long", [toxic, [len(t.split()) for t in texts], best, [None] * len(toxic), [None] * len(toxic)])
-        yield batch("toxic int, n long, found array<double>, at double, count long", [[None] * len(tally), [None] * len(tally), [None] * len(tally), list(tally), list(tally.values())])
-
-    got = rows.select("toxic", "text").mapInArrow(scan, "toxic int, n long, found array<double>, at double, count long").collect()
-    docs = [r for r in got if r[0] is not None and r[1]]
-    null: dict[float, int] = {}
+                    for kind, s in ((True, raw), (False, counted)):
+                        at, n = np.unique(np.round(s, 2), return_counts=True)
+                        for a, m in zip(at.tolist(), n.tolist(), strict=True):
+                            tally[kind, a] = tally.get((kind, a), 0) + m
+            none = [None] * len(toxic)
+            yield batch(schema, [toxic, [len(t.split()) for t in texts], found, best, none, none, none])
+        none = [None] * len(tally)
+        yield batch(schema, [none, none, none, none, [k for k, _ in tally], [a for _, a in tally], list(tally.values())])
+
+    got = rows.select("toxic", "text").mapInArrow(scan, schema).collect()
+    docs = [r for r in got if r["toxic"] is not None and r["n"]]
+    calm = [r for r in docs if r["toxic"] == 0]
+    null: dict[bool, dict[float, int]] = {True: {}, False: {}}
     for r in got:
-        if r[3] is not None:
-            null[r[3]] = null.get(r[3], 0) + r[4]
-    s, p = np.array(list(null), float), np.array(list(null.values()), float)
+        if r["at"] is not None:
+            null[r["raw"]][r["at"]] = null[r["raw"]].get(r["at"], 0) + r["count"]
+    model.rate, model.k = _null(null[False], [(r["n"], max(r["found"], default=0.0)) for r in calm], model.rate, model.k)
+    model.raw_rate, model.raw_k = _null(null[True], [(r["n"], r["best"]) for r in calm], model.raw_rate, model.raw_k)
+    x = np.array([model.evidence([(0, 0, v) for v in r["found"]], r["n"])[0] for r in docs])
+    y = np.array([r["toxic"] for r in docs], float)
+    model.slope, model.at = _curve(x, y)
+
+
+def _null(tally: dict[float, int], calm: list[tuple[int, float]], rate: float, k: float) -> tuple[float, float]:
+    """rate and K of neutral scores and of (words, best segment) of neutral documents; as given where there are none."""
+    s, p = np.array(list(tally), float), np.array(list(tally.values()), float)
     if len(s) and (s > 0).any() and (s < 0).any():
         p /= p.sum()
         lo, hi = 1e-3, 50.0
         for _ in range(60):  # the sum is below 1 up to the rate, if the mean score is negative
             mid = (lo + hi) / 2
             lo, hi = (mid, hi) if (p * np.exp(np.minimum(mid * s, 600))).sum() < 1 else (lo, mid)
-        model.rate = lo
-    calm = [r for r in docs if r[0] == 0]
+        rate = lo
     if calm:
-        model.k = 1 / max(np.mean([r[1] * math.exp(-min(600, model.rate * max(r[2], default=0.0))) for r in calm]), 1e-12)
-    x = np.array([model.evidence([(0, 0, v) for v in r[2]], r[1])[0] for r in docs])
-    y = np.array([r[0] for r in docs], float)
-    model.slope, model.at = _curve(x, y)
+        k = 1 / max(np.mean([n * math.exp(-min(600, rate * best)) for n, best in calm]), 1e-12)
+    return rate, k
 
 
 def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -240,10 +268,10 @@ def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
             texts = pc.fill_null(b.column(1), "").to_pylist()
             score, spans = [], []
             for lo in range(0, len(texts), 200):
-                for s in scanner.scores(texts[lo : lo + 200]):
-                    evidence, found = scanner.model.evidence(segments(s), len(s))
+                for raw, counted in scanner.both(texts[lo : lo + 200]):
+                    evidence, _ = scanner.model.evidence(segments(counted), len(counted))
                     score.append(scanner.model.score(evidence))
-                    spans.append([x for a, e, _ in found for x in (a, e)])
+                    spans.append([x for span in scanner.model.passages(segments(raw), len(raw)) for x in span])
             yield batch(schema, [b.column(0), score, [int(x >= 0.5) for x in score], [len(x) // 2 for x in spans], spans])
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, schema).withColumnRenamed("id", id_col)

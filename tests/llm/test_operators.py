@@ -203,6 +203,26 @@ def test_toxicity_finds_held_out_documents(spark):
     assert toxicity.scored_documents(df, lab.limit(0)).count() == len(docs)
 
 
+def test_toxicity_finds_later_passages_of_words_already_seen():
+    model = toxicity.Model({"=bad": 0.9, "=vile": 0.9, "=calm": 0.02}, 0.1, raw_rate=1.0, raw_k=0.5)
+    text = " ".join(["calm"] * 30 + ["bad", "vile"] * 3 + ["calm"] * 30 + ["vile", "bad"] * 3 + ["calm"] * 30)
+    ((raw, counted),) = toxicity.Scanner(model).both([text])
+    assert model.passages(toxicity.segments(raw), len(raw)) == [(30, 36), (66, 72)]
+    assert (counted > 0).sum() == 2 and (toxicity.Scanner(model).scores([text])[0] == counted).all()
+
+
+def test_toxicity_reports_repeats_of_a_passage(spark):
+    rng = random.Random(8)
+    calm, bad = [f"calm{i}" for i in range(200)], ["badword", "vileterm", "nastyone"]
+    filler = lambda n: [rng.choice(calm) for _ in range(n)]
+    docs = [(i, " ".join(filler(20) + bad * (i % 6 == 0) + filler(20))) for i in range(600)]
+    again = filler(40) + bad + filler(150) + bad + filler(40)
+    df = frame(spark, docs + [(5000, " ".join(again))])
+    labels = frame(spark, [(i, int(i % 6 == 0)) for i in range(600)], "doc_id long, toxic int")
+    (row,) = toxicity.toxicity(df, labels).filter("doc_id = 5000").collect()
+    assert row["predicted"] == 1 and row["passages"] == [40, 43, 193, 196] and row["n_passages"] == 2
+
+
 def test_search_reaches_its_recall_and_exact_scores(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(6000, 16)).astype(np.float32)
