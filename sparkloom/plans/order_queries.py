@@ -75,7 +75,7 @@ FILE_MARKERS = f"""{WITH_UNITS}
 
 
 def comment_blocks(spark, sf_dir):
-    """W-04 C-20: for each function line, the comment lines right above it, as gaps and islands."""
+    """W-04: for each function line, the comment lines right above it, as gaps and islands."""
     rows = ordered.exploded_lines(units(spark, sf_dir), "rust", ["id"])
     so_far = Window.partitionBy("id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     last_other = F.max(F.when(~t.strip(c("line")).startswith("//"), c("pos"))).over(so_far)
