@@ -1,8 +1,17 @@
-"""Nearest neighbours by a forest of random-projection trees with one priority queue for all trees of a query."""
+"""Nearest neighbours by a forest of random-projection trees with one priority queue for all trees of a query.
+
+Trees are fitted to a sample; all vectors are indexed. The queue gives leaves in the order of the largest margin by
+which their path leaves the query's side of a plane. A neighbour at distance d lies beyond a plane at margin m with the
+probability that a normal of deviation d / sqrt(dimensions) exceeds m, so a query's queue ends at the margin
+SLACK d / sqrt(dimensions), where d is the distance of its last neighbour as the sample tells it. Where vectors form
+clusters that is a small part of all leaves; where they lie evenly in many dimensions no index can leave much out, and
+most leaves are taken. With an endless slack the search is exhaustive and exact.
+"""
 
 from __future__ import annotations
 
 import heapq
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -13,14 +22,15 @@ from .shared import arrow_schema, prepare, stored
 
 #: Planes are fitted to at most this many vectors, those with the smallest hashes; all vectors are indexed.
 SAMPLE = 20_000
-TREES = 4
-LEAF = 256
-#: Leaves with more vectors are searched in blocks of about this many, each by a task of its own.
-BLOCK = 8192
-#: A query's queue ends when the leaves that it took hold this share of the sample, counted with repeats, and LEAST at least.
-SHARE = 1.3
-LEAST = 2048
+TREES = 8
+LEAF = 64
+SLACK = 0.65
+#: Neighbouring leaves that one task searches. Points and queries of such a region go in blocks of about this many.
+REGION = 16
+BLOCK, QUERIES = 8192, 2048
 TOP = 20
+#: A queue ends when it has met top of the sample's NEAR * top nearest, at the earliest.
+NEAR = 4
 
 
 class Tree:
@@ -96,25 +106,32 @@ class Forest:
         x = self.lift(x)
         return np.stack([t.leaves(x) for t in self.trees], 1)
 
-    def probes(self, q: np.ndarray, share: float, least: int, total: int) -> list[tuple[int, int]]:
-        """(tree, leaf) pairs in the order of one queue for all trees: the best margin that any path still has."""
+    def probes(self, q: np.ndarray, most: float, must: dict[tuple[int, int], list[int]] | None = None, least: int = 0) -> list[tuple[int, int]]:
+        """(tree, leaf) pairs of margin most or less, in the order of one queue for all trees: the least margin first.
+
+        must names vectors by their leaves; the queue goes on until it has met least of them.
+        """
         q = np.append(q / (np.linalg.norm(q) or 1.0), 0.0)
         margins = [t.planes @ q - np.array(t.offsets) for t in self.trees]
-        queue = [(-np.inf, i, t.root) for i, t in enumerate(self.trees)]
-        heapq.heapify(queue)
-        out, have, want = [], 0, max(least, share * total)
-        while queue and have < want:
+        queue = [(0.0, i, t.root) for i, t in enumerate(self.trees)]
+        out: list[tuple[int, int]] = []
+        met: set[int] = set()
+        while queue and (queue[0][0] <= most or len(met) < least):
             key, i, node = heapq.heappop(queue)
             t = self.trees[i]
             while node >= 0:
                 m = float(margins[i][node])
-                near, far = t.children[node][m > 0], t.children[node][m <= 0]
-                heapq.heappush(queue, (max(key, abs(m)), i, far))
-                node = near
+                heapq.heappush(queue, (max(key, abs(m)), i, t.children[node][m <= 0]))
+                node = t.children[node][m > 0]
             out.append((i, -node - 1))
-            have += t.sizes[-node - 1]
+            met.update((must or {}).get(out[-1], ()))
         return out
 
+    def distance(self, q: np.ndarray, score: float) -> float:
+        """Of the query and a vector of this inner product with it, both lifted."""
+        most = np.linalg.norm(q) * (math.sqrt(self.reach) or 1.0)
+        return math.sqrt(max(0.0, 2 - 2 * score / most)) if most else 0.0
+
 
 def inner_products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Row by row, summed from the first component to the last."""
@@ -124,9 +141,9 @@ def inner_products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return total
 
 
-def matrix(column: pa.Array) -> np.ndarray:
-    """Rows of a binary column of doubles."""
-    return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(len(column), -1)
+def matrix(column: pa.Array, kind: type) -> np.ndarray:
+    """Rows of a binary column of numbers of a kind, as doubles."""
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1).astype(np.float64)
 
 
 def _pick(query: np.ndarray, vec: np.ndarray, score: np.ndarray, top: int) -> np.ndarray:
@@ -138,21 +155,10 @@ def _pick(query: np.ndarray, vec: np.ndarray, score: np.ndarray, top: int) -> np
     return order[within < top]
 
 
-def search(vectors: DataFrame, every: int, top: int = TOP, trees: int = TREES, share: float = SHARE, least: int = LEAST, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(query_id, rank, vec_id, score): for each id divisible by every, the top other vectors by inner product found.
+def _clean(vectors: DataFrame, id_col: str, vector_col: str, kind: type) -> DataFrame:
+    """(id, v) of vectors that take part, v as bytes of numbers of a kind."""
 
-    Ranks go by score from high to low, then by the smaller id; scores are inner products of the original vectors in
-    double precision. Vectors that are null, of length zero, of another dimension than the sample's, or hold a null or
-    a number that is not finite, take no part. Fewer candidates give fewer rows. Equal vectors are indexed once, with
-    the top + 1 smallest of their ids: no other can be among the nearest. Rows with the same id and vector count once.
-
-    Trees are fitted to a sample of SAMPLE vectors; each vector goes to its leaf of each tree. Each leaf is searched by
-    one task, or by several in blocks, for all queries whose queue took it: a matrix product, then each query's best.
-    """
-    spark = vectors.sparkSession
-    prepare(spark)
-
-    def clean(batches):
+    def run(batches):
         for b in batches:
             ids, out = [], []
             for i, v in zip(b.column(0).to_pylist(), b.column(1), strict=True):
@@ -162,19 +168,75 @@ def search(vectors: DataFrame, every: int, top: int = TOP, trees: int = TREES, s
                 x = v.cast(pa.float64()).to_numpy()
                 if np.isfinite(x).all() and x.any():
                     ids.append(i)
-                    out.append((x + 0.0).tobytes())
+                    out.append((x + 0.0).astype(kind).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], schema=arrow_schema("id long, v binary"))
 
-    rows = stored(vectors.select(F.col(id_col).cast("long"), F.col(vector_col)).mapInArrow(clean, "id long, v binary").distinct(), "vectors")
-    sample = [bytes(r[0]) for r in rows.select("v", F.xxhash64("v").alias("h")).orderBy("h").limit(SAMPLE).select("v").collect()]
-    empty = "query_id long, rank int, vec_id long, score double"
+    return vectors.select(F.col(id_col).cast("long"), F.col(vector_col)).mapInArrow(run, "id long, v binary").distinct()
+
+
+def _by_leaf(points: pa.Table, asked: pa.Table, kind: type, top: int) -> pa.Table:
+    """(query, vec, score) of each query's best points in the leaves of a region that its queue took."""
+    out = [pa.table([[], [], []], schema=arrow_schema("query long, vec long, score double"))]
+    if not points.num_rows or not asked.num_rows:
+        return out[0]
+    x, ids, of_leaf = matrix(points["v"].combine_chunks(), kind), points["ids"].to_pylist(), points["leaf"].to_numpy()
+    q, query, bar = matrix(asked["v"].combine_chunks(), kind), asked["query"].to_numpy(), asked["bar"].to_numpy()
+    wanted = asked["leaves"].combine_chunks()
+    leaf_at, row_at = wanted.flatten().to_numpy(), np.repeat(np.arange(asked.num_rows), np.diff(wanted.offsets.to_numpy()))
+    for leaf in np.unique(of_leaf).tolist():
+        rows, held = row_at[leaf_at == leaf], np.flatnonzero(of_leaf == leaf)
+        if not len(rows):
+            continue
+        rough = q[rows] @ x[held].T
+        # The best distinct vectors by a product, and those that rounding could put among them; then exact scores.
+        least = bar[rows]
+        if len(held) > top + 1:
+            least = np.maximum(least, np.partition(rough, len(held) - top - 1, 1)[:, len(held) - top - 1])
+        a, c = np.nonzero(rough >= (least - 1e-9 * (1 + np.abs(least)))[:, None])
+        score = inner_products(q[rows[a]], x[held[c]])
+        n = np.array([len(ids[i]) for i in held[c].tolist()], np.int64)
+        vec = np.array([j for i in held[c].tolist() for j in ids[i]], np.int64)
+        a, score = np.repeat(query[rows[a]], n), np.repeat(score, n)
+        other = vec != a
+        best = _pick(a[other], vec[other], score[other], top)
+        out.append(pa.table([a[other][best], vec[other][best], score[other][best]], schema=out[0].schema))
+    return pa.concat_tables(out)
+
+
+def search(
+    vectors: DataFrame, every: int, top: int = TOP, trees: int = TREES, slack: float = SLACK, leaf: int = LEAF, id_col: str = "vec_id",
+    vector_col: str = "embedding",
+) -> DataFrame:
+    """(query_id, rank, vec_id, score): for each id divisible by every, the top other vectors by inner product found.
+
+    Ranks go by score from high to low, then by the smaller id; scores are inner products of the original vectors in
+    double precision. slack says how far a query's queue goes (see the module's text); math.inf finds the exact result.
+    Vectors that are null, of length zero, of another dimension than most of the sample's, or hold a null or a number
+    that is not finite, take no part. Fewer candidates give fewer rows, an empty table none. Equal vectors are indexed
+    once, with the top + 1 smallest of their ids: no other can be among the nearest. Rows with the same id and vector
+    count once; a vector's best score counts where an id has several. Columns beside the two named take no part.
+
+    Trees are fitted to a sample of SAMPLE vectors; each vector goes to its leaf of each tree. A region of neighbouring
+    leaves is searched by one task, or by several in blocks of its points and of the queries that ask for it.
+    """
+    spark = vectors.sparkSession
+    prepare(spark)
+    kind = np.float32 if vectors.schema[vector_col].dataType.elementType.typeName() == "float" else np.float64
+    width_of = np.dtype(kind).itemsize
+    rows = stored(_clean(vectors, id_col, vector_col, kind), "vectors")
+    drawn = rows.select("id", "v", F.xxhash64("v", "id").alias("h")).orderBy("h").limit(SAMPLE).select("id", "v").collect()
+    sample = list({r[0]: bytes(r[1]) for r in drawn}.values())
     if not sample:
-        return spark.createDataFrame([], empty)
-    width = max({len(x) for x in sample}, key=[len(x) for x in sample].count)
-    points = np.array([np.frombuffer(x) for x in sample if len(x) == width])
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    sizes = [len(x) for x in sample]
+    width = max(set(sizes), key=sizes.count)
+    points = np.array([np.frombuffer(x, kind) for x in sample if len(x) == width]).astype(np.float64)
     rows = rows.filter(F.octet_length("v") == width)
-    forest = spark.sparkContext.broadcast(Forest(points, trees, LEAF))
-    total = len(points)
+    forest = Forest(points, trees, leaf)
+    shared = spark.sparkContext.broadcast((forest, points, forest.index(points)))
+    # A neighbour's rank among the sample, which also holds the query now and then.
+    last = max(1, round(top * min(1.0, len(points) / rows.count())))
+    reach = slack / math.sqrt(width // width_of + 1)
 
     # The smallest ids of each vector: first of each of many shares of its rows, then of those.
     salted = Window.partitionBy("v", F.pmod(F.xxhash64("id"), F.lit(64))).orderBy("id")
@@ -186,63 +248,58 @@ def search(vectors: DataFrame, every: int, top: int = TOP, trees: int = TREES, s
         for b in batches:
             if not b.num_rows:
                 continue
-            leaves = forest.value.index(matrix(b.column(0)))
+            leaves = shared.value[0].index(matrix(b.column(0), kind))
             n = leaves.shape[1]
-            take = np.repeat(np.arange(len(leaves)), n)
-            cells = np.tile(np.arange(n), len(leaves)) << 32 | leaves.ravel()
-            yield pa.RecordBatch.from_arrays([pa.array(cells), b.column(0).take(pa.array(take)), b.column(1).take(pa.array(take))], schema=arrow_schema("cell long, v binary, ids array<long>"))
-
-    placed = stored(distinct.mapInArrow(place, "cell long, v binary, ids array<long>"), "placed")
-    # At most as many rows as the forest has leaves.
-    blocks = placed.groupBy("cell").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / BLOCK)).cast("long").alias("blocks"))
-    blocks = stored(blocks, "blocks")
+            take = pa.array(np.repeat(np.arange(len(leaves)), n))
+            regions = np.tile(np.arange(n), len(leaves)) << 32 | leaves.ravel() // REGION
+            columns = [pa.array(regions), pa.array(leaves.ravel().astype(np.int64)), b.column(0).take(take), b.column(1).take(take)]
+            yield pa.RecordBatch.from_arrays(columns, schema=arrow_schema("region long, leaf long, v binary, ids array<long>"))
 
     def ask(batches):
+        forest, known, known_leaves = shared.value
         for b in batches:
-            cells, of = [], []
-            for i, q in enumerate(matrix(b.column(1)) if b.num_rows else []):
-                found = forest.value.probes(q, share, least, total)
-                cells += [t << 32 | leaf for t, leaf in found]
-                of += [i] * len(found)
-            of = pa.array(of, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), b.column(0).take(of), b.column(1).take(of)], schema=arrow_schema("cell long, query long, v binary"))
-
-    asked = rows.filter(F.col("id") % every == 0).select("id", "v").mapInArrow(ask, "cell long, query long, v binary")
-    asked = asked.join(F.broadcast(blocks.toDF("cell", "m")), "cell").selectExpr("cell", "query", "v", "explode(sequence(0L, m - 1)) AS block")
-    held = placed.join(F.broadcast(blocks.toDF("cell", "n")), "cell").selectExpr("cell AS leaf", "v AS point", "ids", "pmod(xxhash64(v), n) AS part")
-
-    def leaf(_, left, right):
-        left, right = (x if isinstance(x, pa.Table) else pa.Table.from_batches(x) for x in (left, right))
-        if not left.num_rows or not right.num_rows:
-            return pa.table([[], [], []], schema=arrow_schema("query long, vec long, score double"))
-        x, ids = matrix(left["point"].combine_chunks()), left["ids"].to_pylist()
-        m = np.array([len(i) for i in ids])
-        flat, of = np.array([j for i in ids for j in i], np.int64), np.repeat(np.arange(len(ids)), m)
-        out = []
-        for lo in range(0, right.num_rows, 512):
-            part = right.slice(lo, 512)
-            q, query = matrix(part["v"].combine_chunks()), part["query"].to_numpy()
-            rough = q @ x.T
-            keep = min(top + 1, len(x))
-            # The best distinct vectors by a product, and those that rounding could put among them; then exact scores.
-            bar = np.partition(rough, len(x) - keep, 1)[:, len(x) - keep] if len(x) > keep else rough.min(1)
-            a, c = np.nonzero(rough >= (bar - 1e-9 * (1 + np.abs(bar)))[:, None])
-            score = inner_products(q[a], x[c])
-            # every id of those vectors
-            begin = np.cumsum(m) - m
-            n = m[c]
-            pos = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[c], n)
-            a, score, vec = np.repeat(a, n), np.repeat(score, n), flat[pos]
-            other = vec != query[a]
-            a, score, vec = a[other], score[other], vec[other]
-            best = _pick(query[a], vec, score, top)
-            out.append(pa.table([query[a][best], vec[best], score[best]], schema=arrow_schema("query long, vec long, score double")))
-        return pa.concat_tables(out)
-
-    def by_leaf(key, left, right):
-        return leaf(key, left, right)
-
-    found = held.groupBy("leaf", "part").cogroup(asked.groupBy("cell", "block")).applyInArrow(by_leaf, "query long, vec long, score double")
+            regions, of, bars, leaves = [], [], [], []
+            for i, q in enumerate(matrix(b.column(1), kind) if b.num_rows else []):
+                scores = known @ q
+                near = np.argpartition(-scores, NEAR * top)[: NEAR * top] if len(scores) > NEAR * top else np.arange(len(scores))
+                near = near[np.argsort(-scores[near])]
+                scores = scores[near]
+                must: dict[tuple[int, int], list[int]] = {}
+                for n, own in zip(near.tolist(), known_leaves[near].tolist(), strict=True):
+                    for at in enumerate(own):
+                        must.setdefault(at, []).append(n)
+                most = reach * forest.distance(q, scores[min(last, len(scores) - 1)]) if math.isfinite(reach) else math.inf
+                taken: dict[int, list[int]] = {}
+                for t, n in forest.probes(q, most, must, min(top + 1, len(near))):
+                    taken.setdefault(t << 32 | n // REGION, []).append(n)
+                regions += taken
+                leaves += taken.values()
+                of += [i] * len(taken)
+                # The leaves taken hold top others at least that score this, so that nothing below it is among those found.
+                bars += [scores[-1] if len(scores) == NEAR * top else -math.inf] * len(taken)
+            columns = [pa.array(regions, pa.int64()), b.column(0).take(pa.array(of, pa.int64())), pa.array(bars, pa.float64()), pa.array(leaves, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, schema=arrow_schema("region long, query long, bar double, leaves array<long>"))
+
+    queries = rows.filter(F.col("id") % every == 0).select("id", "v")
+    asked = stored(queries.mapInArrow(ask, "region long, query long, bar double, leaves array<long>"), "asked")
+    placed = distinct.mapInArrow(place, "region long, leaf long, v binary, ids array<long>")
+    # At most as many rows as the forest has regions.
+    blocks = placed.groupBy("region").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / BLOCK)).cast("long").alias("blocks"))
+    turns = asked.groupBy("region").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / QUERIES)).cast("long").alias("turns"))
+    cuts = stored(blocks.join(turns, "region"), "blocks")
+    # An id with several vectors asks for what any of them takes, with each.
+    asked = asked.join(queries.select(F.col("id").alias("query"), "v"), "query").distinct()
+    asked = asked.join(F.broadcast(cuts), "region").withColumn("turn", F.pmod(F.xxhash64("query"), "turns"))
+    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    held = placed.join(F.broadcast(cuts), "region").withColumn("block", F.pmod(F.xxhash64("v"), "blocks"))
+    held = held.withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1)))
+
+    def run(_, left: pa.Table, right: pa.Table) -> pa.Table:
+        return _by_leaf(left, right, kind, top)
+
+    by = ["region", "block", "turn"]
+    held, asked = held.select(*by, "leaf", "v", "ids"), asked.select(*by, "query", "v", "bar", "leaves")
+    found = held.groupBy(*by).cogroup(asked.groupBy(*by)).applyInArrow(run, "query long, vec long, score double")
     best = found.groupBy("query", "vec").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec"))
     ranked = best.withColumn("rank", rank).filter(F.col("rank") <= top)

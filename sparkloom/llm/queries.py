@@ -96,10 +96,4 @@ ORACLE_SQL: dict[str, str] = {
         reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, w.y FROM reach r JOIN ways w ON w.x = r.y),
         least AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x)
         SELECT s.doc_id, len(s.s) AS n_shingles, l.component_id FROM sets s JOIN least l ON l.x = s.doc_id""",
-    "op9_ann_forest": """
-        WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
-        scored AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) AS score
-            FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
-        ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM scored)
-        SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM ranked WHERE r <= 20""",
 }

@@ -230,7 +230,7 @@ def test_search_reaches_its_recall_and_exact_scores(spark):
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(9000, None), (9001, [0.0] * 16), (9002, [float("nan")] * 16), (9003, [1.0] * 15 + [None]), (9020, [])]
     df = frame(spark, rows, "vec_id long, embedding array<float>")
     got = {}
-    for r in ann_forest.search(df, every=500, least=512).orderBy("query_id", "rank").collect():
+    for r in ann_forest.search(df, every=500).orderBy("query_id", "rank").collect():
         got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
     assert sorted(got) == list(range(0, 6000, 500))
     y, hits = x.astype(np.float64), 0
