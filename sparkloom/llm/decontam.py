@@ -4,11 +4,15 @@ Texts and items are compared as lower-case letters and digits with one space for
 n characters may differ by e = floor(RATE n) edits. Cut into e + 1 pieces, at least one piece stands unchanged in any
 such passage, so exact hits of pieces (one automaton for all items) find all candidates. A candidate must hold enough
 of the item's 4-character grams (each edit costs 4 at most), and then Myers' bit-parallel distance decides.
+
+Items of fewer than LEAST characters have no budget: they are found as whole words only, since parts of longer words
+and single edits would be found in clean texts.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -82,12 +86,13 @@ class Matcher:
 
     items: list[tuple[int, str]]
     rate: float = RATE
+    least: int = LEAST
     errors: list[int] = field(init=False)
 
     def __post_init__(self):
         import ahocorasick
 
-        self.errors = [int(self.rate * len(t) + 1e-9) for _, t in self.items]
+        self.errors = [int(self.rate * len(t) + 1e-9) if len(t) >= self.least else 0 for _, t in self.items]
         at: dict[str, list[tuple[int, int]]] = {}
         for i, (_, t) in enumerate(self.items):
             for offset, piece in pieces(t, self.errors[i]):
@@ -97,11 +102,16 @@ class Matcher:
             self.tool.add_word(piece, uses)
         if at:
             self.tool.make_automaton()
-        self.marks = np.zeros((len(self.items), 1 << 16), bool)
-        for i, (_, t) in enumerate(self.items):
-            self.marks[i, grams(t)] = True
+        self.codes = [np.unique(grams(t)) for _, t in self.items]
         self.enough = [len(t) - GRAM + 1 - GRAM * e for (_, t), e in zip(self.items, self.errors, strict=True)]
 
+    def _enough(self, i: int, codes: np.ndarray) -> bool:
+        """Whether enough grams of a window are grams of item i."""
+        if self.enough[i] <= 0:
+            return True
+        own = self.codes[i]
+        return (own[np.minimum(np.searchsorted(own, codes), len(own) - 1)] == codes).sum() >= self.enough[i]
+
     def leaks(self, text: str) -> list[tuple[int, int, int, int]]:
         """(item id, distance, start, end) of the best passage of each item in a normal text, by item id."""
         if not self.items:
@@ -121,7 +131,11 @@ class Matcher:
                     continue
                 lo, hi = max(0, at - e), min(len(text), at + e + len(item) + e)
                 tried_to = at + e
-                if self.marks[i, codes[lo : max(lo, hi - GRAM + 1)]].sum() < self.enough[i]:
+                if len(item) < self.least:
+                    if (lo == 0 or text[lo - 1] == " ") and (hi == len(text) or text[hi] == " ") and best is None:
+                        best = (0, lo, hi)
+                    continue
+                if not self._enough(i, codes[lo : max(lo, hi - GRAM + 1)]):
                     continue
                 hit = myers(item, text[lo:hi], e)
                 if hit is not None and (best is None or hit[0] < best[0]):
@@ -135,11 +149,12 @@ class Matcher:
 _MATCHERS: dict[tuple, Matcher] = {}
 
 
-def matcher(items: list[tuple[int, str]], rate: float) -> Matcher:
-    key = (hash(tuple(items)), len(items), rate)
+def matcher(items: list[tuple[int, str]], rate: float, least: int) -> Matcher:
+    """The last one built stays for the tasks that follow in the same worker."""
+    key = (hash(tuple(items)), len(items), rate, least)
     if key not in _MATCHERS:
         _MATCHERS.clear()
-        _MATCHERS[key] = Matcher(items, rate)
+        _MATCHERS[key] = Matcher(items, rate, least)
     return _MATCHERS[key]
 
 
@@ -156,59 +171,59 @@ def original_span(text: str, start: int, end: int) -> tuple[int, int]:
     return first or 0, last
 
 
-def blocks(benchmark: DataFrame, item_col: str, text_col: str, least: int) -> list[list[tuple[int, str]]]:
-    """The items by blocks; a block's size bounds what is broadcast at once."""
-    out: list[list[tuple[int, str]]] = []
-    room = 0
-    for item_id, text in benchmark.select(F.col(item_col).cast("long"), F.col(text_col).cast("string")).distinct().orderBy(item_col, text_col).toLocalIterator():
+def blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
+    """The items by blocks, of which the driver holds one at a time; a block's size bounds what a task holds."""
+    held: list[tuple[int, str]] = []
+    room = BLOCK_CHARS
+    rows = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(text_col).cast("string").alias("text"))
+    for item_id, text in rows.distinct().orderBy("item", "text").toLocalIterator():
         text = normal(text or "")
-        if item_id is None or len(text) < least:
+        if item_id is None or not text:
             continue
-        if not out or room < len(text):
-            out.append([])
-            room = BLOCK_CHARS
-        out[-1].append((item_id, text))
+        if held and room < len(text):
+            yield held
+            held, room = [], BLOCK_CHARS
+        held.append((item_id, text))
         room -= len(text)
-    return out
+    if held:
+        yield held
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def find_leaks(
+    docs: DataFrame, benchmark: DataFrame, rate: float = RATE, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text",
+    item_col: str = "item_id", item_text_col: str = "text",
+) -> DataFrame:
     """(id, item_ids, distances, spans) of each row that holds an item, up to rate edits a character.
 
-    item_ids go up; distances are those of each item's best passage; spans holds start and end of each in the text, in
-    turn, in code points. Items that are null or have fewer than least normal characters take no part: they would be
-    found in clean texts. A null or empty text holds nothing. Rows are judged each, so repeated rows come repeatedly.
+    item_ids go up, each once; distances are those of each item's best passage, the first of several; spans holds start
+    and end of each in the text, in turn, in code points. Items of fewer than least normal characters are found without
+    edits, as whole words. Items that are null or without letters and digits take no part. A null or empty text holds
+    nothing, and a text of any length is searched whole. Rows are judged each, so repeated rows come repeatedly. An
+    empty table of either kind gives an empty one. Results do not depend on how many blocks the items take.
     """
     spark = docs.sparkSession
     prepare(spark)
-    schema = "id long, item_ids array<long>, distances array<int>, spans array<int>"
-    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    parts = []
-    for block in blocks(benchmark, item_col, item_text_col, least):
+    found_schema = "item_ids array<long>, distances array<int>, spans array<int>"
+    out = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    out = out.select("id", "text", *[F.lit(None).cast(kind).alias(name) for name, kind in (x.split() for x in found_schema.split(", "))])
+    for block in blocks(benchmark, item_col, item_text_col):
         shared = spark.sparkContext.broadcast(block)
 
         def run(batches, shared=shared):
-            tool = matcher(shared.value, rate)
+            tool = matcher(shared.value, rate, least)
             for b in batches:
-                ids, items, distances, spans = [], [], [], []
-                for i, text in zip(b.column(0).to_pylist(), pc.fill_null(b.column(1), "").to_pylist(), strict=True):
-                    found = tool.leaks(normal(text))
-                    if found:
-                        ids.append(i)
-                        items.append([x[0] for x in found])
-                        distances.append([x[1] for x in found])
-                        spans.append([y for x in found for y in original_span(text, x[2], x[3])])
-                yield batch(schema, [ids, items, distances, spans])
-
-        parts.append(slim.mapInArrow(run, schema))
-    if not parts:
-        return spark.createDataFrame([], schema.replace("id long", f"{id_col} long", 1))
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.union(x)
-    if len(parts) > 1:  # a document's items of all blocks
-        out = out.groupBy("id").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("item_ids", "distances", "spans")])
-    return out.withColumnRenamed("id", id_col)
+                rows = []
+                for text, ids, distances, spans in zip(*(c.to_pylist() for c in b.columns[1:]), strict=True):
+                    found = {i: (d, spans[2 * n], spans[2 * n + 1]) for n, (i, d) in enumerate(zip(ids or [], distances or [], strict=True))}
+                    for i, d, start, end in tool.leaks(normal(text or "")):
+                        if i not in found or d < found[i][0]:
+                            found[i] = (d, *original_span(text, start, end))
+                    order = sorted(found)
+                    rows.append((order, [found[i][0] for i in order], [x for i in order for x in found[i][1:]]) if found else (None,) * 3)
+                yield batch(f"id long, text string, {found_schema}", [b.column(0), b.column(1), *([r[c] for r in rows] for c in range(3))])
+
+        out = out.mapInArrow(run, f"id long, text string, {found_schema}")
+    return out.filter("item_ids IS NOT NULL").select(F.col("id").alias(id_col), "item_ids", "distances", "spans")
 
 
 def leaked_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -217,15 +232,18 @@ def leaked_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return out.select("doc_id", F.size("item_ids").cast("long").alias("n_items"), "item_ids", F.array_min("distances").alias("distance"))
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, least: int = LEAST, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def drop_leaks(
+    docs: DataFrame, benchmark: DataFrame, rate: float = RATE, least: int = LEAST, text_col: str = "text", item_col: str = "item_id",
+    item_text_col: str = "text",
+) -> DataFrame:
     """docs, all columns, without the rows whose text holds an item (see find_leaks)."""
     prepare(docs.sparkSession)
     at = docs.columns.index(text_col)
-    for block in blocks(benchmark, item_col, item_text_col, least):
+    for block in blocks(benchmark, item_col, item_text_col):
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches, shared=shared):
-            tool = matcher(shared.value, rate)
+            tool = matcher(shared.value, rate, least)
             for b in batches:
                 texts = pc.fill_null(pc.cast(b.column(at), pa.string()), "").to_pylist()
                 yield b.filter(pa.array([not tool.leaks(normal(t)) for t in texts], pa.bool_()))
