@@ -11,25 +11,26 @@ Passages. One scan finds all maximal scoring segments (Ruzzo and Tompa). Under n
 P(S <= s) = exp(-K n exp(-rate s)); rate solves sum p exp(rate s) = 1 over neutral tokens, K is fitted to neutral
 documents of a fold the counts did not use. A segment is a passage where rate S - log(K n) is positive, with rate and K
 of the scores as they are. The same over scores that count once, with their own rate and K, adds up to the document's
-evidence, and a logistic curve fitted to that fold turns evidence into a score.
+evidence, and a logistic curve of its logarithm, fitted to that fold, turns evidence into a score.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import batch, prepare, stored
+from .shared import batch, prepare, row_chunks, stored, word_bounds, word_hashes
 
-#: Bounds of the labelled sample (rows with the smallest hashes) and of the token table.
+#: Bound of the labelled sample (rows with the smallest hashes), the only one: all its words and prefixes are counted.
 TRAIN_ROWS = 20_000
-FEATURES = 200_000
 PREFIXES = (3, 4, 5, 6)
 WORD_COUNT = 5
 PRIOR, CHAIN, DRIFT = 20.0, 10.0, 0.5
@@ -42,9 +43,23 @@ def features(word: str) -> list[str]:
     return [word[:n] for n in PREFIXES if len(word) >= n] + ["=" + word]
 
 
+class Shares:
+    """Shares of features by their 64-bit hashes, in two arrays: 16 bytes each, whatever the words."""
+
+    def __init__(self, shares: dict[str, float]):
+        keys = np.array([xxhash.xxh64_intdigest(f) for f in shares], np.uint64)
+        order = np.argsort(keys)
+        self.keys, self.values = keys[order], np.array(list(shares.values()), np.float64)[order]
+
+    def get(self, feature: str, default: float) -> float:
+        key = np.uint64(xxhash.xxh64_intdigest(feature))
+        at = int(np.searchsorted(self.keys, key))
+        return float(self.values[at]) if at < len(self.keys) and self.keys[at] == key else default
+
+
 @dataclass
 class Model:
-    shares: dict[str, float]
+    shares: dict[str, float] | Shares
     base: float
     rate: float = 1.0
     k: float = 1.0
@@ -52,7 +67,7 @@ class Model:
     raw_rate: float = 1.0
     raw_k: float = 1.0
     slope: float = 1.0
-    at: float = 0.0
+    at: float = 3.0
 
     def token(self, raw: str) -> float:
         word = raw.strip(MARKS).lower()
@@ -72,7 +87,7 @@ class Model:
         return [(a, b) for a, b, s in segments if self.raw_rate * s > least]
 
     def score(self, evidence: float) -> float:
-        return 1 / (1 + math.exp(-max(-60.0, min(60.0, self.slope * (evidence - self.at)))))
+        return 1 / (1 + math.exp(-max(-60.0, min(60.0, self.slope * (math.log1p(evidence) - self.at)))))
 
 
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
@@ -98,37 +113,55 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     return [(a, b, right - left) for a, b, left, right, _ in stack]
 
 
+def words_of(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, Callable[[int], str]]]:
+    """(first row, end row, word hashes, word at which each row begins, the text of a word) of chunks of rows.
+
+    Words are runs without ASCII white space; those that differ in the case of A-Z only share their hash.
+    """
+    for lo, hi, data, at in row_chunks(column):
+        starts, ends, words_at = word_bounds(data, at)
+        yield lo, hi, word_hashes(data, starts, ends), words_at, lambda i, d=data, s=starts, e=ends: d[s[i] : e[i]].tobytes().decode("utf-8", "replace")
+
+
 class Scanner:
     """Token scores of texts, each word looked up once."""
 
     def __init__(self, model: Model):
-        self.model, self.known = model, {}
+        self.model, self.keys, self.values = model, np.zeros(0, np.uint64), np.zeros(0)
+
+    def _looked_up(self, hashes: np.ndarray, word: Callable[[int], str]) -> np.ndarray:
+        distinct, first, of = np.unique(hashes, return_index=True, return_inverse=True)
+        fresh = ~np.isin(distinct, self.keys, assume_unique=True)
+        if fresh.any():
+            found = np.array([self.model.token(word(i)) for i in first[fresh].tolist()])
+            if len(self.keys) + len(found) > CACHED_WORDS:
+                known = distinct[~fresh]
+                self.keys, self.values = known, self.values[np.searchsorted(self.keys, known)]
+            keys = np.concatenate((self.keys, distinct[fresh]))
+            order = np.argsort(keys)
+            self.keys, self.values = keys[order], np.concatenate((self.values, found))[order]
+        return self.values[np.searchsorted(self.keys, distinct)][of]
+
+    def rows(self, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Of each row: scores as they are, and those for evidence, where a positive word counts where it first stands."""
+        for lo, hi, hashes, at, word in words_of(column):
+            values = self._looked_up(hashes, word)
+            for i in range(hi - lo):
+                raw, own = values[at[i] : at[i + 1]], hashes[at[i] : at[i + 1]]
+                up = np.flatnonzero(raw > 0)
+                again = np.ones(len(up), bool)
+                again[np.unique(own[up], return_index=True)[1]] = False
+                counted = raw.copy()
+                counted[up[again]] = -DRIFT
+                yield raw, counted
+
+    def both(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        return list(self.rows(pa.array(texts, pa.string())))
 
     def scores(self, texts: list[str]) -> list[np.ndarray]:
-        """For evidence: a positive token counts where it first stands in its text."""
+        """For evidence."""
         return [counted for _, counted in self.both(texts)]
 
-    def both(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Scores as they are, and those for evidence."""
-        split = [t.split() for t in texts]
-        fresh = set().union(*split) - self.known.keys()
-        if len(self.known) + len(fresh) > CACHED_WORDS:
-            self.known, fresh = {}, set().union(*split)
-        for w in fresh:
-            self.known[w] = self.model.token(w)
-        get = self.known.__getitem__
-        out = []
-        for words in split:
-            raw = np.fromiter(map(get, words), np.float64, len(words))
-            s = raw.copy()
-            seen: set[str] = set()
-            for i in np.flatnonzero(s > 0).tolist():
-                if words[i] in seen:
-                    s[i] = -DRIFT
-                seen.add(words[i])
-            out.append((raw, s))
-        return out
-
 
 def held_out(id_col: str = "doc_id"):
     """The remainder that splits labelled rows: 0 is never learned from."""
@@ -144,7 +177,7 @@ def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """Counts come from folds 1 to 3, the null model and the curve from fold 4. Without both labels, scores are even."""
+    """Counts come from folds 1 to 3, the null model and the curve from fold 4. Without both labels, no text is toxic."""
     spark = docs.sparkSession
     prepare(spark)
     rows = sample(docs, labels)
@@ -152,22 +185,25 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     def count(batches):
         seen: dict[str, list[int]] = {}
         for b in batches:
-            for toxic, text in zip(b.column(0).to_pylist(), pc.fill_null(b.column(1), "").to_pylist(), strict=True):
-                for raw in text.split():
-                    word = raw.strip(MARKS).lower()
-                    if word:
-                        seen.setdefault(word, [0, 0])[toxic] += 1
+            for lo, hi, hashes, at, word in words_of(b.column(1)):
+                toxic = np.repeat(b.column(0).to_numpy()[lo:hi], np.diff(at)).astype(np.float64)
+                _, first, of, n = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
+                for i, y1, all_ in zip(first.tolist(), np.bincount(of, toxic).tolist(), n.tolist(), strict=True):
+                    if plain := word(i).strip(MARKS).lower():
+                        y = seen.setdefault(plain, [0, 0])
+                        y[0] += all_ - int(y1)
+                        y[1] += int(y1)
         yield batch("word string, y0 long, y1 long", [list(seen), [x[0] for x in seen.values()], [x[1] for x in seen.values()]])
 
     words = stored(rows.filter("fold != 4").select("toxic", "text").mapInArrow(count, "word string, y0 long, y1 long").groupBy("word").agg(F.sum("y0").alias("y0"), F.sum("y1").alias("y1")), "words")
     n0, n1 = (x or 0 for x in words.agg(F.sum("y0"), F.sum("y1")).first())
     if not n0 or not n1:
-        return Model({}, 0.5, slope=0.0)
+        return Model({}, 0.5)
     base = (n1 + 1) / (n0 + n1 + 2)
     # Prefixes of characters, as Python cuts them: Spark's substring counts code points, too.
     keys = F.array(*[F.when(F.length("word") >= n, F.substring("word", 1, n)) for n in PREFIXES], F.when(F.col("y0") + F.col("y1") >= WORD_COUNT, F.concat(F.lit("="), "word")))
     table = words.select(F.explode(F.array_compact(keys)).alias("f"), "y0", "y1").groupBy("f").agg(F.sum("y0").alias("y0"), F.sum("y1").alias("y1"))
-    kept = table.orderBy(F.desc(F.col("y0") + F.col("y1")), "f").limit(FEATURES).toArrow()
+    kept = table.toArrow()
     counts = dict(zip(kept["f"].to_pylist(), zip(kept["y0"].to_pylist(), kept["y1"].to_pylist(), strict=True), strict=True))
     shares: dict[str, float] = {}
     for f in sorted(counts, key=lambda x: (x[0] == "=", len(x), x)):
@@ -177,53 +213,55 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
                 parent, weight = shares[p], CHAIN
         y0, y1 = counts[f]
         shares[f] = (y1 + weight * parent) / (y0 + y1 + weight)
-    model = Model(shares, base)
+    model = Model(Shares(shares), base)
     _calibrate(model, rows.filter("fold = 4"))
     return model
 
 
 def _calibrate(model: Model, rows: DataFrame) -> None:
+    """The null model, then the curve. Of each labelled row one row comes to the driver, and counts of rounded scores."""
     spark = rows.sparkSession
     shared = spark.sparkContext.broadcast(model)
-
-    schema = "toxic int, n long, found array<double>, best double, raw boolean, at double, count long"
+    schema = "raw boolean, at double, count long, n long, best double"
 
     def scan(batches):
         scanner = Scanner(shared.value)
         tally: dict[tuple[bool, float], int] = {}
         for b in batches:
-            toxic, texts = b.column(0).to_pylist(), pc.fill_null(b.column(1), "").to_pylist()
-            found, best = [], []
-            for t, both in zip(toxic, scanner.both(texts), strict=True):
-                raw, counted = both
-                found.append([x for _, _, x in segments(counted)])
-                best.append(max((x for _, _, x in segments(raw)), default=0.0))
-                if not t:
-                    for kind, s in ((True, raw), (False, counted)):
-                        at, n = np.unique(np.round(s, 2), return_counts=True)
-                        for a, m in zip(at.tolist(), n.tolist(), strict=True):
-                            tally[kind, a] = tally.get((kind, a), 0) + m
-            none = [None] * len(toxic)
-            yield batch(schema, [toxic, [len(t.split()) for t in texts], found, best, none, none, none])
+            out = []
+            for both in scanner.rows(b.column(1)):
+                for kind, s in zip((True, False), both, strict=True):
+                    out.append((kind, len(s), max((x for _, _, x in segments(s)), default=0.0)))
+                    at, n = np.unique(np.round(s, 2), return_counts=True)
+                    for a, m in zip(at.tolist(), n.tolist(), strict=True):
+                        tally[kind, a] = tally.get((kind, a), 0) + m
+            none = [None] * len(out)
+            yield batch(schema, [[x[0] for x in out], none, none, [x[1] for x in out], [x[2] for x in out]])
         none = [None] * len(tally)
-        yield batch(schema, [none, none, none, none, [k for k, _ in tally], [a for _, a in tally], list(tally.values())])
-
-    got = rows.select("toxic", "text").mapInArrow(scan, schema).collect()
-    docs = [r for r in got if r["toxic"] is not None and r["n"]]
-    calm = [r for r in docs if r["toxic"] == 0]
-    null: dict[bool, dict[float, int]] = {True: {}, False: {}}
-    for r in got:
-        if r["at"] is not None:
-            null[r["raw"]][r["at"]] = null[r["raw"]].get(r["at"], 0) + r["count"]
-    model.rate, model.k = _null(null[False], [(r["n"], max(r["found"], default=0.0)) for r in calm], model.rate, model.k)
-    model.raw_rate, model.raw_k = _null(null[True], [(r["n"], r["best"]) for r in calm], model.raw_rate, model.raw_k)
-    x = np.array([model.evidence([(0, 0, v) for v in r["found"]], r["n"])[0] for r in docs])
-    y = np.array([r["toxic"] for r in docs], float)
-    model.slope, model.at = _curve(x, y)
-
-
-def _null(tally: dict[float, int], calm: list[tuple[int, float]], rate: float, k: float) -> tuple[float, float]:
-    """rate and K of neutral scores and of (words, best segment) of neutral documents; as given where there are none."""
+        yield batch(schema, [[k for k, _ in tally], [a for _, a in tally], list(tally.values()), none, none])
+
+    got = rows.filter("toxic = 0").select("toxic", "text").mapInArrow(scan, schema).groupBy("raw", "at", "n", "best").agg(F.sum(F.coalesce("count", F.lit(1))).alias("count")).collect()
+    for raw in (True, False):
+        tally = {r["at"]: r["count"] for r in got if r["raw"] == raw and r["at"] is not None}
+        calm = [(r["n"], r["best"], r["count"]) for r in got if r["raw"] == raw and r["n"]]
+        if raw:
+            model.raw_rate, model.raw_k = _null(tally, calm, model.raw_rate, model.raw_k)
+        else:
+            model.rate, model.k = _null(tally, calm, model.rate, model.k)
+    shared = spark.sparkContext.broadcast(model)
+
+    def weigh(batches):
+        scanner = Scanner(shared.value)
+        for b in batches:
+            found = [(len(s), scanner.model.evidence(segments(s), len(s))[0]) for _, s in scanner.rows(b.column(1))]
+            yield batch("toxic long, n long, evidence double", [b.column(0).cast(pa.int64()), [n for n, _ in found], [x for _, x in found]])
+
+    docs = rows.select("toxic", "text").mapInArrow(weigh, "toxic long, n long, evidence double").filter("n > 0").select("toxic", "evidence").collect()
+    model.slope, model.at = _curve(np.log1p(np.array([r["evidence"] for r in docs])), np.array([r["toxic"] for r in docs], float))
+
+
+def _null(tally: dict[float, int], calm: list[tuple[int, float, int]], rate: float, k: float) -> tuple[float, float]:
+    """rate and K of neutral scores and of (words, best segment, how often) of neutral documents; as given without any."""
     s, p = np.array(list(tally), float), np.array(list(tally.values()), float)
     if len(s) and (s > 0).any() and (s < 0).any():
         p /= p.sum()
@@ -233,15 +271,14 @@ def _null(tally: dict[float, int], calm: list[tuple[int, float]], rate: float, k
             lo, hi = (mid, hi) if (p * np.exp(np.minimum(mid * s, 600))).sum() < 1 else (lo, mid)
         rate = lo
     if calm:
-        k = 1 / max(np.mean([n * math.exp(-min(600, rate * best)) for n, best in calm]), 1e-12)
+        k = 1 / max(np.average([n * math.exp(-min(600, rate * best)) for n, best, _ in calm], weights=[m for *_, m in calm]), 1e-12)
     return rate, k
 
 
 def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and midpoint of a logistic curve by Newton steps, with a weak prior on the slope. x counts up to 30."""
+    """Slope and midpoint of a logistic curve by Newton steps, with a weak prior on the slope."""
     if not len(x) or y.min() == y.max():
         return 1.0, 3.0
-    x = np.minimum(x, 30.0)
     w = np.array([0.0, 0.1])
     a = np.stack((np.ones_like(x), x), 1)
     for _ in range(50):
@@ -256,7 +293,8 @@ def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score, predicted, n_passages, passages) of each row; passages holds first and end word of each, in turn.
 
-    A null or empty text has no passage and the score of no evidence. Rows are scored each, whatever their id.
+    A null or empty text has no passage and the score of no evidence. Rows are scored each, whatever their id. Texts of
+    any length are scanned whole, in time that grows with their words; an empty table gives an empty one.
     """
     prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -265,13 +303,11 @@ def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
     def run(batches):
         scanner = Scanner(shared.value)
         for b in batches:
-            texts = pc.fill_null(b.column(1), "").to_pylist()
             score, spans = [], []
-            for lo in range(0, len(texts), 200):
-                for raw, counted in scanner.both(texts[lo : lo + 200]):
-                    evidence, _ = scanner.model.evidence(segments(counted), len(counted))
-                    score.append(scanner.model.score(evidence))
-                    spans.append([x for span in scanner.model.passages(segments(raw), len(raw)) for x in span])
+            for raw, counted in scanner.rows(b.column(1)):
+                evidence, _ = scanner.model.evidence(segments(counted), len(counted))
+                score.append(scanner.model.score(evidence))
+                spans.append([x for span in scanner.model.passages(segments(raw), len(raw)) for x in span])
             yield batch(schema, [b.column(0), score, [int(x >= 0.5) for x in score], [len(x) // 2 for x in spans], spans])
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, schema).withColumnRenamed("id", id_col)
@@ -285,10 +321,8 @@ def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
     def run(batches):
         scanner = Scanner(shared.value)
         for b in batches:
-            texts = pc.fill_null(pc.cast(b.column(at), pa.string()), "").to_pylist()
-            keep = []
-            for lo in range(0, len(texts), 200):
-                keep += [scanner.model.score(scanner.model.evidence(segments(s), len(s))[0]) < 0.5 for s in scanner.scores(texts[lo : lo + 200])]
+            scores = scanner.rows(pc.cast(b.column(at), pa.string()))
+            keep = [scanner.model.score(scanner.model.evidence(segments(s), len(s))[0]) < 0.5 for _, s in scores]
             yield b.filter(pa.array(keep, pa.bool_()))
 
     at = docs.columns.index(text_col)
