@@ -1,7 +1,7 @@
 import random
 import re
 
-from sparkloom.llm.ngram_join import ngram_join
+from sparkloom.llm.ngram_join import ngram_join, one_of_each_group
 
 
 def brute(rows, k, num, den):
@@ -79,3 +79,35 @@ def test_large_groups_of_near_copies(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     for k, num in ((3, 90), (5, 80)):
         assert sorted(map(tuple, ngram_join(df, k, num, 100).collect())) == brute(rows, k, num, 100)
+
+
+def test_key_shared_by_documents_far_apart(spark, monkeypatch):
+    """Documents made of common phrases in other orders: keys stay large although hardly any pair links."""
+    monkeypatch.setattr("sparkloom.llm.ngram_join.FEW", 6)
+    monkeypatch.setattr("sparkloom.llm.ngram_join.BLOCK", 16)
+    monkeypatch.setattr("sparkloom.llm.ngram_join.COMPONENT_TOKENS", 50)
+    monkeypatch.setattr("sparkloom.llm.ngram_join.PARTNERS", 3)
+    rng = random.Random(4)
+    phrases = [" ".join(f"p{i}x{j}" for j in range(7)) for i in range(30)]
+    rows = [(i, " ".join(rng.choice(phrases) for _ in range(rng.randrange(3, 9)))) for i in range(220)]
+    rows += [(1000 + i, rows[i][1] + " end") for i in range(0, 60, 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for k, num in ((3, 90), (5, 80)):
+        assert sorted(map(tuple, ngram_join(df, k, num, 100).collect())) == brute(rows, k, num, 100)
+
+
+def test_repeated_rows_and_ids_with_two_texts(spark):
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(400)}" for _ in range(60)]
+    rows = [(i % 40, " ".join(base[: 60 - i % 7])) for i in range(80)] + [(3, "other words of the same id stand here")] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(set(map(tuple, ngram_join(df, 3, 90, 100).collect())))
+    assert got == sorted(set(brute(rows, 3, 90, 100)))
+
+
+def test_one_of_each_group_keeps_columns(spark):
+    rows = [(1, "a b c d e f g", 5), (2, "a b c d e f g", 6), (None, "a b c d e f g", 7), (4, None, 8), (5, "", 9), (1, "a b c d e f g", 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, component_id long")
+    got = sorted(map(tuple, one_of_each_group(df).collect()), key=str)
+    assert got == [(1, "a b c d e f g", 5), (4, None, 8), (5, "", 9), (None, "a b c d e f g", 7)]
+    assert one_of_each_group(df.limit(0)).columns == df.columns
