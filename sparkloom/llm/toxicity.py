@@ -51,10 +51,17 @@ class Shares:
         order = np.argsort(keys)
         self.keys, self.values = keys[order], np.array(list(shares.values()), np.float64)[order]
 
+    def find(self, features: list[str]) -> np.ndarray:
+        """The share of each feature, nan where it has none."""
+        keys = np.array([xxhash.xxh64_intdigest(f) for f in features], np.uint64)
+        if not len(self.keys):
+            return np.full(len(keys), np.nan)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.values[at], np.nan)
+
     def get(self, feature: str, default: float) -> float:
-        key = np.uint64(xxhash.xxh64_intdigest(feature))
-        at = int(np.searchsorted(self.keys, key))
-        return float(self.values[at]) if at < len(self.keys) and self.keys[at] == key else default
+        share = float(self.find([feature])[0])
+        return default if math.isnan(share) else share
 
 
 @dataclass
@@ -69,12 +76,19 @@ class Model:
     slope: float = 1.0
     at: float = 3.0
 
-    def token(self, raw: str) -> float:
-        word = raw.strip(MARKS).lower()
-        share = self.base
-        for f in features(word):
-            share = self.shares.get(f, share)
-        return math.log(share / (1 - share)) - math.log(self.base / (1 - self.base)) - DRIFT
+    def __post_init__(self):
+        if isinstance(self.shares, dict):
+            self.shares = Shares(self.shares)
+
+    def tokens(self, raw: list[str]) -> np.ndarray:
+        """Scores of words: each by its longest feature that has a share."""
+        words = [features(w.strip(MARKS).lower()) for w in raw]
+        found = self.shares.find([f for own in words for f in own])
+        row = np.repeat(np.arange(len(words)), [len(own) for own in words])
+        known = np.flatnonzero(~np.isnan(found))
+        share = np.full(len(words), self.base)
+        share[row[known]] = found[known]  # a word's features come from short to long, so that its longest stays
+        return np.log(share / (1 - share)) - math.log(self.base / (1 - self.base)) - DRIFT
 
     def evidence(self, segments: list[tuple[int, int, float]], n: int) -> tuple[float, list[tuple[int, int, float]]]:
         least = math.log(max(self.k * n, 1e-9))
@@ -127,20 +141,18 @@ class Scanner:
     """Token scores of texts, each word looked up once."""
 
     def __init__(self, model: Model):
-        self.model, self.keys, self.values = model, np.zeros(0, np.uint64), np.zeros(0)
+        self.model, self.known = model, {}
 
     def _looked_up(self, hashes: np.ndarray, word: Callable[[int], str]) -> np.ndarray:
         distinct, first, of = np.unique(hashes, return_index=True, return_inverse=True)
-        fresh = ~np.isin(distinct, self.keys, assume_unique=True)
-        if fresh.any():
-            found = np.array([self.model.token(word(i)) for i in first[fresh].tolist()])
-            if len(self.keys) + len(found) > CACHED_WORDS:
-                known = distinct[~fresh]
-                self.keys, self.values = known, self.values[np.searchsorted(self.keys, known)]
-            keys = np.concatenate((self.keys, distinct[fresh]))
-            order = np.argsort(keys)
-            self.keys, self.values = keys[order], np.concatenate((self.values, found))[order]
-        return self.values[np.searchsorted(self.keys, distinct)][of]
+        keys = distinct.tolist()
+        fresh = [n for n, key in enumerate(keys) if key not in self.known]
+        if fresh:
+            if len(self.known) + len(fresh) > CACHED_WORDS:
+                self.known = {key: self.known[key] for key in keys if key in self.known}
+            values = self.model.tokens([word(i) for i in first[fresh].tolist()])
+            self.known.update(zip([keys[n] for n in fresh], values.tolist(), strict=True))
+        return np.array([self.known[key] for key in keys], np.float64)[of]
 
     def rows(self, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Of each row: scores as they are, and those for evidence, where a positive word counts where it first stands."""
