@@ -24,7 +24,9 @@ next round, as do keys of X that many share.
 
 from __future__ import annotations
 
+import math
 import zlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,15 +38,25 @@ from .components import components
 from .shared import arrow_schema, batch, fingerprint, mix64, prepare, scratch, shingle_sets, stored
 
 COUNT_BITS = 22
-KEY_BITS = 27
+#: Filter bits for each key, the fewest with which a filter is of use, and the most of all keys: 128 MB in a worker.
+KEY_BITS_EACH, LEAST_BITS_EACH, MOST_KEY_BITS = 8, 3, 30
 SEGMENT = 1 << 16
-HISTOGRAM = 64
+#: Buckets of a set's histogram, and of a second one that sets of LONG tokens or more have behind it.
+HISTOGRAM, FINE, LONG = 64, 1024, 800
+#: Words of 64 bits of a sketch of X.
+SKETCH = 16
 BROADCAST_IDS = 500_000
+#: Ids, and nothing else, are broadcast up to this number: about 40 MB.
+BROADCAST_GONE = 2_000_000
+BROADCAST_SKETCHES = 100_000
 BROADCAST_BYTES = 1 << 25
-#: Keys of up to this many documents give all their pairs. So do those of more after ROUNDS rounds, or once their
-#: pairs are few beside all cells, or when a round leaves most of them.
+#: Keys of up to this many documents give all their pairs. Those of more are compared in blocks after ROUNDS rounds,
+#: or once their pairs are few beside all cells, or when a round leaves most of them.
 FEW = 24
 ROUNDS = 4
+BLOCK = 2048
+#: Candidates are verified in bundles of about this many tokens. Components of up to COMPONENT_TOKENS are in one bundle.
+BUNDLE_TOKENS, COMPONENT_TOKENS, PARTNERS = 1_000_000, 3_000_000, 256
 #: Documents that differ from the one compared by up to about this share of their tokens are told by their differences.
 FAR_SHARE = 0.8
 #: Keys of X with up to this many documents are compared by one task, without giving pairs; others go to the next round.
@@ -101,6 +113,24 @@ def _merge_counts(table: pa.Table) -> pa.Table:
     return pa.Table.from_batches([batch("seg int, counts binary", [[table.column("seg")[0].as_py()], [zlib.compress(total.tobytes(), 1)]])])
 
 
+def _histograms(tokens: np.ndarray) -> bytes:
+    coarse = np.bincount((tokens >> np.uint64(58)).astype(np.int64), minlength=HISTOGRAM)
+    out = np.minimum(coarse, 65535).astype(np.uint16).tobytes()
+    if len(tokens) >= LONG:
+        fine = np.bincount((tokens >> np.uint64(38) & np.uint64(FINE - 1)).astype(np.int64), minlength=FINE)
+        out += np.minimum(fine, 255).astype(np.uint8).tobytes()
+    return out
+
+
+def _coarse(hists: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(x[: 2 * HISTOGRAM] for x in hists), np.uint16).reshape(-1, HISTOGRAM).astype(np.int32)
+
+
+def _may_overlap(x: np.ndarray, y: np.ndarray, least: np.ndarray, full: int) -> np.ndarray:
+    """Whether sets of these histograms can share least tokens; a bucket that is full says nothing."""
+    return (np.minimum(x, y).sum(1) >= least) | (x == full).any(1) | (y == full).any(1)
+
+
 def _profile(docs: DataFrame, k: int, t: Threshold) -> DataFrame:
     """Rows of documents (id, n, node, hist), and rows of token counts (seg, counts) of each task. node names the set."""
     schema = "id long, n long, node binary, hist binary, seg int, counts binary"
@@ -118,7 +148,7 @@ def _profile(docs: DataFrame, k: int, t: Threshold) -> DataFrame:
                     hists.append(None)
                     continue
                 nodes.append(fingerprint(tokens))
-                hists.append(np.minimum(np.bincount((tokens >> np.uint64(58)).astype(np.int64), minlength=HISTOGRAM), 65535).astype(np.uint16).tobytes())
+                hists.append(_histograms(tokens))
                 if nodes[-1] not in seen:
                     seen.add(nodes[-1])
                     np.add.at(counts, (tokens[: np.searchsorted(tokens, t.window)] & np.uint64(len(counts) - 1)).astype(np.int64), 1)
@@ -163,33 +193,56 @@ def _keys(docs: DataFrame, k: int, t: Threshold, frequent: np.ndarray) -> DataFr
     return docs.select("text").mapInArrow(run, schema)
 
 
-def _cells(keys: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(key, id, n, rare) of keys that may occur twice: a filter of KEY_BITS bits leaves the others where they are.
+class _Repeats:
+    """Tells which keys may occur twice in the arrays of the column keys, by a filter sized by their number.
 
-    What is left of a document's keys goes to its node as one row, so that copies of a set in several tasks fall
-    together, and only then becomes a row for each key.
+    With more keys than the largest filter is of use for, any may.
     """
 
-    def scan(batches):
-        yield from bloom.marks((np.frombuffer(x, np.uint64) for b in batches for x in b.column(0).to_pylist()), KEY_BITS)
+    def __init__(self, rows: DataFrame):
+        total = rows.agg(F.sum(F.octet_length("keys") / 8)).first()[0] or 0
+        bits = max(20, min(MOST_KEY_BITS, math.ceil(math.log2(1 + total * KEY_BITS_EACH))))
+
+        def scan(batches):
+            yield from bloom.marks((np.frombuffer(x, np.uint64) for b in batches for x in b.column(0).to_pylist()), bits)
+
+        self.bits, self.shared = bits, None
+        if total * LEAST_BITS_EACH <= 1 << bits:
+            self.shared = rows.sparkSession.sparkContext.broadcast(bloom.seen_twice(rows.select("keys").mapInArrow(scan, bloom.MARKS)))
 
-    shared = keys.sparkSession.sparkContext.broadcast(bloom.seen_twice(keys.select("keys").mapInArrow(scan, bloom.MARKS)))
+    def tool(self):
+        if self.shared is None:
+            return lambda x: np.ones(len(x), bool)
+        filled = bloom.bitmap(self.shared.value, self.bits)
+        return lambda x: bloom.held(filled, x, self.bits)
+
+
+def _cells(keys: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(key, id, n, rare) of keys that may occur twice: a filter sized by the number of keys leaves the others where they are.
+
+    What is left of a document's keys goes to its node as one row, so that copies of a set in several tasks fall
+    together, and only then becomes a row for each key. More keys than the largest filter can tell apart all go.
+    """
+    repeats = _Repeats(keys)
 
     def thin(batches):
-        bits = bloom.bitmap(shared.value, KEY_BITS)
+        held = repeats.tool()
         for b in batches:
-            found = [x[bloom.held(bits, x, KEY_BITS)].tobytes() for x in (np.frombuffer(x, np.uint64) for x in b.column(2).to_pylist())]
+            found = [x[held(x)].tobytes() for x in (np.frombuffer(x, np.uint64) for x in b.column(2).to_pylist())]
             some = pa.array([bool(x) for x in found], pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.binary())], schema=arrow_schema("node binary, rare int, keys binary")).filter(some)
+            columns = [b.column(0), b.column(1), pa.array(found, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, schema=arrow_schema("node binary, rare int, keys binary")).filter(some)
 
     def spread(batches):
         for b in batches:
             found = [np.frombuffer(x, np.int64) for x in b.column(3).to_pylist()]
             of = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]), pa.int64())
             flat = pa.array(np.concatenate([np.zeros(0, np.int64), *found]))
-            yield pa.RecordBatch.from_arrays([flat, *(b.column(c).take(of) for c in range(3))], schema=arrow_schema("key long, id long, n long, rare int"))
+            columns = [flat, *(b.column(c).take(of) for c in range(3))]
+            yield pa.RecordBatch.from_arrays(columns, schema=arrow_schema("key long, id long, n long, rare int"))
 
-    rows = keys.mapInArrow(thin, "node binary, rare int, keys binary").groupBy("node").agg(F.first("rare").alias("rare"), F.first("keys").alias("keys"))
+    rows = keys.mapInArrow(thin, "node binary, rare int, keys binary")
+    rows = rows.groupBy("node").agg(F.first("rare").alias("rare"), F.first("keys").alias("keys"))
     return rows.join(nodes.select("node", "id", "n"), "node").select("id", "n", "rare", "keys").mapInArrow(spread, "key long, id long, n long, rare int")
 
 
@@ -200,88 +253,137 @@ def _near_histograms(pairs: DataFrame, nodes: DataFrame, t: Threshold) -> DataFr
 
     def run(batches):
         for b in batches:
-            ha, hb = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint16).reshape(-1, HISTOGRAM).astype(np.int32) for c in (4, 5))
-            na, nb = b.column(2).to_numpy(), b.column(3).to_numpy()
-            ok = np.minimum(ha, hb).sum(1) >= t.overlap(na, nb)
-            ok |= (ha == 65535).any(1) | (hb == 65535).any(1)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(ok))
+            ha, hb, least = b.column(4).to_pylist(), b.column(5).to_pylist(), t.overlap(b.column(2).to_numpy(), b.column(3).to_numpy())
+            ok = _may_overlap(_coarse(ha), _coarse(hb), least, 65535)
+            for lo in range(0, len(ok), 256):
+                long = lo + np.flatnonzero([o and len(x) == len(y) > 2 * HISTOGRAM for o, x, y in zip(ok[lo : lo + 256], ha[lo : lo + 256], hb[lo : lo + 256], strict=True)])
+                x, y = (np.frombuffer(b"".join(h[i][2 * HISTOGRAM :] for i in long), np.uint8).reshape(-1, FINE) for h in (ha, hb))
+                ok[long] = _may_overlap(x.astype(np.int32), y.astype(np.int32), least[long], 255)
+            yield pa.RecordBatch.from_arrays(b.columns[:4], names=["a", "b", "na", "nb"]).filter(pa.array(ok))
 
-    return both.select("a", "b", "na", "nb", "ha", "hb").mapInArrow(run, "a long, b long").distinct()
+    return both.select("a", "b", "na", "nb", "ha", "hb").mapInArrow(run, "a long, b long, na long, nb long").distinct()
 
 
-def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """(id, tokens) of the ids named. Few ids are broadcast, so that other texts stay where they are."""
-    few = ids.count() <= BROADCAST_IDS
+def _each_once(docs: DataFrame, profile: DataFrame) -> DataFrame:
+    """docs (id, text) with ids; rows that come again count once. Only rows of ids that come again are shuffled."""
+    known = docs.filter("id IS NOT NULL")
+    counts = profile.filter("seg IS NULL AND id IS NOT NULL").groupBy("id").count()
+    again = stored(counts.filter("count > 1").select("id"), "again")
+    n = again.count()
+    if not n:
+        return known
+    again = F.broadcast(again) if n <= BROADCAST_IDS else again
+    return known.join(again, "id", "left_anti").union(stored(known.join(again, "id", "left_semi").distinct(), "repeated"))
 
-    def run(batches):
-        for b in batches:
-            yield batch("id long, tokens binary", [b.column(0), [tokens.tobytes() for _, tokens in shingle_sets(b.column(1), k)]])
 
-    return docs.join(F.broadcast(ids) if few else ids, "id", "left_semi").mapInArrow(run, "id long, tokens binary").distinct()
+def _with_texts(known: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted (id, ...) with the text of each id. Few rows are broadcast, so that other texts stay where they are."""
+    return known.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted, "id")
 
 
-def _with_sets(sets: DataFrame | None, docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """sets and those of the ids that it lacks."""
-    if sets is not None:
-        ids = ids.join(sets.select("id"), "id", "left_anti")
-    ids = stored(ids, "wanted")
-    if sets is not None and ids.isEmpty():
-        return sets
-    new = stored(_sets(docs, ids, k), "sets")
-    return new if sets is None else sets.union(new)
+def _token_sets(column: pa.Array, k: int) -> list[np.ndarray]:
+    return [tokens for _, tokens in shingle_sets(column, k)]
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
-    def run(batches):
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                at = np.searchsorted(y, x)
-                same = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-                keep.append(same * t.den >= t.num * (len(x) + len(y) - same))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    """How many tokens two sorted sets share."""
+    if len(x) > len(y):
+        x, y = y, x
+    return int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(x) else 0
 
-    few = pairs.count() <= BROADCAST_IDS
 
-    def of(side: str) -> DataFrame:
-        """The sets of one side only; other sets stay where they are."""
-        ids = pairs.select(F.col(side).alias("id")).distinct()
-        return sets.join(F.broadcast(ids) if few else ids, "id", "left_semi")
+class Parts:
+    """Disjoint sets of what links have joined so far."""
 
-    full = pairs.join(of("a").toDF("a", "ta"), "a").join(of("b").toDF("b", "tb"), "b")
-    return full.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
+    def __init__(self):
+        self.above: dict[int, int] = {}
 
+    def root(self, i: int) -> int:
+        while (up := self.above.setdefault(i, i)) != i:
+            self.above[i] = self.above[up]
+            i = up
+        return i
 
-def _differences(members: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
-    """(p, id, n, apart, new, gone) of members (p, id, n): the tokens that id has and p lacks, and the other way round.
+    def join(self, i: int, j: int) -> None:
+        self.above[self.root(i)] = self.root(j)
 
-    apart is their number; both arrays are null where it exceeds near(n).
+
+def _in_bundles(pairs: DataFrame) -> DataFrame:
+    """(bundle, a, b) of pairs (a, b, na, nb): pairs of a small component of candidates share a bundle, so that each of
+    its texts is sent once. In large components the pairs of a document do, in shares of about PARTNERS partners.
+    """
+    sizes = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("na").alias("n")), F.struct(F.col("b").alias("id"), F.col("nb").alias("n")))).alias("x")).select("x.*").distinct()
+    part = stored(sizes.join(components(pairs), "id"), "candidates")
+    total = part.agg(F.sum("n")).first()[0] or 0
+    room = part.groupBy("component").agg((F.sum("n") <= COMPONENT_TOKENS).alias("small"))
+    shares = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).alias("shares"))
+    told = pairs.join(part.select(F.col("id").alias("a"), "component"), "a").join(room, "component").join(shares, "a")
+    place = F.when(F.col("small"), F.xxhash64("component")).otherwise(F.xxhash64("a", F.pmod(F.xxhash64("b"), "shares")))
+    return told.select(F.pmod(place, F.lit(max(1, math.ceil(total / BUNDLE_TOKENS)))).alias("bundle"), "a", "b")
+
+
+def _verified(pairs: DataFrame, known: DataFrame, k: int, t: Threshold) -> DataFrame:
+    """Links (a, b) that join what those pairs (a, b, na, nb) join that link, by their whole sets."""
+
+    def run(_, texts: pa.Table, told: pa.Table) -> pa.Table:
+        sets: dict[int, list[np.ndarray]] = {}
+        for i, tokens in zip(texts["id"].to_pylist(), _token_sets(texts["text"].combine_chunks(), k) if texts.num_rows else [], strict=True):
+            sets.setdefault(i, []).append(tokens)
+        parts, out = Parts(), []
+        for a, b in sorted(zip(told["a"].to_pylist(), told["b"].to_pylist(), strict=True)):
+            if parts.root(a) == parts.root(b):
+                continue
+            for x, y in ((x, y) for x in sets[a] for y in sets[b] if len(x) and len(y)):
+                same = _common(x, y)
+                if same * t.den >= t.num * (len(x) + len(y) - same):
+                    parts.join(a, b)
+                    out.append((a, b))
+                    break
+        return pa.table([[a for a, _ in out], [b for _, b in out]], schema=arrow_schema("a long, b long"))
+
+    told = stored(_in_bundles(pairs), "bundles")
+    wanted = stored(told.select("bundle", F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
+    texts = _with_texts(known, wanted).select("bundle", "id", "text")
+    return texts.groupBy("bundle").cogroup(told.groupBy("bundle")).applyInArrow(run, "a long, b long")
+
+
+def _differences(members: DataFrame, known: DataFrame, k: int, t: Threshold) -> DataFrame:
+    """(p, id, n, apart, new, gone) of members (p, id, n, m): the tokens that id has and p lacks, and the other way round.
+
+    n and m are the sizes of the sets meant, should an id have several. apart is the number of both kinds of tokens;
+    both arrays are null where it exceeds near(n).
     """
     schema = "p long, id long, n long, apart long, new array<long>, gone array<long>"
+    asked = members.select(F.col("p").alias("id"), "m").distinct()
+
+    def whole(batches):
+        for b in batches:
+            yield batch("p long, m long, tp binary", [b.column(0), b.column(1), [x.tobytes() for x in _token_sets(b.column(2), k)]])
+
+    pivots = _with_texts(known, asked).select("id", "m", "text").mapInArrow(whole, "p long, m long, tp binary")
+    pivots = stored(pivots.filter(F.octet_length("tp") == F.col("m") * 8), "pivots")
+    small = (pivots.agg(F.sum(F.octet_length("tp"))).first()[0] or 0) <= BROADCAST_BYTES
 
     def run(batches):
         for b in batches:
-            apart, new, gone = [], [], []
-            for n, x, y in zip(*(c.to_pylist() for c in b.columns[2:]), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            rows = []
+            ids = (b.column(c).to_pylist() for c in range(3))
+            for p, i, n, x, y in zip(*ids, _token_sets(b.column(3), k), b.column(4).to_pylist(), strict=True):
+                if len(x) != n:
+                    continue
+                y = np.frombuffer(y, np.uint64)
                 at = np.searchsorted(y, x)
                 same = y[np.minimum(at, len(y) - 1)] == x
-                apart.append(len(x) + len(y) - 2 * int(same.sum()))
-                if apart[-1] <= t.near(n):
-                    new.append(x[~same].view(np.int64))
+                apart, new, gone = len(x) + len(y) - 2 * int(same.sum()), None, None
+                if apart <= t.near(n):
                     left = np.ones(len(y), bool)
                     left[at[same]] = False
-                    gone.append(y[left].view(np.int64))
-                else:
-                    new.append(None)
-                    gone.append(None)
-            yield batch(schema, [b.column(0), b.column(1), b.column(2), apart, new, gone])
+                    new, gone = x[~same].view(np.int64), y[left].view(np.int64)
+                rows.append((p, i, n, apart, new, gone))
+            yield batch(schema, [list(x) for x in zip(*rows, strict=True)] or [[]] * 6)
 
-    compared = stored(members.select("p").distinct().join(sets.toDF("p", "tp"), "p"), "compared")
-    small = (compared.agg(F.sum(F.octet_length("tp"))).first()[0] or 0) <= BROADCAST_BYTES
-    full = members.join(sets.toDF("id", "ti"), "id").join(F.broadcast(compared) if small else compared, "p")
-    return full.select("p", "id", "n", "ti", "tp").mapInArrow(run, schema)
+    full = _with_texts(known, members).join(F.broadcast(pivots) if small else pivots, ["p", "m"])
+    return full.select("p", "id", "n", "text", "tp").mapInArrow(run, schema)
 
 
 def _turned(near: DataFrame) -> DataFrame:
@@ -303,21 +405,24 @@ def _turned(near: DataFrame) -> DataFrame:
 
 
 def _set_apart(near: DataFrame, t: Threshold) -> tuple[DataFrame, DataFrame]:
-    """(p, id, n, k, x, least, m) of near documents, and keys (key, p, id, roles) of those whose X may share enough.
+    """(p, id, n, k, x, sketch, least, m) of near documents, and keys (key, p, id, roles) of those whose X may share enough.
 
     x holds the tokens of X, those of the document first; roles says whether a key stands in the short prefix (1) of
     documents to be found, in the long prefix (2) of outer ones, or in both.
     """
-    schema = "p long, id long, n long, k long, x array<long>"
+    schema = "p long, id long, n long, k long, x array<long>, sketch array<long>"
 
     def turn(batches):
         for b in batches:
-            k, xs = [], []
+            k, xs, sketches = [], [], []
             for n, new, gone, more, fewer in zip(*(c.to_pylist() for c in b.columns[2:]), strict=True):
                 new, gone, more, fewer = (set(x or ()) for x in (new, gone, more, fewer))
                 xs.append(sorted((new - more) | (fewer - gone)) + sorted((gone - fewer) | (more - new)))
                 k.append(t.excess(len(xs[-1]), n))
-            yield batch(schema, [b.column(0), b.column(1), b.column(2), k, xs])
+                bits = np.zeros(64 * SKETCH, bool)
+                bits[np.array(xs[-1], np.int64) & (64 * SKETCH - 1)] = True
+                sketches.append(np.packbits(bits).view(np.int64))
+            yield batch(schema, [b.column(0), b.column(1), b.column(2), k, xs, sketches])
 
     turned = near.select("p", "id", "n", "new", "gone").join(_turned(near), "p", "left").mapInArrow(turn, schema)
     turned = stored(turned, "turned")
@@ -338,24 +443,22 @@ def _set_apart(near: DataFrame, t: Threshold) -> tuple[DataFrame, DataFrame]:
     packed = "p long, id long, short long, long long, keys binary"
     rows = stored(turned.select("p", "id", "n", "k", "x", "least").mapInArrow(index, packed), "differences")
 
-    def scan(batches):
-        yield from bloom.marks((np.frombuffer(x, np.uint64) for b in batches for x in b.column(0).to_pylist()), KEY_BITS)
-
-    shared = rows.sparkSession.sparkContext.broadcast(bloom.seen_twice(rows.select("keys").mapInArrow(scan, bloom.MARKS)))
+    repeats = _Repeats(rows)
 
     def spread(batches):
-        bits = bloom.bitmap(shared.value, KEY_BITS)
+        held = repeats.tool()
         for b in batches:
             keys, of, roles = [np.zeros(0, np.uint64)], [], []
             for i, (short, long, x) in enumerate(zip(*(c.to_pylist() for c in b.columns[2:]), strict=True)):
                 x = np.frombuffer(x, np.uint64)
-                at = np.flatnonzero(bloom.held(bits, x, KEY_BITS))
+                at = np.flatnonzero(held(x))
                 keys.append(x[at])
                 of += [i] * len(at)
                 roles.append((at < short) + 2 * (at < long))
             of = pa.array(of, pa.int64())
             told = pa.array(np.concatenate([np.zeros(0, np.int64), *roles]), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), b.column(0).take(of), b.column(1).take(of), told], schema=arrow_schema("key long, p long, id long, roles int"))
+            columns = [pa.array(np.concatenate(keys).view(np.int64)), b.column(0).take(of), b.column(1).take(of), told]
+            yield pa.RecordBatch.from_arrays(columns, schema=arrow_schema("key long, p long, id long, roles int"))
 
     return turned, rows.mapInArrow(spread, "key long, p long, id long, roles int")
 
@@ -400,79 +503,154 @@ def _all_pairs(cells: DataFrame, t: Threshold) -> DataFrame:
 
 
 def _role_pairs(cells: DataFrame, t: Threshold) -> DataFrame:
-    """Pairs of which one stands in the short prefix and the other in the long one."""
+    """Pairs (p, a, b) of which one stands in the short prefix and the other in the long one."""
     x, y = cells.alias("x"), cells.alias("y")
     roles = F.expr("x.roles & 1 = 1") & F.expr("y.roles & 2 = 2")
     pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") != F.col("y.id")) & roles & _in_range(t, "x.n", "y.n"))
-    return pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+    return pairs.select(F.col("x.p").alias("p"), F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+
+
+def _linked_apart(pairs: DataFrame, turned: DataFrame, t: Threshold) -> DataFrame:
+    """Those (a, b) of pairs (p, a, b) that link, by their differences X from the common set of p.
+
+    Each bit in which two sketches of X differ stands for one token at least that only one of the X holds.
+    """
+
+    def run(batches):
+        for b in batches:
+            xs, ys = ([np.sort(np.array(v, np.int64)) for v in b.column(c).to_pylist()] for c in (4, 5))
+            apart = np.array([len(x) + len(y) - 2 * _common(x, y) for x, y in zip(xs, ys, strict=True)], np.int64)
+            near = apart * (t.den + t.num) <= (t.den - t.num) * (b.column(2).to_numpy() + b.column(3).to_numpy())
+            yield pa.RecordBatch.from_arrays(b.columns[:2], names=["a", "b"]).filter(pa.array(near))
+
+    side = turned.select("p", "id", "n", "sketch")
+    side = F.broadcast(side) if side.count() <= BROADCAST_SKETCHES else side
+    likely = pairs.join(side.toDF("p", "a", "na", "sa"), ["p", "a"]).join(side.toDF("p", "b", "nb", "sb"), ["p", "b"])
+    apart = reduce(lambda x, y: x + y, (F.bit_count(F.col("sa")[i].bitwiseXOR(F.col("sb")[i])) for i in range(SKETCH)))
+    likely = stored(likely.filter(apart * (t.den + t.num) <= (F.col("na") + F.col("nb")) * (t.den - t.num)).select("p", "a", "b"), "likely")
+    side = turned.select("p", "id", "n", "x")
+    full = likely.join(side.toDF("p", "a", "na", "xa"), ["p", "a"]).join(side.toDF("p", "b", "nb", "xb"), ["p", "b"])
+    return full.select("a", "b", "na", "nb", "xa", "xb").mapInArrow(run, "a long, b long").distinct()
+
+
+def _block_pairs(cells: DataFrame, nodes: DataFrame, t: Threshold) -> DataFrame:
+    """Pairs (a, b) of each key of cells whose sizes and histograms allow a link, whatever the key's size.
+
+    A key's documents are cut by size into bands, so that those that link are of one band or of two side by side, and
+    each band by hash into blocks of about BLOCK. A task compares two blocks, and only near pairs leave it.
+    """
+    band = F.floor(F.log("n") / math.log(t.den / t.num) + 1e-9) if t.num < t.den else F.col("n")
+    coarse = F.substring("hist", 1, 2 * HISTOGRAM).alias("hist")
+    rows = cells.select("key", "id").join(nodes.select("id", "n", coarse), "id").withColumn("band", band)
+    blocks = rows.groupBy("key", "band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    blocks = stored(blocks, "blocks")
+    rows = rows.join(blocks, ["key", "band"]).withColumn("part", F.pmod(F.xxhash64("id"), "blocks"))
+    same = rows.select("key", "band", F.lit(0).alias("step"), "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"), "id", "n", "hist")
+    same = same.select("key", "band", "step", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), (F.col("part") > F.col("other")).alias("upper"), "id", "n", "hist")
+    above = blocks.select("key", (F.col("band") - 1).alias("band"), F.col("blocks").alias("others"))
+    below = blocks.select("key", (F.col("band") + 1).alias("band"), F.col("blocks").alias("others"))
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("others") - 1)).alias("other")
+    low = rows.join(above, ["key", "band"]).select("key", "band", F.lit(1).alias("step"), F.col("part").alias("i"), each, F.lit(False).alias("upper"), "id", "n", "hist")
+    high = rows.join(below, ["key", "band"]).select("key", (F.col("band") - 1).alias("band"), F.lit(1).alias("step"), each, F.col("part").alias("j"), F.lit(True).alias("upper"), "id", "n", "hist")
+    dealt = same.union(low).union(high.select("key", "band", "step", F.col("other").alias("i"), "j", "upper", "id", "n", "hist"))
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, n, upper = (table[c].to_numpy() for c in ("id", "n", "upper"))
+        hist = _coarse(table["hist"].to_pylist())
+        full = (hist == 65535).any(1)
+        one = table["step"][0].as_py() == 0 and table["i"][0].as_py() == table["j"][0].as_py()
+        left, right = (np.arange(len(ids)),) * 2 if one else (np.flatnonzero(~upper), np.flatnonzero(upper))
+        out = []
+        for i in left:
+            to = right[right > i] if one else right
+            to = to[np.minimum(n[i], n[to]) * t.den >= np.maximum(n[i], n[to]) * t.num]
+            ok = np.minimum(hist[i], hist[to]).sum(1) >= t.overlap(n[i], n[to])
+            to = to[ok | full[to] | full[i]]
+            out.append(np.stack((np.minimum(ids[i], ids[to]), np.maximum(ids[i], ids[to]))))
+        a, b = np.concatenate(out, 1) if out else np.zeros((2, 0), np.int64)
+        return pa.table([a, b], schema=arrow_schema("a long, b long")).filter(pa.array(a != b))
+
+    return dealt.groupBy("key", "band", "step", "i", "j").applyInArrow(run, "a long, b long").distinct()
 
 
-def _with_pivots(cells: DataFrame, turn: int) -> DataFrame:
-    """cells (key, id, n, rare) of keys with two documents or more, with the key's size and the document to compare with.
+def _sized(cells: DataFrame) -> DataFrame:
+    """cells (key, id, n, rare) of keys with two documents or more, with the key's size."""
+    sizes = cells.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    return cells.join(sizes, "key")
+
+
+def _with_pivots(many: DataFrame, turn: int) -> DataFrame:
+    """many with the document p of m tokens that those of a key are compared with.
 
     A document whose tokens are mostly frequent has few changes of its own: it is the one to compare with.
     """
     first = F.min(F.struct("rare", F.xxhash64("id", F.lit(turn)).alias("h"), F.col("id").alias("p"), F.col("n").alias("m"))).alias("c")
-    keys = cells.groupBy("key").agg(F.count(F.lit(1)).alias("size"), first).filter("size > 1").select("key", "size", "c.p", "c.m")
-    return stored(cells.join(keys, "key"), "cells")
+    return many.join(many.groupBy("key").agg(first).select("key", "c.p", "c.m"), "key")
+
+
+def _by_differences(many: DataFrame, known: DataFrame, k: int, t: Threshold, turn: int) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) found by comparing each document of many's keys with the one of its key, and the cells left open."""
+    differ = t.den - t.num
+    reach = F.floor(F.col("n") * differ / t.num)
+    asked = stored(many.select("p", "id", "n", "m").distinct(), "asked")
+    within = F.abs(F.col("n") - F.col("m")) <= reach * t.far
+    apart = stored(_differences(asked.filter(within), known, k, t), "apart")
+    turned, keys = _set_apart(apart.filter("new IS NOT NULL"), t)
+    central = turned.filter("id <> m AND k + least <= 0").select(F.col("id").alias("a"), F.col("m").alias("b"))
+    keys = stored(keys, "keys")
+    short, long = F.count_if(F.expr("roles & 1 = 1")).alias("short"), F.count_if(F.expr("roles & 2 = 2")).alias("long")
+    sizes = keys.groupBy("key").agg(short, long, F.count(F.lit(1)).alias("size")).filter("long > 0 AND short > 0 AND size > 1")
+    shared = keys.join(sizes, "key").join(turned.select("p", "id", "n"), ["p", "id"])
+    shared = stored(shared.select("key", "p", "id", "n", "roles", "size"), "shared")
+    likely = stored(_role_pairs(shared.filter(F.col("size") <= FEW), t), "likely")
+    grouped = shared.filter((F.col("size") > FEW) & (F.col("size") <= GROUP)).join(turned.select("p", "id", "x"), ["p", "id"])
+    grouped = _group_links(grouped.select("key", "id", "n", "x"), t)
+    found = central.union(_linked_apart(likely, turned, t)).union(grouped).distinct()
+    again = shared.filter(F.col("size") > GROUP).select("key", "id", "n", F.lit(turn).alias("rare"))
+    # Documents that are not settled: beyond what links with any far one, or not compared.
+    settled = F.floor(F.ceil(F.col("n") * t.num / t.den) * differ / t.num) * t.far - reach
+    done = apart.filter(F.col("apart") <= settled).select("p", "id")
+    open_ = stored(asked.select("p", "id").filter("id <> p").join(done, ["p", "id"], "left_anti"), "open")
+    few = open_.count() <= BROADCAST_IDS
+    left = many.join(F.broadcast(open_) if few else open_, ["p", "id"], "left_semi").select("key", "id", "n", "rare")
+    return found, left.unionByName(again).groupBy("key", "id").agg(F.min("n").alias("n"), F.min("rare").alias("rare"))
 
 
 def _labels(docs: DataFrame, profile: DataFrame, k: int, t: Threshold) -> DataFrame:
     """(node, id) where id is the smallest id that the node's links reach."""
-    nodes = stored(profile.filter("node IS NOT NULL AND id IS NOT NULL").groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("hist").alias("hist")), "nodes")
+    spark = docs.sparkSession
+    sets = profile.filter("node IS NOT NULL AND id IS NOT NULL").groupBy("node")
+    nodes = stored(sets.agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("hist").alias("hist")), "nodes")
     frequent = _frequent(profile.filter("seg IS NOT NULL").select("seg", "counts"))
-    known = docs.filter("id IS NOT NULL")
+    known = _each_once(docs, profile)
     # A document is told by its smallest id from here on.
-    cells = _cells(stored(_keys(known, k, t, frequent), "keys"), nodes)
-    differ, sets, pairs, links = t.den - t.num, None, [], []
-    reach = F.floor(F.col("n") * differ / t.num)
+    with scratch(spark):
+        keys = stored(_keys(known, k, t, frequent), "keys")
+        cells = stored(_sized(stored(_cells(keys, nodes), "cells")), "sized", keep=True)
+    pairs, links, before, n_cells = [], [], None, cells.count()
     for turn in range(ROUNDS + 1):
-        cells = _with_pivots(cells, turn)
-        many = cells.filter(F.col("size") > FEW)
-        rows, n_pairs = many.agg(F.count(F.lit(1)), F.sum((F.col("size") - 1) / 2)).first()
-        if turn == 0:
-            n_cells, before = cells.count(), None
-        last = not rows or turn == ROUNDS or n_pairs <= n_cells / 2 or (before and rows > 0.7 * before)
-        pairs.append(stored(_all_pairs(cells if last else cells.filter(F.col("size") <= FEW), t), "pairs"))
-        if last:
-            break
-        before = rows
-        sets = _with_sets(sets, known, many.select("id").distinct(), k)
-        within = F.abs(F.col("n") - F.col("m")) <= reach * t.far
-        asked = stored(many.select("p", "id", "n", "m").distinct(), "asked")
-        apart = stored(_differences(asked.filter(within).select("p", "id", "n"), sets, t), "apart")
-        turned, keys_of_x = _set_apart(apart.filter("new IS NOT NULL"), t)
-        links.append(turned.filter("id <> m AND k + least <= 0").select(F.col("id").alias("a"), F.col("m").alias("b")))
-        keys_of_x = stored(keys_of_x, "keys")
-        sizes = keys_of_x.groupBy("key").agg(F.count_if(F.expr("roles & 1 = 1")).alias("short"), F.count_if(F.expr("roles & 2 = 2")).alias("long"), F.count(F.lit(1)).alias("size"))
-        shared = stored(keys_of_x.join(sizes.filter("long > 0 AND short > 0 AND size > 1"), "key").join(asked.select("p", "id", "n"), ["p", "id"]).select("key", "p", "id", "n", "roles", "size"), "shared")
-        pairs.append(stored(_role_pairs(shared.filter(F.col("size") <= FEW), t), "pairs"))
-        grouped = shared.filter((F.col("size") > FEW) & (F.col("size") <= GROUP)).join(turned.select("p", "id", "x"), ["p", "id"])
-        links.append(stored(_group_links(grouped.select("key", "id", "n", "x"), t), "links"))
-        again = shared.filter(F.col("size") > GROUP).select("key", "id", "n", F.lit(turn).alias("rare"))
-        # Documents that are not settled: beyond what links with any far one, or not compared.
-        settled = F.floor(F.ceil(F.col("n") * t.num / t.den) * differ / t.num) * t.far - reach
-        open_ = stored(asked.select("p", "id").filter("id <> p").join(apart.filter(F.col("apart") <= settled).select("p", "id"), ["p", "id"], "left_anti"), "open")
-        few = open_.count() <= BROADCAST_IDS
-        left = many.join(F.broadcast(open_) if few else open_, ["p", "id"], "left_semi").select("key", "id", "n", "rare")
-        cells = left.unionByName(again).groupBy("key", "id").agg(F.min("n").alias("n"), F.min("rare").alias("rare"))
-    every = pairs[0]
-    for x in pairs[1:]:
-        every = every.union(x)
-    every = every.distinct()
+        with scratch(spark):
+            pairs.append(stored(_all_pairs(cells.filter(F.col("size") <= FEW), t), "pairs", keep=True))
+            many = cells.filter(F.col("size") > FEW)
+            rows, n_pairs = many.agg(F.count(F.lit(1)), F.sum((F.col("size") - 1) / 2)).first()
+            if not rows:
+                break
+            if turn == ROUNDS or n_pairs <= n_cells / 2 or (before and rows > 0.7 * before):
+                pairs.append(stored(_block_pairs(many, nodes, t), "pairs", keep=True))
+                break
+            before = rows
+            found, left = _by_differences(stored(_with_pivots(many, turn), "many"), known, k, t, turn)
+            links.append(stored(found, "links", keep=True))
+            cells = stored(_sized(stored(left, "cells")), "sized", keep=True)
+    every = reduce(DataFrame.union, pairs).distinct()
     if links:  # pairs that other links join already need no comparison
-        known_links = links[0]
-        for x in links[1:]:
-            known_links = known_links.union(x)
-        links = [stored(known_links.distinct(), "links")]
+        links = [stored(reduce(DataFrame.union, links).distinct(), "links")]
         part = components(links[0])
-        every = every.join(part.toDF("a", "pa"), "a", "left").join(part.toDF("b", "pb"), "b", "left").filter("pa IS NULL OR pb IS NULL OR pa <> pb").select("a", "b")
+        every = every.join(part.toDF("a", "pa"), "a", "left").join(part.toDF("b", "pb"), "b", "left")
+        every = every.filter("pa IS NULL OR pb IS NULL OR pa <> pb").select("a", "b")
     close = stored(_near_histograms(every, nodes, t), "close")
-    sets = _with_sets(sets, known, close.select(F.explode(F.array("a", "b")).alias("id")).distinct(), k)
-    found = stored(_verified(close, sets, t), "links")
-    for x in links:
-        found = found.union(x)
-    parts = components(found)
+    links.append(stored(_verified(close, known, k, t), "links"))
+    parts = components(reduce(DataFrame.union, links))
     return nodes.select("node", "id").join(parts, "id", "left").select("node", F.coalesce("component", "id").alias("id"))
 
 
@@ -504,13 +682,18 @@ def ngram_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_co
 def one_of_each_group(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs, all columns: of each component, and of rows that share an id, one row of the smallest id stays.
 
-    Rows with a null id stay. Which of several rows with one id stays is left open.
+    Rows with a null id stay, and so do rows without words. Which of several rows with one id stays is left open. An
+    empty table gives an empty table; further columns come along whatever their names.
     """
-    found = stored(ngram_join(docs, k, num, den, id_col, text_col).filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("__loom_id"), "component_id"), "groups")
-    gone = found.groupBy("__loom_id").agg(F.min("component_id").alias("c")).filter("c <> __loom_id").select("__loom_id")
+    found = ngram_join(docs, k, num, den, id_col, text_col).filter(F.col(id_col).isNotNull()).groupBy(id_col)
+    found = stored(found.agg(F.min("component_id").alias("c"), F.count(F.lit(1)).alias("n")), "groups")
+    gone = found.filter(F.col("c") != F.col(id_col)).select(F.col(id_col).alias("__loom_id"))
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_GONE else gone
     kept = docs.join(gone, docs[id_col] == gone["__loom_id"], "left_anti")
-    again = stored(found.groupBy("__loom_id").count().filter("count > 1").select("__loom_id"), "again")
-    if again.isEmpty():
+    again = found.filter("n > 1").select(F.col(id_col).alias("__loom_id"))
+    n = again.count()
+    if not n:
         return kept
+    again = F.broadcast(again) if n <= BROADCAST_GONE else again
     several = kept.join(again, kept[id_col] == again["__loom_id"], "left_semi").dropDuplicates([id_col])
     return kept.join(again, kept[id_col] == again["__loom_id"], "left_anti").unionByName(several)

@@ -7,6 +7,7 @@ longer UTF-8 sequence, so everything here works on the bytes that Arrow hands ov
 from __future__ import annotations
 
 import os
+import re
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -35,6 +36,8 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir, which driver and executors see; a local one only where it is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors see")
         import tempfile
 
         folder = tempfile.mkdtemp(prefix="loom-")
@@ -52,12 +55,12 @@ _SCRATCH: list[list[str]] = []
 def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """df, computed once into a Parquet table of the shared folder. It cuts the lineage and survives lost executors.
 
-    Inside scratch() the table goes when that ends, unless it is to be kept.
+    Inside scratch() the table goes when that ends; one that is to be kept goes with the scratch() around it, if any.
     """
     spark = df.sparkSession
     path = table_path(spark, name)
-    if _SCRATCH and not keep:
-        _SCRATCH[-1].append(path)
+    if len(_SCRATCH) > keep:
+        _SCRATCH[-1 - keep].append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
