@@ -15,16 +15,30 @@ def words(text: Column) -> Column:
     return F.array_distinct(F.filter(every, lambda w: F.octet_length(w) >= 2))
 
 
+#: Rows of features of a pattern store up to which they are broadcast.
+BROADCAST_FEATURES = 1_000_000
+
+
 def relevant_patterns(units: DataFrame, patterns: DataFrame, text: str, key: str, k: int) -> DataFrame:
     """The k patterns (ordinal, tags, c_pattern, usage) of most relevance for each unit, ties by ordinal.
 
-    10 points for each tag that the text holds, 1 for each common word, and the usage. Patterns are a small store.
+    10 points for each tag that the text holds, 1 for each common word, and the usage. A unit meets the patterns that it
+    shares a word or tag with, by that word or tag, and besides the k of most usage: no other can be among its k best.
+    Each distinct tag is looked for once in a text.
     """
-    u = units.select(key, F.lower(text).alias("__low"), words(F.col(text)).alias("__words"))
-    p = patterns.select("ordinal", "tags", "usage", words(F.col("c_pattern")).alias("__p"))
-    tags = F.size(F.filter("tags", lambda x: F.contains(F.col("__low"), F.lower(x)))) * 10
-    score = (tags + F.size(F.array_intersect("__words", "__p")) + F.col("usage")).cast("int")
-    scored = u.crossJoin(F.broadcast(p)).select(key, "ordinal", score.alias("score"))
+    tagged = patterns.select("ordinal", F.explode("tags").alias("tag")).select("ordinal", F.lower("tag").alias("tag"))
+    worded = patterns.select("ordinal", F.explode(words(F.col("c_pattern"))).alias("word"))
+    most_used = patterns.orderBy(F.desc("usage"), "ordinal").limit(k).select("ordinal", F.lit("").alias("feature"), F.lit(0).alias("points"))
+    points = worded.select("ordinal", F.concat(F.lit("w"), "word").alias("feature"), F.lit(1).alias("points"))
+    points = points.union(tagged.groupBy("ordinal", F.concat(F.lit("t"), "tag").alias("feature")).agg((F.count(F.lit(1)) * 10).cast("int"))).union(most_used)
+    tags = tagged.agg(F.collect_set("tag").alias("__tags"))  # one row
+    held = F.filter("__tags", lambda x: F.contains(F.col("__low"), x))
+    features = F.concat(F.array(F.lit("")), F.transform("__words", lambda w: F.concat(F.lit("w"), w)), F.transform(held, lambda x: F.concat(F.lit("t"), x)))
+    u = units.select(key, F.lower(text).alias("__low"), words(F.col(text)).alias("__words")).crossJoin(F.broadcast(tags))
+    u = u.select(key, F.explode(features).alias("feature"))
+    points = F.broadcast(points) if points.count() <= BROADCAST_FEATURES else points
+    scored = u.join(points, "feature").groupBy(key, "ordinal").agg(F.sum("points").alias("points"))
+    scored = scored.join(patterns.select("ordinal", "usage"), "ordinal").select(key, "ordinal", (F.col("points") + F.col("usage")).cast("int").alias("score"))
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "ordinal"))
     return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
 
