@@ -14,7 +14,7 @@ def module_edges(calls: DataFrame, modules: DataFrame) -> DataFrame:
     return calls.join(a, "src").join(b, "dst").filter("from_module <> to_module").select("from_module", "to_module").distinct()
 
 
-def waves(nodes: DataFrame, edges: DataFrame, node: str, src: str, dst: str, most: int = 1000) -> DataFrame:
+def waves(nodes: DataFrame, edges: DataFrame, node: str, src: str, dst: str) -> DataFrame:
     """(node, wave): nodes that no remaining node points to go first; what cycles hold back forms one last wave.
 
     A wave is one anti-join of the remaining nodes with the remaining edges' ends; what remains is written between
@@ -22,7 +22,7 @@ def waves(nodes: DataFrame, edges: DataFrame, node: str, src: str, dst: str, mos
     """
     left, links = nodes.select(node), edges.select(F.col(src).alias("__s"), F.col(dst).alias("__d"))
     done, wave = [], 0
-    while wave < most:
+    while True:
         free = left.join(links.select(F.col("__d").alias(node)).distinct(), node, "left_anti").checkpoint()
         if free.isEmpty():
             break

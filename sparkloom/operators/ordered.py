@@ -16,7 +16,8 @@ def exploded_lines(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
 def code_only(line: Column) -> Column:
     """A line without what is in string literals and after `//`; escapes count, and strings end with their line."""
     line = strip(line)
-    bare = F.regexp_replace(line, r'"(?:[^"\\]|\\.)*("|\z)', "")
+    # Possessive, so that a literal of any length needs no stack.
+    bare = F.regexp_replace(line, r'"[^"\\]*+(?:\\.[^"\\]*+)*+("|\z)', "")
     return F.when(line.startswith("//"), "").otherwise(F.regexp_replace(bare, r"//.*", ""))
 
 

@@ -428,7 +428,7 @@ def fixture_builtins(spark, sf_dir):
     url = F.concat(F.lit("http://host"), c("p_partkey").cast("string"), F.lit(":8080/a/b?x="), c("p_size").cast("string"), F.lit("#f"))
     return p.select(
         "p_partkey", s.index_of(c("p_name"), "an").alias("at"), s.substring(c("p_name"), 2, 6).alias("part"), s.char_at(c("p_name"), 1).alias("ch"), F.octet_length("p_name").alias("bytes"), F.reverse("p_name").alias("back"),
-        s.round_half_away(c("p_retailprice") * 2).alias("rounded"), s.clamp(c("p_size"), 10, 40).alias("clamped"), s.add(c("p_size").cast("string"), F.lit("x")).alias("joined"), s.divide(c("p_size"), c("p_size") % 3).alias("quotient"),
+        s.round_half_away(c("p_retailprice") * 2).alias("rounded"), s.clamp(c("p_size"), 10, 40).alias("clamped"), s.add(c("p_size"), F.lit("x"), False, True).alias("joined"), s.divide(c("p_size"), c("p_size") % 3).alias("quotient"),
         s.djb2(c("p_name")).alias("hash"), F.crc32(c("p_name").cast("binary")).alias("crc"), s.adler32(c("p_name")).alias("adler"), F.parse_url(url, F.lit("QUERY"), F.lit("x")).alias("x"), s.json_get(F.concat(F.lit('{"Key": '), c("p_size").cast("string"), F.lit("}")), "kEY").alias("json"),
     )
 

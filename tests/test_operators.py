@@ -151,3 +151,30 @@ def test_generators_do_not_depend_on_partitions(spark):
 def test_bad_patterns_match_nothing(spark):
     assert column(spark, ["ab"], lambda x: p.name_filter(x, pattern="(")) == [False]
     assert column(spark, ["ab"], lambda x: p.name_filter(x, names=[])) == [False]
+
+
+def test_scripting_values(spark):
+    import zlib
+
+    from sparkloom.functions import scripting as s
+
+    texts = ["", "abc", "é日x", "a" * 300]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", s.djb2(F.col("t")).alias("h"), s.adler32(F.col("t")).alias("a")).collect()
+    for r in rows:
+        h = 5381
+        for byte in r["t"].encode():
+            h = (h * 33 + byte) % 2**32
+        assert (r["h"], r["a"]) == (h, zlib.adler32(r["t"].encode()))
+    numbers = [0.0, 1.0, -3.0, 2.5, 1 / 3, 123456.789, 0.00012345678, 1234567.25, 1e-7, 1e20, -2.75e-5, 999999.5, 100000.5]
+    got = spark.createDataFrame([(x,) for x in numbers], "x double").select("x", s.number_text(F.col("x")).alias("n")).collect()
+    assert {r["x"]: r["n"] for r in got} == {x: str(int(x)) if x == int(x) and abs(x) < 1e15 else "%g" % x for x in numbers}
+    pairs = spark.createDataFrame([("1", "2")], "a string, b string")
+    one = pairs.select(s.add(F.col("a"), F.col("b"), True, True).alias("t"), s.add(F.lit(1.5), F.col("b"), False, True).alias("m"), s.add(F.lit(1.5), F.lit(2.0), False, False).alias("n"), s.to_number(F.lit(" -2.5e1x")).alias("v"), s.to_number(F.lit("x")).alias("w")).first()
+    assert tuple(one) == ("12", "1.52", 3.5, -25.0, 0.0)
+
+
+def test_long_literals_and_chains(spark):
+    long = 'x = "' + "a\\n" * 400_000 + '"; {'
+    df = spark.createDataFrame([(1, long), (2, '"' + "b" * 1_000_000), (3, '{ "}" // }')], "id int, text string")
+    got = {r["id"]: r["depth"] for r in ordered.brace_depth(df, "text", "id").collect()}
+    assert got == {1: 1, 2: 0, 3: 1}
