@@ -289,10 +289,7 @@ def call_edges(spark, sf_dir):
 
 
 def module_waves(spark, sf_dir):
-    """G-03 J-12: levels of modules of twelve functions each; what cycles hold back comes last.
-
-    MODULE_WAVES has modules of the numbers 1 to 399 and calls of 1 to 199 only, whatever the table holds.
-    """
+    """G-03 J-12: levels of modules of twelve functions each; what cycles hold back comes last."""
     part = read(spark, sf_dir, "part")
     modules = part.select(c("p_partkey").alias("id"), F.floor(c("p_partkey") / 12).alias("module"))
     edges = graph.module_edges(part.select(c("p_partkey").alias("src"), (c("p_partkey") * 2).alias("dst")), modules)
@@ -300,8 +297,8 @@ def module_waves(spark, sf_dir):
 
 
 MODULE_WAVES = """
-    WITH RECURSIVE m AS (SELECT range AS id, range // 12 AS module FROM range(1, 400)),
-    e AS (SELECT DISTINCT a.module AS f, b.module AS t FROM part JOIN m a ON a.id = p_partkey JOIN m b ON b.id = p_partkey * 2 WHERE p_partkey BETWEEN 1 AND 199 AND a.module <> b.module),
+    WITH RECURSIVE m AS (SELECT p_partkey AS id, p_partkey // 12 AS module FROM part),
+    e AS (SELECT DISTINCT a.module AS f, b.module AS t FROM part JOIN m a ON a.id = p_partkey JOIN m b ON b.id = p_partkey * 2 WHERE a.module <> b.module),
     w AS (SELECT DISTINCT module, 0 AS wave FROM m WHERE module NOT IN (SELECT t FROM e) UNION SELECT e.t, w.wave + 1 FROM w JOIN e ON e.f = w.module WHERE w.wave < 100)
     SELECT module, max(wave) AS wave FROM w GROUP BY module"""
 
@@ -320,7 +317,9 @@ def direct_dependencies(spark, sf_dir):
     return graph.dependencies_of(call_edges(spark, sf_dir), "src", F.lit(17))
 
 
-DIRECT_DEPENDENCIES = "SELECT 17::BIGINT AS src, unnest([34, 35, 1])::BIGINT AS dst"
+DIRECT_DEPENDENCIES = """
+    WITH calls AS (SELECT p_partkey AS src, unnest([p_partkey * 2, p_partkey * 2 + 1] || CASE WHEN p_partkey % 17 = 0 THEN [p_partkey // 17] ELSE [] END) AS dst FROM part)
+    SELECT src, dst FROM calls WHERE src = 17 AND src <> dst AND dst IN (SELECT p_partkey FROM part)"""
 
 # ---------------------------------------------------------------- state
 

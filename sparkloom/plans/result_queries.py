@@ -278,10 +278,7 @@ MERGE_SUM = f"WITH {CANDIDATES.strip()} SELECT l_partkey, unsafe AS kind, sum(co
 
 
 def order_pack(spark, sf_dir):
-    """R-07 R-09 W-08: a winner that replaces, order by a dependency list, and what a wave has seen of earlier ones.
-
-    ORDER_PACK reads two of fifty units only, so that it gives fewer rows.
-    """
+    """R-07 R-09 W-08: a winner that replaces, order by a dependency list, and what a wave has seen of earlier ones."""
     from ..functions.predicates import ensemble_replaces
     from ..operators.ordered import earlier_waves
 
@@ -292,7 +289,7 @@ def order_pack(spark, sf_dir):
 
 
 ORDER_PACK = f"""
-    WITH {CANDIDATES.strip()}, r AS (SELECT *, ordinal // 2 AS wave FROM cand WHERE unit % 50 IN (1, 2))
+    WITH {CANDIDATES.strip()}, r AS (SELECT *, ordinal // 2 AS wave FROM cand)
     SELECT unit, ordinal, wave::INT AS wave, coalesce((SELECT list(x.ordinal ORDER BY x.ordinal) FROM r x WHERE x.unit = r.unit AND x.wave < r.wave), []) AS seen,
         (compiles AND NOT l_suppkey % 2 = 0) OR score > coalesce(specs_passed * 10, 0) AS replaces, CASE WHEN ordinal <= 4 THEN 5 - ordinal ELSE 2147483647 END AS place FROM r"""
 
@@ -325,23 +322,20 @@ def signatures(spark, sf_dir):
 
 
 def signature_similarity(spark, sf_dir):
-    """R-02 C-13: the three signatures of all most like each; types lose their last word as stored ones do.
-
-    SIGNATURE_SIMILARITY asks for every hundredth, and among ordinals up to 1000 only, so that it gives fewer rows.
-    """
+    """R-02 C-13: the three signatures of all most like each; types lose their last word as stored ones do."""
     s = signatures(spark, sf_dir).withColumn("normal", t.normal_signature(c("sig")))
     s = s.select(c("ordinal").cast("int").alias("ordinal"), t.return_type(c("normal")).alias("returns"), t.param_types(c("normal")).alias("params"), "quality", t.signature_hash(c("sig")).alias("hash"))
     return ranking.similar_signatures(s.select(c("ordinal").alias("query"), "returns", "params"), s, "query", 3)
 
 
 _KINDS = "['int', 'void', 'char *', 'double', 'const char *', 'size_t', 'unsigned int', 'struct Node *']"
-#: What a parameter of each kind becomes: its name goes first, then the last word of what is left, if there are two.
+#: "(void a)" is "(void)" without names, thus without parameters. What a parameter of each kind becomes: its name goes first, then the last word of what is left, if there are two.
 SIGNATURE_SIMILARITY = f"""
     WITH s AS (SELECT p_partkey::INT AS ordinal, {_KINDS}[p_partkey % 8 + 1] AS returns, (p_partkey * 13 % 101)::INT AS quality,
-        CASE p_partkey % 5 WHEN 0 THEN [] WHEN 1 THEN [p_partkey // 3 % 8] ELSE [p_partkey // 3 % 8, p_partkey // 11 % 8] END AS kinds FROM part),
+        CASE p_partkey % 5 WHEN 0 THEN [] WHEN 1 THEN CASE WHEN p_partkey // 3 % 8 <> 1 THEN [p_partkey // 3 % 8] ELSE [] END ELSE [p_partkey // 3 % 8, p_partkey // 11 % 8] END AS kinds FROM part),
     n AS (SELECT *, list_transform(kinds, lambda i: (['int', 'void', 'char *', 'double', 'const char *', 'size_t', 'unsigned', 'struct Node *'])[i + 1]) AS named FROM s),
     p AS (SELECT *, list_transform(named, lambda v: CASE WHEN v LIKE '% *' THEN v[:-3] ELSE v END) AS params FROM n),
-    q AS (SELECT * FROM p WHERE ordinal % 100 = 7), st AS (SELECT * FROM p WHERE ordinal <= 1000),
+    q AS (SELECT * FROM p), st AS (SELECT * FROM p),
     x AS (SELECT q.ordinal AS query, st.ordinal, (CASE WHEN q.returns = st.returns THEN 10 ELSE 0 END + CASE WHEN len(q.params) = len(st.params) THEN 5 ELSE 0 END
         + 3 * len(list_filter(q.params, lambda v: list_contains(st.params, v))) + st.quality // 10)::INT AS score FROM q, st)
     SELECT query, ordinal, score, (row_number() OVER (PARTITION BY query ORDER BY score DESC, ordinal))::INT AS rank FROM x QUALIFY rank <= 3"""

@@ -1,30 +1,16 @@
 """Queries over the whole of their tables, beside SQL without cuts or plain loops."""
 
+import pytest
+
 import __spark_entry__ as entry
 from sparkloom.operators import ranking
-from sparkloom.plans import order_queries, result_queries
+from sparkloom.plans import order_queries
 
 from .compare import differences, duck
 
 SF = "/root/testdata/sf0.01"
 
 
-def without(sql, *cuts):
-    for x in cuts:
-        assert x in sql
-        sql = sql.replace(x, "")
-    return sql
-
-
-def test_all_signatures_are_asked_and_stored(spark):
-    sql = without(result_queries.SIGNATURE_SIMILARITY, " WHERE ordinal % 100 = 7", " WHERE ordinal <= 1000")
-    # "f(void a)" is "f(void)" without names, thus without parameters; none of those that the registered SQL asks is one.
-    alone = "WHEN 1 THEN [p_partkey // 3 % 8]"
-    assert alone in sql
-    sql = sql.replace(alone, "WHEN 1 THEN CASE WHEN p_partkey // 3 % 8 <> 1 THEN [p_partkey // 3 % 8] ELSE [] END")
-    assert differences(spark, duck(SF), SF, entry.queries()["signature_similarity"], sql) == ""
-
-
 def test_signature_shapes_lose_no_row(spark):
     rows = [(i, "abc"[i * 5 % 3], [["x", "y", "z"][(i * j + i) % 3] for j in range(i % 4)], i * 37 % 101) for i in range(120)]
     df = spark.createDataFrame(rows, "ordinal int, returns string, params array<string>, quality int")
@@ -36,17 +22,9 @@ def test_signature_shapes_lose_no_row(spark):
     assert set(map(tuple, got)) == want
 
 
-def test_all_units_are_packed(spark):
-    sql = without(result_queries.ORDER_PACK, " WHERE unit % 50 IN (1, 2)")
-    assert differences(spark, duck(SF), SF, entry.queries()["order_pack"], sql) == ""
-
-
-def test_modules_of_all_parts_have_waves(spark):
-    sql = order_queries.MODULE_WAVES
-    for cut, whole in (("SELECT range AS id, range // 12 AS module FROM range(1, 400)", "SELECT p_partkey AS id, p_partkey // 12 AS module FROM part"), ("p_partkey BETWEEN 1 AND 199 AND ", "")):
-        assert cut in sql
-        sql = sql.replace(cut, whole)
-    assert differences(spark, duck(SF), SF, entry.queries()["module_waves"], sql) == ""
+@pytest.mark.parametrize("name", ["signature_similarity", "order_pack", "module_waves", "direct_dependencies"])
+def test_all_rows_take_part(spark, name):
+    assert differences(spark, duck(SF), SF, entry.queries()[name], entry.oracle_sql()[name]) == ""
 
 
 def test_calls_of_all_parts(spark):
