@@ -28,6 +28,8 @@ LEAST = 20
 GRAM = 4
 #: Items are matched in blocks of at most this many characters; each block is one more pass over the texts.
 BLOCK_CHARS = 2_000_000
+#: Items whose grams a worker holds as bit tables of 64 KB.
+DENSE = 512
 BETWEEN = re.compile(r"[\W_]+")
 
 
@@ -102,15 +104,17 @@ class Matcher:
             self.tool.add_word(piece, uses)
         if at:
             self.tool.make_automaton()
-        self.codes = [np.unique(grams(t)) for _, t in self.items]
+        self.dense: dict[int, np.ndarray] = {}
         self.enough = [len(t) - GRAM + 1 - GRAM * e for (_, t), e in zip(self.items, self.errors, strict=True)]
 
-    def _enough(self, i: int, codes: np.ndarray) -> bool:
-        """Whether enough grams of a window are grams of item i."""
-        if self.enough[i] <= 0:
-            return True
-        own = self.codes[i]
-        return (own[np.minimum(np.searchsorted(own, codes), len(own) - 1)] == codes).sum() >= self.enough[i]
+    def _marks(self, i: int) -> np.ndarray:
+        """Which grams item i has, by code; those of the DENSE items asked last are kept."""
+        if i not in self.dense:
+            if len(self.dense) >= DENSE:
+                del self.dense[next(iter(self.dense))]
+            self.dense[i] = np.zeros(1 << 16, bool)
+            self.dense[i][grams(self.items[i][1])] = True
+        return self.dense[i]
 
     def leaks(self, text: str) -> list[tuple[int, int, int, int]]:
         """(item id, distance, start, end) of the best passage of each item in a normal text, by item id."""
@@ -135,7 +139,7 @@ class Matcher:
                     if (lo == 0 or text[lo - 1] == " ") and (hi == len(text) or text[hi] == " ") and best is None:
                         best = (0, lo, hi)
                     continue
-                if not self._enough(i, codes[lo : max(lo, hi - GRAM + 1)]):
+                if self._marks(i)[codes[lo : max(lo, hi - GRAM + 1)]].sum() < self.enough[i]:
                     continue
                 hit = myers(item, text[lo:hi], e)
                 if hit is not None and (best is None or hit[0] < best[0]):
