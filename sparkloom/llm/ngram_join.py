@@ -19,7 +19,11 @@ c = (1-t)/(1+t), A and B link if and only if their X share (k(A) + k(B)) / 2 tok
 If A and B link without sharing any, both link with m, by sizes alone. Otherwise one of them, an outer one, has
 k > -k(m), and they share more than (k(A) - k(m)) / 2 tokens of X(A): a prefix of X(A), shorter than half of it where
 copies are at random, is indexed for outer documents to find. Documents too far from the one compared stay for the
-next round, as do keys of X that many share.
+next round, as do keys of X that many share. Keys that rounds do not make small are compared in blocks, by sizes and
+histograms, and only pairs that may link leave a block.
+
+Candidates that no difference has decided are verified by their whole sets, in bundles: the texts of a small component
+of candidates are sent once to one task, which stops at pairs that links have joined already.
 """
 
 from __future__ import annotations
@@ -660,7 +664,8 @@ def ngram_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_co
     A row's set: its distinct k-word shingles, A-Z lower-cased; a text of fewer words has one of all; a null text or
     one without words has none and links with nothing. component_id is the smallest id that links reach. Equal sets
     are one node from the start. Rows that share an id are one document, which links where one of them does; rows
-    with a null id link with nothing and have no component. An empty table gives an empty table.
+    with a null id link with nothing and have no component. An empty table gives an empty table. Texts of any length
+    are read whole; columns beside the two named take no part.
 
     Every pair of different sets that links is either compared or joined through a third set that links with both, so
     components are exact; a group of near copies costs rows in proportion to its size.
