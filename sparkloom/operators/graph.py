@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections import deque
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -37,6 +37,18 @@ def waves(nodes: DataFrame, edges: DataFrame, node: str, src: str, dst: str) ->
     return out
 
 
+def in_order(levels: DataFrame, node: str) -> DataFrame:
+    """(node, place) of (node, wave): wave by wave, within a wave by node. What cycles hold back comes last, by node.
+
+    A wave's nodes are counted from the number of nodes in waves before it, so that no task sorts all of them.
+    """
+    sizes = levels.groupBy("wave").agg(F.count(F.lit(1)).alias("__n"))  # a row for each wave
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("wave").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = levels.withColumn("__r", F.row_number().over(Window.partitionBy("wave").orderBy(node)))
+    first = F.broadcast(sizes.select("wave", before.alias("__b")))
+    return ranked.join(first, "wave").select(node, (F.col("__b") + F.col("__r") - 1).alias("place"))
+
+
 def topological_order(edges: list[tuple[str, str]]) -> list[str]:
     """Callers before callees, first come first served, nodes that become free together by name; a cycle gives all by name.
 

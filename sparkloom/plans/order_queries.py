@@ -183,7 +183,7 @@ MERGE_IMPORTS = f"""
 
 
 def first_definition_wins(spark, sf_dir):
-    """W-05 U-04: the first line item of each part and supplier in the order of orders."""
+    """W-05: the first line item of each part and supplier in the order of orders."""
     return ordered.first_definitions(candidates(spark, sf_dir), ["l_partkey", "l_suppkey"], ["unit", "ordinal"]).select("l_partkey", "l_suppkey", "unit", "ordinal")
 
 
@@ -191,7 +191,7 @@ FIRST_DEFINITION = f"WITH {CANDIDATES.strip()} SELECT l_partkey, l_suppkey, unit
 
 
 def set_pack(spark, sf_dir):
-    """U-03 U-06 U-07: unions of name sets, and modules assembled in order."""
+    """U-07: modules assembled in order, without their imports, and the sorted union of two sets of names (the form of U-03)."""
     k = c("p_partkey")
     lines_of = F.element_at(F.array(*[F.lit(x) for x in ("struct A;", "use std::fmt;", "fn f() {}", "pub struct A;", "```", "const B: i32 = 1;")]), (c("p_size") % 6 + 1).cast("int"))
     rows = read(spark, sf_dir, "part").select(F.floor(k / 12).alias("unit"), F.floor(k % 12 / 4).alias("module"), k.alias("pos"), lines_of.alias("line"))
@@ -303,8 +303,16 @@ MODULE_WAVES = """
     SELECT module, max(wave) AS wave FROM w GROUP BY module"""
 
 
+def module_order(spark, sf_dir):
+    """G-04: modules one by one, none before one that points to it."""
+    return graph.in_order(module_waves(spark, sf_dir), "module")
+
+
+MODULE_ORDER = f"WITH levels AS ({MODULE_WAVES}) SELECT module, row_number() OVER (ORDER BY wave, module) - 1 AS place FROM levels"
+
+
 def topo_order(spark, sf_dir):
-    """G-02 G-04: the queue's order of all functions, by the calls to later ones; with those back, cycles would leave names only.
+    """G-02: the queue's order of all functions, by the calls to later ones; with those back, cycles would leave names only.
 
     The queue is one sequence: edges and names are held by the driver.
     """
@@ -349,7 +357,7 @@ ANCHORED_LIMITER = """
 
 
 def incremental_state(spark, sf_dir):
-    """T-04 S-05: the last state of each key after two batches."""
+    """The last state of each key after two batches, in batch; T-04 keeps it between runs (limiters.upsert_state)."""
     from ..operators.joins import first_by
 
     rows = read(spark, sf_dir, "events").select((c("user_id") % 50).alias("name"), "event_id", (c("event_id") % 3 == 0).alias("migrated"))
@@ -436,13 +444,13 @@ QUERIES = {
     f.__name__: f
     for f in (
         brace_depth, truncate_balanced, directive_forward_fill, file_markers, comment_blocks, best_version_fold, greedy_chunks, module_split, stall_counter, merge_imports, first_definition_wins, set_pack, semantic_hints,
-        scanner_udfs, rewrite_line_rules, rewrite_block_rules, module_waves, topo_order, direct_dependencies, sliding_limiter, anchored_limiter, incremental_state, fuzz_inputs, fuzz_summary, test_value_combos, trace_groups,
+        scanner_udfs, rewrite_line_rules, rewrite_block_rules, module_waves, module_order, topo_order, direct_dependencies, sliding_limiter, anchored_limiter, incremental_state, fuzz_inputs, fuzz_summary, test_value_combos, trace_groups,
         column_stats, fixture_builtins,
     )
 }
 ORACLE_SQL = {
     "brace_depth": BRACE_DEPTH, "truncate_balanced": TRUNCATE_BALANCED, "directive_forward_fill": DIRECTIVE_FORWARD_FILL, "file_markers": FILE_MARKERS, "comment_blocks": COMMENT_BLOCKS, "best_version_fold": BEST_VERSION,
     "greedy_chunks": GREEDY_CHUNKS, "module_split": MODULE_SPLIT, "stall_counter": STALL_COUNTER, "merge_imports": MERGE_IMPORTS, "first_definition_wins": FIRST_DEFINITION, "set_pack": SET_PACK, "semantic_hints": _semantic_hints(),
-    "rewrite_line_rules": REWRITE_LINE_RULES, "module_waves": MODULE_WAVES, "direct_dependencies": DIRECT_DEPENDENCIES, "anchored_limiter": ANCHORED_LIMITER, "incremental_state": INCREMENTAL_STATE, "fuzz_summary": FUZZ_SUMMARY,
+    "rewrite_line_rules": REWRITE_LINE_RULES, "module_waves": MODULE_WAVES, "module_order": MODULE_ORDER, "direct_dependencies": DIRECT_DEPENDENCIES, "anchored_limiter": ANCHORED_LIMITER, "incremental_state": INCREMENTAL_STATE, "fuzz_summary": FUZZ_SUMMARY,
     "test_value_combos": TEST_VALUE_COMBOS, "trace_groups": TRACE_GROUPS, "column_stats": COLUMN_STATS,
 }

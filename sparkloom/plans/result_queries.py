@@ -171,7 +171,7 @@ FIXED_ERRORS = f"""
 
 
 def error_to_function(spark, sf_dir):
-    """J-07: each event with the last starting event of its user before it, valid within 30 lines of it."""
+    """J-07: each event with the last starting event of its user before it, valid within 3000 lines of it."""
     e = read(spark, sf_dir, "events").select("user_id", "event_id", (c("event_id") % 9 == 0).alias("starts"))
     out = joins.enclosing(e, ["user_id"], "event_id", c("starts"), "event_id")
     return out.filter(~c("starts")).select("user_id", "event_id", F.when(c("event_id") - c("enclosing") <= 3000, c("enclosing")).alias("enclosing"))

@@ -178,3 +178,18 @@ def test_long_literals_and_chains(spark):
     df = spark.createDataFrame([(1, long), (2, '"' + "b" * 1_000_000), (3, '{ "}" // }')], "id int, text string")
     got = {r["id"]: r["depth"] for r in ordered.brace_depth(df, "text", "id").collect()}
     assert got == {1: 1, 2: 0, 3: 1}
+
+
+def test_order_of_modules_with_a_cycle(spark):
+    levels = graph.waves(spark.range(6).toDF("m"), spark.createDataFrame([(0, 1), (2, 3), (3, 2), (3, 4)], "a long, b long"), "m", "a", "b")
+    place = {r["m"]: r["place"] for r in graph.in_order(levels, "m").collect()}
+    assert sorted(place, key=place.get) == [0, 5, 1, 2, 3, 4]
+
+
+def test_first_of_equal_lines(spark):
+    from sparkloom.operators import sets
+
+    rows = [(1, 0, 0, "use a;"), (1, 0, 1, "use b;"), (1, 1, 0, "use a;"), (2, 0, 0, "use b;"), (2, 0, 1, "use b;")]
+    df = spark.createDataFrame(rows, "id int, chunk int, pos int, line string")
+    got = sets.ordered_distinct(df, "id", "line", ["chunk", "pos"]).collect()
+    assert sorted(map(tuple, got)) == [rows[0], rows[1], rows[3]]
