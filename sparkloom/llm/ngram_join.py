@@ -578,9 +578,15 @@ def _block_pairs(cells: DataFrame, nodes: DataFrame, t: Threshold) -> DataFrame:
 
 
 def _sized(cells: DataFrame) -> DataFrame:
-    """cells (key, id, n, rare) of keys with two documents or more, with the key's size."""
-    sizes = cells.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    return cells.join(sizes, "key")
+    """cells (key, id, n, rare) of keys with two documents or more, with the key's size.
+
+    Of keys that the same documents share, as the keys of a copied passage are, one stays: the others would give the
+    same pairs again. Documents of a key are told by their number and two sums of 64 bits.
+    """
+    told = (F.bit_xor(F.xxhash64("id", F.lit(i))).alias(f"sum{i}") for i in range(2))
+    sizes = cells.groupBy("key").agg(F.count(F.lit(1)).alias("size"), *told).filter("size > 1")
+    sizes = sizes.groupBy("size", "sum0", "sum1").agg(F.min("key").alias("key"))
+    return cells.join(sizes.select("key", "size"), "key")
 
 
 def _with_pivots(many: DataFrame, turn: int) -> DataFrame:
