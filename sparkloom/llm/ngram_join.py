@@ -549,6 +549,7 @@ def _block_pairs(cells: DataFrame, nodes: DataFrame, t: Threshold) -> DataFrame:
     blocks = rows.groupBy("key", "band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
     blocks = stored(blocks, "blocks")
     rows = rows.join(blocks, ["key", "band"]).withColumn("part", F.pmod(F.xxhash64("id"), "blocks"))
+    rows = stored(rows, "banded")  # read three times
     same = rows.select("key", "band", F.lit(0).alias("step"), "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"), "id", "n", "hist")
     same = same.select("key", "band", "step", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), (F.col("part") > F.col("other")).alias("upper"), "id", "n", "hist")
     above = blocks.select("key", (F.col("band") - 1).alias("band"), F.col("blocks").alias("others"))
