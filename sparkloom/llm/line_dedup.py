@@ -40,7 +40,7 @@ def twice_filter(docs: DataFrame, id_col: str, text_col: str, least: int, bits:
     """The filter of lines seen in two documents or more; a document counts a line once."""
 
     def scan(batches):
-        yield from bloom.marks((hashes_of(keys_of(x, least)) for b in batches for x in pc.fill_null(b.column(0), "").to_pylist()), bits)
+        yield from bloom.marks(((hashes_of(keys_of(x, least)),) for b in batches for x in pc.fill_null(b.column(0), "").to_pylist()), bits)
 
     known = docs.filter(F.col(id_col).isNotNull()).select(F.col(text_col).cast("string"))
     return bloom.seen_twice(known.mapInArrow(scan, bloom.MARKS))

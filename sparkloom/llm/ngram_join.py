@@ -200,19 +200,26 @@ def _keys(docs: DataFrame, k: int, t: Threshold, frequent: np.ndarray) -> DataFr
 class _Repeats:
     """Tells which keys may occur twice in the arrays of the column keys, by a filter sized by their number.
 
-    With more keys than the largest filter is of use for, any may.
+    Where prefixes names columns, they say how many of a row's first keys are of a kind; then a key has to occur once
+    at least in each kind, too. With more keys than the largest filter is of use for, any may.
     """
 
-    def __init__(self, rows: DataFrame):
+    def __init__(self, rows: DataFrame, *prefixes: str):
         total = rows.agg(F.sum(F.octet_length("keys") / 8)).first()[0] or 0
         bits = max(20, min(MOST_KEY_BITS, math.ceil(math.log2(1 + total * KEY_BITS_EACH))))
 
+        def documents(batches):
+            for b in batches:
+                for keys, *ends in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    keys = np.frombuffer(keys, np.uint64)
+                    yield keys, *(keys[:end] for end in ends)
+
         def scan(batches):
-            yield from bloom.marks((np.frombuffer(x, np.uint64) for b in batches for x in b.column(0).to_pylist()), bits)
+            yield from bloom.marks(documents(batches), bits)
 
         self.bits, self.shared = bits, None
         if total * LEAST_BITS_EACH <= 1 << bits:
-            self.shared = rows.sparkSession.sparkContext.broadcast(bloom.seen_twice(rows.select("keys").mapInArrow(scan, bloom.MARKS)))
+            self.shared = rows.sparkSession.sparkContext.broadcast(bloom.seen_twice(rows.select("keys", *prefixes).mapInArrow(scan, bloom.MARKS)))
 
     def tool(self):
         if self.shared is None:
@@ -447,7 +454,8 @@ def _set_apart(near: DataFrame, t: Threshold) -> tuple[DataFrame, DataFrame]:
     packed = "p long, id long, short long, long long, keys binary"
     rows = stored(turned.select("p", "id", "n", "k", "x", "least").mapInArrow(index, packed), "differences")
 
-    repeats = _Repeats(rows)
+    # A pair has one document in the short prefix of a key and one in the long prefix.
+    repeats = _Repeats(rows, "short", "long")
 
     def spread(batches):
         held = repeats.tool()

@@ -1,6 +1,12 @@
 import random
 import re
+from collections import Counter
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
+
+from sparkloom.llm import bloom
 from sparkloom.llm.ngram_join import ngram_join, one_of_each_group
 
 
@@ -111,3 +117,18 @@ def test_one_of_each_group_keeps_columns(spark):
     got = sorted(map(tuple, one_of_each_group(df).collect()), key=str)
     assert got == [(1, "a b c d e f g", 5), (4, None, 8), (5, "", 9), (None, "a b c d e f g", 7)]
     assert one_of_each_group(df.limit(0)).columns == df.columns
+
+
+def test_filter_of_kinds_holds_what_occurs_twice_and_once_in_each():
+    rng = np.random.default_rng(7)
+    bits = 21
+    documents = [(x := np.unique(rng.integers(0, 3000, 40)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), x[:20], x[10:30]) for _ in range(100)]
+    batches = [pa.Table.from_batches([b]) for part in (documents[:50], documents[50:], []) for b in bloom.marks(part, bits)]
+    sent = pa.concat_tables(batches)
+    merged = [bloom._merge(sent.filter(pa.compute.equal(sent["seg"], s))) for s in set(sent["seg"].to_pylist())]
+    found = bloom.bitmap({t["seg"][0].as_py(): t["twice"][0].as_py() for t in merged}, bits)
+    times, kinds = Counter(x for d in documents for x in d[0]), [{x for d in documents for x in d[i]} for i in (1, 2)]
+    want = {x for x, n in times.items() if n > 1 and x in kinds[0] and x in kinds[1]}
+    asked = np.array(sorted(times), np.uint64)
+    held = set(asked[bloom.held(found, asked, bits)])
+    assert want <= held and len(held - want) < 20 < len(times) - len(want)
