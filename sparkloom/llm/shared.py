@@ -88,6 +88,8 @@ _RNG = np.random.default_rng(20240229)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _WORD = _RNG.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_BYTE_2 = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BASE_2 = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -137,8 +139,12 @@ def word_bounds(data: np.ndarray, at: np.ndarray, cuts: np.ndarray | None = None
     return starts, ends, np.searchsorted(starts, at)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word with A-Z lower-cased: sum of byte values at odd random weights times powers of an odd base."""
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True, second: bool = False) -> np.ndarray:
+    """A 64-bit hash of each word, with A-Z lower-cased if fold: sum of byte values at odd random weights times powers of an odd base.
+
+    `second` gives another hash, so that both together tell words by 128 bits.
+    """
+    values, base = (_BYTE_2, _BASE_2) if second else (_BYTE, _BASE)
     out = np.empty(len(starts), np.uint64)
     lo = 0
     while lo < len(starts):
@@ -146,10 +152,10 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         s, n = starts[lo:hi], ends[lo:hi] - starts[lo:hi]
         begin = np.cumsum(n) - n
         within = np.arange(begin[-1] + n[-1]) - np.repeat(begin, n)
-        byte = _LOWER[data[within + np.repeat(s, n)]]
-        powers = np.full(int(n.max()), _BASE)
+        byte = data[within + np.repeat(s, n)]
+        powers = np.full(int(n.max()), base)
         powers[0] = 1
-        out[lo:hi] = np.add.reduceat(_BYTE[byte] * np.multiply.accumulate(powers)[within], begin)
+        out[lo:hi] = np.add.reduceat(values[_LOWER[byte] if fold else byte] * np.multiply.accumulate(powers)[within], begin)
         lo = hi
     return mix64(out)
 
