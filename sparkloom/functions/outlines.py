@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .folds import emitting
 from .text import lines, strip
 
 #: How lines start that are kept whole, and what stands for a body.
@@ -20,26 +23,102 @@ def _starts(line: Column, heads: tuple[str, ...]) -> Column:
 def abbreviated(text: Column, most: int) -> Column:
     """A text of more than `most` lines with the bodies of functions elided; declarations and main stay whole.
 
-    One fold over the lines. Its state is the depth of braces, whether a body is being left out (0 no, 1 yes, 2 and
-    said so), and the lines that stay. A body starts where braces open at depth 0, and lasts until they are closed.
+    One fold over the lines. Its state is the depth of braces and whether a body is being left out (0 no, 1 yes, 2 and
+    said so). A body starts where braces open at depth 0, and lasts until they are closed.
     """
     rows = lines(text)
     of = F.transform(rows, lambda x: F.struct(x.alias("line"), strip(x).alias("bare")))
-    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("body"), F.array().cast("array<string>").alias("out"))
+    state = lambda d, b: F.struct(d.cast("int").alias("depth"), b.cast("int").alias("body"))
 
-    def step(acc: Column, x: Column) -> Column:
+    def step(acc: Column, x: Column) -> tuple[Column, Column]:
         opened, closed = F.regexp_count(x["bare"], F.lit(r"\{")), F.regexp_count(x["bare"], F.lit(r"\}"))
         depth, main = acc["depth"] + opened - closed, _starts(x["bare"], MAIN_HEADS)
         body = F.when(main, 0).otherwise(acc["body"])
         enters = (acc["depth"] == 0) & (opened > 0) & ~main & ~_starts(x["bare"], DECLARATIONS)
         inside = (body > 0) & (acc["depth"] > 0)
-        said = F.when(body == 1, F.array_append(acc["out"], F.lit(ELIDED))).otherwise(acc["out"])
-        state = lambda d, b, out: F.struct(d.cast("int").alias("depth"), b.cast("int").alias("body"), out.alias("out"))
-        left_out = F.when(depth <= 0, state(F.lit(0), F.lit(0), F.array_append(said, F.lit("}")))).otherwise(state(depth, F.lit(2), said))
-        kept = F.array_append(acc["out"], x["line"])
-        return F.when(enters, state(depth, F.lit(1), kept)).when(inside, left_out).otherwise(state(F.greatest(depth, F.lit(0)), body, kept))
+        after = F.when(enters, state(depth, F.lit(1))).when(inside & (depth <= 0), state(F.lit(0), F.lit(0))).when(inside, state(depth, F.lit(2)))
+        said = F.when(body == 1, F.array(F.lit(ELIDED))).otherwise(F.array().cast("array<string>"))
+        out = F.when(~enters & inside, F.when(depth <= 0, F.array_append(said, F.lit("}"))).otherwise(said)).otherwise(F.array(x["line"]))
+        return after.otherwise(state(F.greatest(depth, F.lit(0)), body)), out
+
+    short = emitting(of, state(F.lit(0), F.lit(0)), step, "string")
+    return F.when(F.size(rows) <= most, text).otherwise(F.array_join(short, "\n"))
+
+
+#: What lines of the summary's sections start with, or may not start with.
+RECORDS = ("struct ", "enum ", "union ")
+NOT_SIGNATURES = ("//", "#", "typedef", "if", "while", "for")
+SHOWN_GLOBALS = 10
+
+
+def declarations(text: Column) -> Column:
+    """C-21: array<struct<kind, text>> of a C source's typedefs, records, top-level signatures and globals, in order.
+
+    One pass over the lines by an automaton of two states: within a record whose braces are open, whose lines are
+    passed over, or else at a depth of braces that is never below 0. A record inside a function ends at depth 0.
+    """
+    of = F.transform(lines(text), lambda x: strip(x))
+    state = lambda record, depth: F.struct(record.alias("record"), depth.cast("int").alias("depth"))
+    entry = lambda kind, x: F.struct(F.lit(kind).alias("kind"), x.alias("text"))
+    head = lambda x: strip(F.substring_index(x, "{", 1))
+
+    def step(acc: Column, x: Column) -> tuple[Column, Column]:
+        change = F.regexp_count(x, F.lit(r"\{")) - F.regexp_count(x, F.lit(r"\}"))
+        record = _starts(x, RECORDS) & x.contains("{")
+        typedef = x.startswith("typedef")
+        top = acc["depth"] == 0
+        signature = top & ~_starts(x, NOT_SIGNATURES) & x.contains("(") & (x.endswith("{") | x.endswith(")")) & (head(x) != "")
+        value = top & ~_starts(x, ("//", "#")) & x.contains("=") & x.endswith(";") & ~x.contains("(")
+        found = F.when(record, F.array(entry("record", head(x)))).when(typedef, F.array(entry("typedef", x)))
+        found = found.otherwise(F.array_compact(F.array(F.when(signature, entry("function", head(x))), F.when(value, entry("global", x)))))
+        inside = F.when(acc["record"], acc["depth"] + change).otherwise(change)
+        after = F.when(acc["record"] | record, state(inside > 0, F.greatest(inside, F.lit(0))))
+        after = after.when(typedef, acc).otherwise(state(F.lit(False), F.greatest(acc["depth"] + change, F.lit(0))))
+        return after, F.when(acc["record"], F.array().cast("array<struct<kind:string,text:string>>")).otherwise(found)
+
+    return emitting(of, state(F.lit(False), F.lit(0)), step, "struct<kind:string,text:string>")
+
+
+def structural_summary(found: Column) -> Column:
+    """Sections on the declarations of a text by kind; of more than ten globals the rest is counted. None give an empty text.
+
+    `found` should be a column of its own: it is read once for each section.
+    """
+
+    def section(kind: str, write: Callable[[Column], Column]) -> Column:
+        own = F.transform(F.filter(found, lambda e: e["kind"] == kind), lambda e: e["text"])
+        return F.when(F.size(own) > 0, F.concat(write(own), F.lit("\n"))).otherwise("")
+
+    count = lambda own: F.size(own).cast("string")
+    more = lambda own: F.when(F.size(own) > SHOWN_GLOBALS, F.concat(F.lit(" ... and "), (F.size(own) - SHOWN_GLOBALS).cast("string"), F.lit(" more"))).otherwise("")
+    return F.concat(
+        section("typedef", lambda own: F.concat(F.lit("**Typedefs ("), count(own), F.lit("):** "), F.array_join(own, "; "))),
+        section("record", lambda own: F.concat(F.lit("**Structs/Enums ("), count(own), F.lit("):** "), F.array_join(own, ", "))),
+        section("function", lambda own: F.concat(F.lit("**Functions ("), count(own), F.lit("):**\n"), F.array_join(F.transform(own, lambda x: F.concat(F.lit("- `"), x, F.lit("`"))), "\n"))),
+        section("global", lambda own: F.concat(F.lit("**Globals ("), count(own), F.lit("):** "), F.array_join(F.slice(own, 1, SHOWN_GLOBALS), "; "), more(own))),
+    )
+
+
+#: Lines of headers that are passed over, and what lines that define types start with.
+HEADER_NOISE = ("#pragma", "#ifndef", "#define _", "#endif", "#include", "#ifdef", "#else", "#if ")
+TYPE_STARTS = ("typedef ", "struct ", "enum ", "#define ", "extern ")
+
+
+def header_type_lines(text: Column) -> Column:
+    """S-15: the lines of a C header that define types, with those of the blocks that they open, as an array."""
+    of = F.transform(lines(text), lambda x: F.struct(x.alias("line"), strip(x).alias("bare")))
+
+    def step(acc: Column, x: Column) -> tuple[Column, Column]:
+        change = F.regexp_count(x["bare"], F.lit(r"\{")) - F.regexp_count(x["bare"], F.lit(r"\}"))
+        noise = _starts(x["bare"], HEADER_NOISE)
+        begins = _starts(x["bare"], TYPE_STARTS) | (x["bare"].contains("typedef") & x["bare"].contains("(*)"))
+        kept = ~noise & ((acc["block"]) | begins)
+        depth = F.when(kept, acc["depth"] + change).otherwise(acc["depth"])
+        block = F.when(kept, depth > 0).otherwise(acc["block"])
+        return F.struct(block.alias("block"), depth.cast("int").alias("depth")), F.when(kept, F.array(x["line"])).otherwise(F.array().cast("array<string>"))
 
-    return F.when(F.size(rows) <= most, text).otherwise(F.array_join(F.aggregate(of, start, step, lambda acc: acc["out"]), "\n"))
+    start = F.struct(F.lit(False).alias("block"), F.lit(0).alias("depth"))
+    return emitting(of, start, step, "string")
 
 
 def fenced_json(text: Column) -> Column:

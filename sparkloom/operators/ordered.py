@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.folds import emitting
 from ..functions.text import lines, strip
 
 
@@ -35,17 +36,21 @@ def brace_depth(df: DataFrame, text: str, key: str) -> DataFrame:
 def close_braces(df: DataFrame, text: str, key: str) -> DataFrame:
     """(key, text): cut after the last line of depth 0 if braces stay open, else closed at the end; balanced texts stay.
 
-    Narrow: depths of one text's lines are a fold over them, so no text is exploded or shuffled.
+    Narrow: one fold over a text's lines, whose state is the depth and the last line of depth 0.
     """
     rows = lines(F.col(text))
-    depths = F.aggregate(F.transform(rows, brace_delta), F.array().cast("array<int>"), lambda acc, d: F.array_append(acc, F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + d))
-    last = F.try_element_at(F.col("__d"), F.lit(-1))
-    cut = F.size("__d") - F.array_position(F.reverse("__d"), F.lit(0)) + 1  # lines up to the last of depth 0
-    some = F.array_position("__d", F.lit(0)) > 0
-    shortened = F.concat(F.array_join(F.slice("__r", 1, cut.cast("int")), "\n"), F.lit("\n// truncated "), (F.size("__r") - cut).cast("string"), F.lit(" lines of incomplete code"))
-    closed = F.concat(F.col(text), F.lit("\n"), F.repeat(F.lit("}"), last), F.lit(" // auto-closed: truncated output"))
-    out = F.when(F.coalesce(last, F.lit(0)) <= 0, F.col(text)).when(some & (cut < F.size("__r")), shortened).otherwise(closed)
-    return df.select(key, text, rows.alias("__r"), depths.alias("__d")).select(key, out.alias(text))
+    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("depth"), F.lit(0).alias("even"))
+
+    def step(acc, d):
+        n, depth = acc["n"] + 1, acc["depth"] + d
+        return F.struct(n.alias("n"), depth.alias("depth"), F.when(depth == 0, n).otherwise(acc["even"]).alias("even"))
+
+    state = F.aggregate(F.transform(rows, brace_delta), start, step)
+    n, depth, even = (F.col(f"__f.{x}") for x in ("n", "depth", "even"))
+    shortened = F.concat(F.array_join(F.slice("__r", 1, even), "\n"), F.lit("\n// truncated "), (n - even).cast("string"), F.lit(" lines of incomplete code"))
+    closed = F.concat(F.col(text), F.lit("\n"), F.repeat(F.lit("}"), depth), F.lit(" // auto-closed: truncated output"))
+    out = F.when(depth <= 0, F.col(text)).when((even > 0) & (even < n), shortened).otherwise(closed)
+    return df.select(key, text, rows.alias("__r"), state.alias("__f")).select(key, F.coalesce(out, F.col(text)).alias(text))
 
 
 def of_current_file(df: DataFrame, text: str, key: str, file: Column) -> DataFrame:
@@ -88,26 +93,26 @@ def best_version(df: DataFrame, key: str, order: str, ceiling: Column) -> DataFr
 
 def packed(sizes: Column, target: Column) -> Column:
     """Chunk number of each size in turn: a new chunk begins when the current one is not empty and would pass the target."""
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit(0).cast("long").alias("have"), F.array().cast("array<bigint>").alias("out"))
+    start = F.struct(F.lit(-1).cast("long").alias("at"), F.lit(0).cast("long").alias("have"))
 
     def step(acc, n):
-        new = (F.size(acc["out"]) > 0) & (acc["have"] + n > target)
-        at = acc["at"] + F.when(new, 1).otherwise(0)
-        have = F.when(new, F.lit(0)).otherwise(acc["have"]) + n
-        return F.struct(at.cast("long").alias("at"), have.cast("long").alias("have"), F.array_append(acc["out"], at.cast("long")).alias("out"))
+        new = (acc["at"] < 0) | (acc["have"] + n > target)
+        at = (acc["at"] + new.cast("int")).cast("long")
+        have = (F.when(new, F.lit(0)).otherwise(acc["have"]) + n).cast("long")
+        return F.struct(at.alias("at"), have.alias("have")), F.array(at)
 
-    return F.aggregate(sizes, start, step, lambda acc: acc["out"])
+    return emitting(sizes, start, step, "bigint")
 
 
 def stalls(counts: Column) -> Column:
     """Running stall counter of error counts in turn: one more where the count repeats above 0, else 0."""
-    start = F.struct(F.lit(None).cast("int").alias("prev"), F.lit(0).cast("int").alias("n"), F.array().cast("array<int>").alias("out"))
+    start = F.struct(F.lit(None).cast("int").alias("prev"), F.lit(0).alias("n"))
 
     def step(acc, x):
         n = F.when(acc["prev"].isNull(), acc["n"]).when((x == acc["prev"]) & (x > 0), acc["n"] + 1).otherwise(0).cast("int")
-        return F.struct(x.cast("int").alias("prev"), n.alias("n"), F.array_append(acc["out"], n).alias("out"))
+        return F.struct(x.cast("int").alias("prev"), n.alias("n")), F.array(n)
 
-    return F.aggregate(counts, start, step, lambda acc: acc["out"])
+    return emitting(counts, start, step, "int")
 
 
 def earlier_waves(df: DataFrame, key: str, wave: str, value: str) -> DataFrame:
