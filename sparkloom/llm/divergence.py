@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from .shared import prepare, scratch, stored
 
-#: A term: a run of ASCII letters and characters beyond ASCII.
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: What stands between terms, which are runs of ASCII letters and characters beyond ASCII.
+BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 SCALE = 1_000_000_000
 TOP = 10
 
@@ -39,8 +39,11 @@ def lowered(text):
 
 
 def term_counts(rows: DataFrame) -> DataFrame:
-    """(lang, source, term, n, docs): occurrences, and rows that hold the term."""
-    terms = rows.select("lang", "source", F.regexp_extract_all(lowered(F.col("text")), F.lit(TERM), F.lit(0)).alias("terms"))
+    """(lang, source, term, n, docs): occurrences, and rows that hold the term.
+
+    Texts are split between terms, which takes a fraction of the time that matching terms one by one does.
+    """
+    terms = rows.select("lang", "source", F.array_remove(F.split(lowered(F.col("text")), BETWEEN), "").alias("terms"))
     # Each row gives all its terms, and then each distinct one again to count the row once.
     both = terms.select("lang", "source", F.posexplode(F.array("terms", F.array_distinct("terms"))).alias("once", "terms"))
     each = both.select("lang", "source", "once", F.explode("terms").alias("term"))
