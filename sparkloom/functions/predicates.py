@@ -127,3 +127,47 @@ def status_label(compiles: Column, tests: Column) -> Column:
 
 def score_band(score: Column) -> Column:
     return F.when(score >= 90, "high").when(score >= 70, "mid").otherwise("low")
+
+
+#: C types that traces can write, and those that are texts.
+SCALAR_TYPES = (
+    "int", "unsigned int", "unsigned", "long", "unsigned long", "short", "unsigned short", "char", "unsigned char", "float", "double", "long double",
+    "size_t", "ssize_t", "int8_t", "int16_t", "int32_t", "int64_t", "uint8_t", "uint16_t", "uint32_t", "uint64_t", "bool", "_Bool",
+)
+TEXT_TYPES = ("const char*", "const char *", "char*", "char *")
+
+
+def parameter_types(head: Column) -> Column:
+    """The types in the parentheses of a function's first line, pointers as type and stars; `void` and nothing give none."""
+    inside = F.when(head.contains("(") & head.contains(")"), F.regexp_extract(head, r"(?s)\A[^(]*\((.*)\)", 1)).otherwise("")
+    words = F.transform(F.split(inside, ","), lambda p: F.array_remove(F.split(p, r"\s+"), ""))
+
+    def kind(p: Column) -> Column:
+        type_words = F.slice(p, 1, F.size(p) - 1)
+        bare = F.array_remove(F.transform(type_words, lambda w: F.regexp_replace(w, r"\*+\z", "")), "")
+        stars = F.regexp_count(F.array_join(p, " "), F.lit(r"\*"))
+        return F.when(F.size(p) == 1, p[0]).when(stars > 0, F.concat(F.array_join(bare, " "), F.repeat(F.lit("*"), stars))).otherwise(F.array_join(type_words, " "))
+
+    some = F.filter(words, lambda p: F.size(p) > 0)
+    return F.when(F.trim(inside).isin("void", ""), F.array().cast("array<string>")).otherwise(F.transform(some, kind))
+
+
+def not_instrumentable(head: Column, returns: Column) -> Column:
+    """F-05: why a function, given by its first line and return type, cannot be traced; null if it can.
+
+    The first parameter that does not fit decides, by the first rule that it breaks; then the return type.
+    """
+    scalar = lambda t: t.isin(*SCALAR_TYPES)
+    pointed = lambda t: F.trim(F.regexp_replace(t, r"\*+\z", ""))
+    to_scalar = lambda t: t.endswith("*") & (scalar(pointed(t)) | (pointed(t).startswith("const ") & scalar(F.substring(pointed(t), F.lit(7), F.length(t)))))
+    because = lambda what, t: F.concat(F.lit(f"{what}: "), t)
+
+    def fault(t: Column) -> Column:
+        out = F.when(t.contains("void*") | t.contains("void *"), because("void* parameter", t))
+        out = out.when(t.startswith("struct ") | t.startswith("union "), because("struct/union parameter", t))
+        out = out.when(t.contains("(*"), because("function pointer parameter", t)).when(t.contains("FILE"), because("FILE parameter", t))
+        return out.when(~(scalar(t) | t.isin(*TEXT_TYPES) | to_scalar(t)), because("unsupported parameter type", t))
+
+    first = F.get(F.array_compact(F.transform(parameter_types(head), fault)), F.lit(0))
+    fits = (returns == "void") | scalar(returns) | returns.isin(*TEXT_TYPES) | returns.endswith("*")
+    return F.when(head.contains("..."), "variadic function").when(first.isNotNull(), first).when(~fits, because("unsupported return type", returns))

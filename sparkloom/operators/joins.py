@@ -43,11 +43,15 @@ def not_migrated(functions: DataFrame, states: DataFrame, name: str, done: str)
     return functions.join(states.filter(F.col(done)).select(name), name, "left_anti")
 
 
-def missing_counterparts(names: DataFrame, name: str, lower: Column, snake: Column, known: DataFrame, known_name: str) -> DataFrame:
-    """names of which neither form is known; each form is an equi-join of its own."""
-    forms = names.select(name, F.explode(F.array_distinct(F.array(lower, snake))).alias("__form"))
-    found = forms.join(known.select(F.col(known_name).alias("__form")).distinct(), "__form", "left_semi").select(name).distinct()
-    return names.join(found, name, "left_anti")
+def missing_counterparts(names: DataFrame, keys: list[str], lower: Column, snake: Column, known: DataFrame) -> DataFrame:
+    """Rows of names of which neither form is known; each form is an equi-join of its own.
+
+    The last of the keys is the name, those before it say where it must be known; known has the same columns.
+    """
+    *where, name = keys
+    forms = names.select(*keys, F.explode(F.array_distinct(F.array(lower, snake))).alias("__form"))
+    found = forms.join(known.select(*where, F.col(name).alias("__form")).distinct(), [*where, "__form"], "left_semi").select(*keys).distinct()
+    return names.join(found, keys, "left_anti")
 
 
 def fixed_errors(before: DataFrame, after: DataFrame, keys: list[str], line: str, reach: int = 5) -> DataFrame:

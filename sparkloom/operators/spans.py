@@ -20,6 +20,8 @@ C_TOKEN = (
     r'|"(?:[^"\\\n]++|\\.)*+"?+' + r"|'(?:[^'\\\n]++|\\.)*+'?+"
     r"|\w++(?:\s*+\()?+|\n|[^\S\n]++|[(){};]|[^\w\s\"'/#(){};]++|."
 )
+#: A character that no source has stands before each token while a text is cut.
+CUT = "\x01"
 DIRECTIVE, COMMENT, SPACE = r"\A[ \t]*#", r"\A/[/*]", r"\A\s"
 #: Names that take parentheses and are no calls.
 NOT_CALLED = ("if", "while", "for", "switch", "return", "sizeof", "typeof", "defined", "__attribute__")
@@ -49,8 +51,10 @@ def c_tokens(df: DataFrame, key: str, text: str) -> DataFrame:
     since the last statement, block or directive. A brace too many does not count. Comments, literals and directives
     are tokens of their own, so braces and names in them are none. Null texts have no tokens.
     """
-    dealt = df.select(key, text).repartition(F.col(key))
-    tokens = dealt.select(key, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(C_TOKEN), F.lit(0))).alias("i", "token"))
+    dealt = df.select(key, F.translate(F.col(text), CUT, " ").alias("text")).repartition(F.col(key))
+    # Marked and split, since extracting matches one by one copies what is left of the text for each.
+    pieces = F.split(F.regexp_replace("text", C_TOKEN, CUT + "$0"), CUT)
+    tokens = dealt.select(key, F.posexplode(F.slice(pieces, 2, F.size(pieces) - 1)).alias("i", "token")).filter("token <> ''")
     token = F.col("token")
     quiet = token.rlike(f"{SPACE}|{COMMENT}")
     rows = tokens.withColumn("sign", ~quiet).withColumn("step", F.when(token == "{", 1).when(token == "}", -1).otherwise(0))
@@ -74,24 +78,25 @@ def c_tokens(df: DataFrame, key: str, text: str) -> DataFrame:
     opens = (token == "{") & (F.col("above") == 0)
     is_body = F.coalesce(opens & (F.col("last") == ")") & (F.col("head.i") > F.col("end")), F.lit(False))
     rows = rows.withColumn("n", F.sum(is_body.cast("int")).over(so_far))
-    opened = F.last(F.when(opens, F.struct(is_body.alias("yes"), F.col("head.name").alias("name"), "start")), ignorenulls=True).over(so_far)
+    opened = F.last(F.when(opens, F.struct(is_body.alias("yes"), F.col("head.name").alias("name"), "start", F.col("at").alias("brace"))), ignorenulls=True).over(so_far)
     rows = rows.withColumn("opened", opened)
     inside = F.col("opened.yes") & (F.greatest("depth", "above") > 0)
     return rows.select(
-        key, "i", "token", "at", "line", "depth", F.when(inside, F.col("n")).alias("body"), F.when(inside, F.col("opened.name")).alias("function"), F.when(inside, F.col("opened.start")).alias("start")
+        key, "i", "token", "at", "line", "depth", F.when(inside, F.col("n")).alias("body"), F.when(inside, F.col("opened.name")).alias("function"), F.when(inside, F.struct("opened.start.*", "opened.brace")).alias("start")
     )
 
 
 def c_functions(tokens: DataFrame, key: str) -> DataFrame:
-    """(key, body, function, first_line, last_line, first, last): the span table of c_tokens.
+    """(key, body, function, first_line, last_line, first, opens, last): the span table of c_tokens.
 
-    Spans go from the return type to the closing brace, as lines from 1 and as offsets, the last one exclusive; a body
+    Spans go from the return type to the closing brace, as lines from 1 and as offsets, the last one exclusive; `opens`
+    is the offset of the body's brace. A body
     that does not close goes on to the text's end.
     """
     inside = tokens.filter("body IS NOT NULL").groupBy(key, "body")
     end = F.max_by(F.struct(F.col("line"), (F.col("at") + F.length("token")).alias("to")), "i")
     spans = inside.agg(F.first("function").alias("function"), F.min("start").alias("start"), end.alias("end"))
-    return spans.select(key, "body", "function", F.col("start.line").alias("first_line"), F.col("end.line").alias("last_line"), F.col("start.at").alias("first"), F.col("end.to").alias("last"))
+    return spans.select(key, "body", "function", F.col("start.line").alias("first_line"), F.col("end.line").alias("last_line"), F.col("start.at").alias("first"), F.col("start.brace").alias("opens"), F.col("end.to").alias("last"))
 
 
 def c_calls(tokens: DataFrame, key: str) -> DataFrame:

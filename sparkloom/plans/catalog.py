@@ -8,9 +8,9 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import prepare
-from . import order_queries, outline_queries, result_queries, unit_queries
+from . import order_queries, outline_queries, result_queries, span_queries, unit_queries
 
-_MODULES = (unit_queries, result_queries, order_queries, outline_queries)
+_MODULES = (unit_queries, result_queries, order_queries, outline_queries, span_queries)
 
 
 def _prepared(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

@@ -196,7 +196,7 @@ def set_pack(spark, sf_dir):
     lines_of = F.element_at(F.array(*[F.lit(x) for x in ("struct A;", "use std::fmt;", "fn f() {}", "pub struct A;", "```", "const B: i32 = 1;")]), (c("p_size") % 6 + 1).cast("int"))
     rows = read(spark, sf_dir, "part").select(F.floor(k / 12).alias("unit"), F.floor(k % 12 / 4).alias("module"), k.alias("pos"), lines_of.alias("line"))
     names = rows.groupBy("unit").agg(F.array_sort(F.array_union(F.collect_set(F.when(c("line").startswith("fn"), "f")), F.collect_set(F.when(c("line").contains("struct"), "A")))).alias("names"))
-    return sets.assembled(rows, "unit", "module", "pos", "line").join(names, "unit", "left").select("unit", F.sha2("text", 256).alias("text"), "names")
+    return sets.assembled_rows(rows, "unit", "module", "pos", "line").join(names, "unit", "left").select("unit", F.sha2("text", 256).alias("text"), "names")
 
 
 SET_PACK = """
@@ -288,29 +288,6 @@ def call_edges(spark, sf_dir):
     return calls.join(part.select(k.alias("dst")), "dst", "left_semi").select("src", "dst")
 
 
-def module_waves(spark, sf_dir):
-    """G-03 J-12: levels of modules of twelve functions each; what cycles hold back comes last."""
-    part = read(spark, sf_dir, "part")
-    modules = part.select(c("p_partkey").alias("id"), F.floor(c("p_partkey") / 12).alias("module"))
-    edges = graph.module_edges(part.select(c("p_partkey").alias("src"), (c("p_partkey") * 2).alias("dst")), modules)
-    return graph.waves(modules.select("module").distinct(), edges, "module", "from_module", "to_module")
-
-
-MODULE_WAVES = """
-    WITH RECURSIVE m AS (SELECT p_partkey AS id, p_partkey // 12 AS module FROM part),
-    e AS (SELECT DISTINCT a.module AS f, b.module AS t FROM part JOIN m a ON a.id = p_partkey JOIN m b ON b.id = p_partkey * 2 WHERE a.module <> b.module),
-    w AS (SELECT DISTINCT module, 0 AS wave FROM m WHERE module NOT IN (SELECT t FROM e) UNION SELECT e.t, w.wave + 1 FROM w JOIN e ON e.f = w.module WHERE w.wave < 100)
-    SELECT module, max(wave) AS wave FROM w GROUP BY module"""
-
-
-def module_order(spark, sf_dir):
-    """G-04: modules one by one, none before one that points to it."""
-    return graph.in_order(module_waves(spark, sf_dir), "module")
-
-
-MODULE_ORDER = f"WITH levels AS ({MODULE_WAVES}) SELECT module, row_number() OVER (ORDER BY wave, module) - 1 AS place FROM levels"
-
-
 def topo_order(spark, sf_dir):
     """G-02: the queue's order of all functions, by the calls to later ones; with those back, cycles would leave names only.
 
@@ -320,15 +297,6 @@ def topo_order(spark, sf_dir):
     return graph.order_frame(spark, graph.topological_order(edges))
 
 
-def direct_dependencies(spark, sf_dir):
-    """G-01 G-05: what one function calls."""
-    return graph.dependencies_of(call_edges(spark, sf_dir), "src", F.lit(17))
-
-
-DIRECT_DEPENDENCIES = """
-    WITH calls AS (SELECT p_partkey AS src, unnest([p_partkey * 2, p_partkey * 2 + 1] || CASE WHEN p_partkey % 17 = 0 THEN [p_partkey // 17] ELSE [] END) AS dst FROM part)
-    SELECT src, dst FROM calls WHERE src = 17 AND src <> dst AND dst IN (SELECT p_partkey FROM part)"""
-
 # ---------------------------------------------------------------- state
 
 
@@ -444,13 +412,13 @@ QUERIES = {
     f.__name__: f
     for f in (
         brace_depth, truncate_balanced, directive_forward_fill, file_markers, comment_blocks, best_version_fold, greedy_chunks, module_split, stall_counter, merge_imports, first_definition_wins, set_pack, semantic_hints,
-        scanner_udfs, rewrite_line_rules, rewrite_block_rules, module_waves, module_order, topo_order, direct_dependencies, sliding_limiter, anchored_limiter, incremental_state, fuzz_inputs, fuzz_summary, test_value_combos, trace_groups,
+        scanner_udfs, rewrite_line_rules, rewrite_block_rules, topo_order, sliding_limiter, anchored_limiter, incremental_state, fuzz_inputs, fuzz_summary, test_value_combos, trace_groups,
         column_stats, fixture_builtins,
     )
 }
 ORACLE_SQL = {
     "brace_depth": BRACE_DEPTH, "truncate_balanced": TRUNCATE_BALANCED, "directive_forward_fill": DIRECTIVE_FORWARD_FILL, "file_markers": FILE_MARKERS, "comment_blocks": COMMENT_BLOCKS, "best_version_fold": BEST_VERSION,
     "greedy_chunks": GREEDY_CHUNKS, "module_split": MODULE_SPLIT, "stall_counter": STALL_COUNTER, "merge_imports": MERGE_IMPORTS, "first_definition_wins": FIRST_DEFINITION, "set_pack": SET_PACK, "semantic_hints": _semantic_hints(),
-    "rewrite_line_rules": REWRITE_LINE_RULES, "module_waves": MODULE_WAVES, "module_order": MODULE_ORDER, "direct_dependencies": DIRECT_DEPENDENCIES, "anchored_limiter": ANCHORED_LIMITER, "incremental_state": INCREMENTAL_STATE, "fuzz_summary": FUZZ_SUMMARY,
+    "rewrite_line_rules": REWRITE_LINE_RULES, "anchored_limiter": ANCHORED_LIMITER, "incremental_state": INCREMENTAL_STATE, "fuzz_summary": FUZZ_SUMMARY,
     "test_value_combos": TEST_VALUE_COMBOS, "trace_groups": TRACE_GROUPS, "column_stats": COLUMN_STATS,
 }

@@ -115,18 +115,6 @@ def unmigrated(spark, sf_dir):
 UNMIGRATED = "SELECT doc_id, source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.quality = 1)"
 
 
-def missing_counterparts(spark, sf_dir):
-    """J-05 C-10: names without a counterpart in lower or snake case."""
-    names = read(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("getPart"), c("p_partkey").cast("string"), F.lit("Now")).alias("name"))
-    have = read(spark, sf_dir, "part").filter("p_partkey % 3 <> 0").select(
-        F.when(c("p_partkey") % 3 == 1, F.concat(F.lit("getpart"), c("p_partkey").cast("string"), F.lit("now"))).otherwise(F.concat(F.lit("get_part"), c("p_partkey").cast("string"), F.lit("_now"))).alias("have")
-    )
-    return joins.missing_counterparts(names, "name", F.lower(c("name")), t.snake_case(c("name")), have, "have")
-
-
-MISSING_COUNTERPARTS = "SELECT p_partkey, 'getPart' || p_partkey || 'Now' AS name FROM part WHERE p_partkey % 3 = 0"
-
-
 def cost_rollup(spark, sf_dir):
     """A-16: cost by provider from a price table, default prices where there is none."""
     prices = spark.createDataFrame([("p0", 3.0, 15.0), ("p1", 0.14, 0.28), ("p2", 0.0, 0.0)], "provider string, price_in double, price_out double")
@@ -170,14 +158,14 @@ FIXED_ERRORS = f"""
         AND NOT EXISTS (SELECT 1 FROM errors b WHERE b.run = 1 AND b.user_id = a.user_id AND b.code = a.code AND abs(a.line - b.line) <= 5)"""
 
 
-def error_to_function(spark, sf_dir):
-    """J-07: each event with the last starting event of its user before it, valid within 3000 lines of it."""
+def nearest_start(spark, sf_dir):
+    """J-07's join alone: each event with the last starting event of its user before it, valid within 3000 lines of it."""
     e = read(spark, sf_dir, "events").select("user_id", "event_id", (c("event_id") % 9 == 0).alias("starts"))
     out = joins.enclosing(e, ["user_id"], "event_id", c("starts"), "event_id")
     return out.filter(~c("starts")).select("user_id", "event_id", F.when(c("event_id") - c("enclosing") <= 3000, c("enclosing")).alias("enclosing"))
 
 
-ERROR_TO_FUNCTION = """
+NEAREST_START = """
     WITH s AS (SELECT user_id, event_id FROM events WHERE event_id % 9 = 0)
     SELECT e.user_id, e.event_id, CASE WHEN e.event_id - s.event_id <= 3000 THEN s.event_id END AS enclosing
     FROM (SELECT user_id, event_id FROM events WHERE event_id % 9 <> 0) e ASOF LEFT JOIN s ON s.user_id = e.user_id AND s.event_id <= e.event_id"""
@@ -358,13 +346,13 @@ ZIP_COMPARE = """
 QUERIES = {
     f.__name__: f
     for f in (
-        bench_totals, compare_baselines, compare_summary, regressions, project_match, unmigrated, missing_counterparts, cost_rollup, fixed_errors, error_to_function, pattern_matches, top_pattern,
+        bench_totals, compare_baselines, compare_summary, regressions, project_match, unmigrated, cost_rollup, fixed_errors, nearest_start, pattern_matches, top_pattern,
         best_candidate, tournament, first_ok, keep_max_upsert, merge_sum_upsert, order_pack, pattern_relevance, signature_similarity, zip_compare,
     )
 }
 ORACLE_SQL = {
     "bench_totals": BENCH_TOTALS, "compare_baselines": COMPARE_BASELINES, "compare_summary": COMPARE_SUMMARY, "regressions": REGRESSIONS, "project_match": PROJECT_MATCH, "unmigrated": UNMIGRATED,
-    "missing_counterparts": MISSING_COUNTERPARTS, "cost_rollup": _cost_rollup(), "fixed_errors": FIXED_ERRORS, "error_to_function": ERROR_TO_FUNCTION, "pattern_matches": PATTERN_MATCHES, "top_pattern": TOP_PATTERN,
+    "cost_rollup": _cost_rollup(), "fixed_errors": FIXED_ERRORS, "nearest_start": NEAREST_START, "pattern_matches": PATTERN_MATCHES, "top_pattern": TOP_PATTERN,
     "best_candidate": BEST_CANDIDATE, "tournament": TOURNAMENT, "first_ok": FIRST_OK, "keep_max_upsert": KEEP_MAX, "merge_sum_upsert": MERGE_SUM, "order_pack": ORDER_PACK,
     "pattern_relevance": PATTERN_RELEVANCE, "signature_similarity": SIGNATURE_SIMILARITY, "zip_compare": ZIP_COMPARE,
 }
