@@ -82,12 +82,14 @@ def source_divergence(docs: DataFrame, lang_col: str = "lang", source_col: str =
     shares = F.expr(f"zip_with(wide, sources, (c, s) -> {share('c', 's.n')})")
     vectors = wide.select("lang", "term", "sources", "wide", shares.alias("p"), F.expr(share("total", "all")).alias("q"))
 
-    between = F.expr(f"flatten(transform(p, (x, i) -> transform(slice(p, i + 2, size(p)), (y, j) -> struct(i, i + j + 1 AS j, {apart('x', 'y')} AS f))))")
-    sums = vectors.select("lang", F.explode(between).alias("x")).groupBy("lang", F.col("x.i").alias("i"), F.col("x.j").alias("j")).agg(F.sum("x.f").alias("value"))
-    named = langs.select("lang", "sources", F.posexplode("sources").alias("a", "one"))
-    named = named.select("lang", "a", F.col("one.source").alias("source"), F.posexplode("sources").alias("b", "other")).filter("a <> b")
-    named = named.select("lang", "source", F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"), F.col("other.source").alias("item"))
-    pairs = named.join(sums, ["lang", "i", "j"], "left").select("lang", "source", F.lit("pair").alias("part"), "item", F.coalesce("value", F.lit(0)).alias("value"))
+    # Contributions of the pairs (0, 1), (0, 2), ... (1, 2), ... in turn: a pair is its place in that order.
+    between = F.expr(f"flatten(transform(p, (x, i) -> transform(slice(p, i + 2, size(p)), y -> {apart('x', 'y')})))")
+    sums = vectors.select("lang", F.posexplode(between).alias("pair", "f")).groupBy("lang", "pair").agg(F.sum("f").alias("value"))
+    named = langs.select("lang", "sources", F.size("sources").alias("n"), F.posexplode("sources").alias("a", "one"))
+    named = named.select("lang", "n", "a", F.col("one.source").alias("source"), F.posexplode("sources").alias("b", "other")).filter("a <> b")
+    place = F.expr("least(a, b) * n - least(a, b) * (least(a, b) + 1) div 2 + abs(a - b) - 1").cast("int")
+    named = named.select("lang", "source", place.alias("pair"), F.col("other.source").alias("item"))
+    pairs = named.join(sums, ["lang", "pair"], "left").select("lang", "source", F.lit("pair").alias("part"), "item", F.coalesce("value", F.lit(0)).alias("value"))
 
     each = vectors.select("lang", "term", "q", F.explode(F.arrays_zip("sources", "wide", "p")).alias("x")).filter("x.wide > 0 AND x.p > q")
     marks = each.select("lang", F.col("x.sources.source").alias("source"), F.lit("term").alias("part"), F.col("term").alias("item"), F.expr(apart("x.p", "q")).alias("value"))
