@@ -91,12 +91,13 @@ def structural_summary(found: Column) -> Column:
 
     count = lambda own: F.size(own).cast("string")
     more = lambda own: F.when(F.size(own) > SHOWN_GLOBALS, F.concat(F.lit(" ... and "), (F.size(own) - SHOWN_GLOBALS).cast("string"), F.lit(" more"))).otherwise("")
-    return F.concat(
+    sections = F.concat(
         section("typedef", lambda own: F.concat(F.lit("**Typedefs ("), count(own), F.lit("):** "), F.array_join(own, "; "))),
         section("record", lambda own: F.concat(F.lit("**Structs/Enums ("), count(own), F.lit("):** "), F.array_join(own, ", "))),
         section("function", lambda own: F.concat(F.lit("**Functions ("), count(own), F.lit("):**\n"), F.array_join(F.transform(own, lambda x: F.concat(F.lit("- `"), x, F.lit("`"))), "\n"))),
         section("global", lambda own: F.concat(F.lit("**Globals ("), count(own), F.lit("):** "), F.array_join(F.slice(own, 1, SHOWN_GLOBALS), "; "), more(own))),
     )
+    return F.when(found.isNotNull(), sections)
 
 
 #: Lines of headers that are passed over, and what lines that define types start with.

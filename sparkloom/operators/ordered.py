@@ -33,24 +33,30 @@ def brace_depth(df: DataFrame, text: str, key: str) -> DataFrame:
     return exploded_lines(df, text, [key]).withColumn("depth", F.sum(brace_delta(F.col("line"))).over(so_far))
 
 
-def close_braces(df: DataFrame, text: str, key: str) -> DataFrame:
-    """(key, text): cut after the last line of depth 0 if braces stay open, else closed at the end; balanced texts stay.
-
-    Narrow: one fold over a text's lines, whose state is the depth and the last line of depth 0.
-    """
-    rows = lines(F.col(text))
+def brace_state(rows: Column) -> Column:
+    """(n, depth, even) of a text's lines: their number, the depth after the last, and the lines up to the last of depth 0."""
     start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("depth"), F.lit(0).alias("even"))
 
     def step(acc, d):
         n, depth = acc["n"] + 1, acc["depth"] + d
         return F.struct(n.alias("n"), depth.alias("depth"), F.when(depth == 0, n).otherwise(acc["even"]).alias("even"))
 
-    state = F.aggregate(F.transform(rows, brace_delta), start, step)
-    n, depth, even = (F.col(f"__f.{x}") for x in ("n", "depth", "even"))
-    shortened = F.concat(F.array_join(F.slice("__r", 1, even), "\n"), F.lit("\n// truncated "), (n - even).cast("string"), F.lit(" lines of incomplete code"))
-    closed = F.concat(F.col(text), F.lit("\n"), F.repeat(F.lit("}"), depth), F.lit(" // auto-closed: truncated output"))
-    out = F.when(depth <= 0, F.col(text)).when((even > 0) & (even < n), shortened).otherwise(closed)
-    return df.select(key, text, rows.alias("__r"), state.alias("__f")).select(key, F.coalesce(out, F.col(text)).alias(text))
+    return F.aggregate(F.transform(rows, brace_delta), start, step)
+
+
+def closed_braces(text: Column, rows: Column, state: Column) -> Column:
+    """A text cut after the last line of depth 0 if braces stay open, else closed at the end; balanced texts stay."""
+    n, depth, even = state["n"], state["depth"], state["even"]
+    shortened = F.concat(F.array_join(F.slice(rows, 1, even), "\n"), F.lit("\n// truncated "), (n - even).cast("string"), F.lit(" lines of incomplete code"))
+    closed = F.concat(text, F.lit("\n"), F.repeat(F.lit("}"), depth), F.lit(" // auto-closed: truncated output"))
+    return F.coalesce(F.when(depth <= 0, text).when((even > 0) & (even < n), shortened).otherwise(closed), text)
+
+
+def close_braces(df: DataFrame, text: str, key: str) -> DataFrame:
+    """(key, text) with open braces cut off or closed. Narrow: one fold over a text's lines, with a state of three numbers."""
+    rows = lines(F.col(text))
+    known = df.select(key, text, rows.alias("__r")).withColumn("__f", brace_state(F.col("__r")))
+    return known.select(key, closed_braces(F.col(text), F.col("__r"), F.col("__f")).alias(text))
 
 
 def of_current_file(df: DataFrame, text: str, key: str, file: Column) -> DataFrame:

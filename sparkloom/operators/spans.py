@@ -32,7 +32,8 @@ RUST_HEAD = r"^\s*(?:pub\s+)?(?:async\s+)?fn\s+(\w+)"
 def asof(points: DataFrame, marks: DataFrame, keys: list[str], at: str, value: Column, forward: bool = False) -> DataFrame:
     """points with `mark`, the value of the last of the marks of their keys at or before them (or the next at or after).
 
-    Both sides meet in one sorted pass by keys and place, so a key may have any number of either.
+    Both sides meet in one sorted pass by keys and place, so a key may have any number of either. A point without a
+    place has no mark.
     """
     row = F.struct(*points.columns)
     left = points.select(*keys, F.col(at).alias("__at"), F.lit(1).alias("__side"), row.alias("__row"), F.lit(None).alias("__mark"))
@@ -40,7 +41,7 @@ def asof(points: DataFrame, marks: DataFrame, keys: list[str], at: str, value: C
     place = F.desc("__at") if forward else F.col("__at")
     so_far = Window.partitionBy(*keys).orderBy(place, "__side").rowsBetween(Window.unboundedPreceding, 0)
     met = left.unionByName(right).withColumn("mark", F.last("__mark", ignorenulls=True).over(so_far))
-    return met.filter("__side = 1").select("__row.*", "mark")
+    return met.filter("__side = 1").select("__row.*", F.when(F.col("__at").isNotNull(), F.col("mark")).alias("mark"))
 
 
 def c_tokens(df: DataFrame, key: str, text: str) -> DataFrame:

@@ -306,15 +306,23 @@ def limiter_calls(spark, sf_dir):
 
 
 def sliding_limiter(spark, sf_dir):
-    """T-01: five calls a day of each key, by an exact fold."""
+    """T-01: five calls a day of each key, by a fold over sorted runs of calls with the carried times that still count."""
     return limiters.limit(limiter_calls(spark, sf_dir), "sliding", 5, 86400.0)
 
 
 def anchored_limiter(spark, sf_dir):
-    """T-02: five calls in each window that begins with a call."""
+    """T-02: five calls in each window that begins with a call, found by doubling jumps between slices of time."""
     return limiters.limit(limiter_calls(spark, sf_dir), "anchored", 5, 86400.0)
 
 
+SLIDING_LIMITER = """
+    WITH RECURSIVE e AS (SELECT (user_id % 5)::VARCHAR AS key, event_id AS seq, floor(epoch_us(ts) / 1e6) AS t FROM events),
+    o AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY t, seq) AS i FROM e),
+    f AS (SELECT key, seq, i, [t] AS held, true AS allowed FROM o WHERE i = 1
+        UNION ALL SELECT o.key, o.seq, o.i, CASE WHEN len(young) < 5 THEN list_append(young, o.t) ELSE young END, len(young) < 5
+        FROM f JOIN o ON o.key = f.key AND o.i = f.i + 1, LATERAL (SELECT list_filter(f.held, lambda x: o.t - x < 86400) AS young))
+    SELECT key, seq, allowed FROM f"""
+
 ANCHORED_LIMITER = """
     WITH RECURSIVE e AS (SELECT (user_id % 5)::VARCHAR AS key, event_id AS seq, floor(epoch_us(ts) / 1e6) AS t FROM events),
     o AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY t, seq) AS i FROM e),
@@ -419,6 +427,6 @@ QUERIES = {
 ORACLE_SQL = {
     "brace_depth": BRACE_DEPTH, "truncate_balanced": TRUNCATE_BALANCED, "directive_forward_fill": DIRECTIVE_FORWARD_FILL, "file_markers": FILE_MARKERS, "comment_blocks": COMMENT_BLOCKS, "best_version_fold": BEST_VERSION,
     "greedy_chunks": GREEDY_CHUNKS, "module_split": MODULE_SPLIT, "stall_counter": STALL_COUNTER, "merge_imports": MERGE_IMPORTS, "first_definition_wins": FIRST_DEFINITION, "set_pack": SET_PACK, "semantic_hints": _semantic_hints(),
-    "rewrite_line_rules": REWRITE_LINE_RULES, "anchored_limiter": ANCHORED_LIMITER, "incremental_state": INCREMENTAL_STATE, "fuzz_summary": FUZZ_SUMMARY,
+    "rewrite_line_rules": REWRITE_LINE_RULES, "sliding_limiter": SLIDING_LIMITER, "anchored_limiter": ANCHORED_LIMITER, "incremental_state": INCREMENTAL_STATE, "fuzz_summary": FUZZ_SUMMARY,
     "test_value_combos": TEST_VALUE_COMBOS, "trace_groups": TRACE_GROUPS, "column_stats": COLUMN_STATS,
 }

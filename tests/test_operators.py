@@ -94,16 +94,80 @@ def test_waves_and_order(spark):
     assert graph.topological_order([("b", "a"), ("a", "b"), ("c", "a")]) == ["a", "b", "c"]
 
 
-def test_block_rules():
-    e = lambda code, line, message: [(code, line, message)]
-    assert rewrites.repeated_functions(["fn a() {", "}", "fn a() {", " x", "}", "z"], e("E0428", 3, "name `a` is defined multiple times")) == ["fn a() {", "}", "z"]
-    assert rewrites.clone_bounds(["fn f<T: Debug>(x: T) {", " x.clone()"], e("E0599", 2, "trait bounds were not satisfied")) == ["fn f<T: Debug + Clone>(x: T) {", " x.clone()"]
-    assert rewrites.moved_options(["fn f(v: Option<&mut T>) {", "if let Some(x) = v {"], e("E0382", 2, "use of moved value: `v`")) == ["fn f(mut v: Option<&mut T>) {", "if let Some(ref mut x) = v {"]
-    assert rewrites.field_prefixes(["s.m_len", "s.m_len", "", "s.m_len"], e("E0609", 1, "no field `m_len` on type `S`")) == ["s.len", "s.len", "", "s.m_len"]
-    assert rewrites.free_functions(["fn go(x: i32) {}", "self.go(1); Self::go(2)"], e("E0599", 2, "no method named `go` found")) == ["fn go(x: i32) {}", "go(self, 1); go(2)"]
-    assert rewrites.windows_only(["use std::os::windows::x;", "#[cfg(windows)]", "fn w() {", "}", "k"], e("E0433", 1, "no windows")) == ["// R11 (non-Windows): use std::os::windows::x;", "// R11 (non-Windows): #[cfg(windows)]", "// R11: fn w() {", "// R11: }", "k"]
-    assert rewrites.truncated_functions(["}", "pub fn cut(", "  a: i32,", "// --- Module: b"], []) == ["}", "// R12: truncated function stubbed at module boundary", "pub fn cut() -> bool { false }", "", "// --- Module: b"]
-    assert rewrites.conflicting_impls(["impl D for X {", "}", "impl fmt::D for X {", "}"], e("E0119", 3, "conflicting implementations of trait `D` for type `X`")) == ["impl D for X {", "}"]
+def rewritten(spark, rule, rows, *errors):
+    kind = "r array<string>, e array<struct<code:string,line:int,message:string>>"
+    return spark.createDataFrame([(rows, list(errors))], kind).select(rule(F.col("r"), F.col("e")).alias("r")).first()[0]
+
+
+def test_block_rules(spark):
+    a_repeated, d_conflicts = "the name `a` is defined multiple times", "conflicting implementations of trait `D` for type `X`"
+    bounds = "trait bounds were not satisfied"
+    cases = [
+        (rewrites.repeated_functions, ["fn a() {", "}", "fn a() {", " x", "}", "z"], [("E0428", 3, a_repeated)], ["fn a() {", "}", "z"]),
+        (rewrites.repeated_functions, ["fn a() {", " fn a() {}", "}", "fn b() {} fn a() {"], [("E0428", 3, a_repeated)], ["fn a() {", " fn a() {}", "}"]),
+        (rewrites.repeated_functions, ["fn a() {", "}", "fn a() {}"], [("E0429", 3, a_repeated)], ["fn a() {", "}", "fn a() {}"]),
+        (rewrites.clone_bounds, ["fn f<T: Debug>(x: T) {", " x.clone()"], [("E0599", 2, bounds)], ["fn f<T: Debug + Clone>(x: T) {", " x.clone()"]),
+        (rewrites.clone_bounds, ["fn f<T: Debug, U, V: A + B >(x: T) {"], [("E0599", 1, bounds), ("E0599", 1, bounds)], ["fn f<T: Debug + Clone, U, V: A + B + Clone>(x: T) {"]),
+        (rewrites.clone_bounds, ["fn f<T: Debug>(x: T) {", "}", "pub fn g() {", " y"], [("E0599", 4, bounds), ("E0599", 0, bounds), ("E0599", 9, bounds)], ["fn f<T: Debug>(x: T) {", "}", "pub fn g() {", " y"]),
+        (rewrites.moved_options, ["fn f(v: Option<&mut T>) {", "if let Some(x) = v {"], [("E0382", 2, "use of moved value: `v`")], ["fn f(mut v: Option<&mut T>) {", "if let Some(ref mut x) = v {"]),
+        (rewrites.repeated_imports, ["use a::Read;", "use b::Read;", "use b::Write;"], [("E0252", 2, "the name `Read` is defined multiple times")], ["use a::Read;", "use b::Write;"]),
+        (rewrites.repeated_imports, ["use a::Read;", "use b::{Write, Read};", "pub use c::Read;"], [("E0252", 2, "the name `Read` is defined multiple times")], ["use a::Read;", "use b::{Write, Read};"]),
+        (rewrites.field_prefixes, ["s.m_len", "s.m_len", "", "s.m_len"], [("E0609", 1, "no field `m_len` on type `S`")], ["s.len", "s.len", "", "s.m_len"]),
+        (rewrites.free_functions, ["fn go(x: i32) {}", "self.go(1); Self::go(2)"], [("E0599", 2, "no method named `go` found")], ["fn go(x: i32) {}", "go(self, 1); go(2)"]),
+        (rewrites.free_functions, ["fn go(x: i32) {}", "self.no(1)"], [("E0599", 2, "no method named `no` found")], ["fn go(x: i32) {}", "self.no(1)"]),
+        (rewrites.windows_only, ["use std::os::windows::x;", "#[cfg(windows)]", "fn w() {", "}", "k"], [("E0433", 1, "no windows")], ["// R11 (non-Windows): use std::os::windows::x;", "// R11 (non-Windows): #[cfg(windows)]", "// R11: fn w() {", "// R11: }", "k"]),
+        (rewrites.truncated_functions, ["}", "pub fn cut(", "  a: i32,", "// --- Module: b"], [], ["}", "// R12: truncated function stubbed at module boundary", "pub fn cut() -> bool { false }", "", "// --- Module: b"]),
+        (rewrites.truncated_functions, ["}", "pub fn cut(", *["  a: i32,"] * 9, "// --- Module: b"], [], ["}", "pub fn cut(", *["  a: i32,"] * 9, "// --- Module: b"]),
+        (rewrites.conflicting_impls, ["impl D for X {", "}", "impl fmt::D for X {", "}"], [("E0119", 3, d_conflicts)], ["impl D for X {", "}"]),
+        (rewrites.conflicting_impls, ["impl D for X {", "}", *["x"] * 20, "impl D for X {", "}"], [("E0119", 3, d_conflicts)], ["impl D for X {", "}", *["x"] * 20, "impl D for X {", "}"]),
+    ]
+    for rule, rows, errors, want in cases:
+        assert rewritten(spark, rule, rows, *errors) == want, rule.__name__
+        assert rewritten(spark, rule, []) == []
+
+
+def test_rules_run_in_order_and_close_braces(spark):
+    kind = "t string, e array<struct<code:string,line:int,message:string>>"
+    text = "```rust\nfn a() {\n}\nfn a() {\n}\nfn open() {\n  if x {\n```\n"
+    rows = [(text, [("E0428", 3, "the name `a` is defined multiple times")]), (None, []), ("", None), ("fn a() {", None)]
+    got = [r[0] for r in rewrites.apply_rules(spark.createDataFrame(rows, kind), "t", "e").collect()]
+    assert got == ["fn a() {\n}\n// truncated 2 lines of incomplete code", None, "", "fn a() {\n} // auto-closed: truncated output"]
+
+
+def test_limiters_take_one_key_in_parts(spark):
+    prepare(spark)
+    rng = random.Random(5)
+    calls, at = [], 0.0
+    for i in range(2500):
+        at += rng.choice([0.0, 0.25, 0.5, 1.0, 3.0, 40.0 if i % 500 == 0 else 0.5])
+        calls.append(("hot" if i % 7 else "other", i, at))
+    rng.shuffle(calls)
+    df = spark.createDataFrame(calls, "key string, seq long, at double").repartition(5)
+    for most, window in ((3, 2.0),):
+        want = {"sliding": set(), "anchored": set()}
+        for key in ("hot", "other"):
+            rows = sorted((t, i) for k, i, t in calls if k == key)
+            times = [t for t, _ in rows]
+            for kind, out in (("sliding", limiters.sliding(times, [], most, window)[0]), ("anchored", limiters.anchored(times, (None, 0), most, window)[0])):
+                want[kind] |= {(key, i, ok) for (_, i), ok in zip(rows, out, strict=True)}
+        for kind in want:
+            assert set(map(tuple, limiters.limit(df, kind, most, window).collect())) == want[kind]
+            assert limiters.limit(df.limit(0), kind, most, window).collect() == []
+
+
+def test_folds_emit_in_order(spark):
+    from sparkloom.functions.folds import emitting
+
+    step = lambda acc, x: (acc + x, F.when(x % 3 == 0, F.array(acc, x)).otherwise(F.array().cast("array<int>")))
+    values = [[], [3], list(range(10)), list(range(1000)), None]
+    want = []
+    for v in values:
+        total, out = 0, []
+        for x in v or []:
+            out += [total, x] if x % 3 == 0 else []
+            total += x
+        want.append(None if v is None else out)
+    assert column(spark, values, lambda x: emitting(x, F.lit(0), step, "int"), "array<int>") == want
 
 
 def test_scanners():
