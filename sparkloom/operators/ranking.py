@@ -96,8 +96,9 @@ def keep_best(df: DataFrame, key: str, score: str, arrival: str) -> DataFrame:
     return first_by(df, [key], [F.desc(score), F.col(arrival)])
 
 
-def keep_capacity(df: DataFrame, score: str, arrival: str, most: int) -> DataFrame:
-    return df.orderBy(F.desc(score), arrival).limit(most)
+def keep_capacity(df: DataFrame, score: str, arrival: str, key: str, most: int) -> DataFrame:
+    """The rows of highest score, the earliest first; rows of one score and arrival come by key, so that the order is total."""
+    return df.orderBy(F.desc(score), arrival, key).limit(most)
 
 
 def merge_counts(df: DataFrame, keys: list[str], counts: list[str]) -> DataFrame:

@@ -247,13 +247,13 @@ FIRST_OK = f"""
 def keep_max_upsert(spark, sf_dir):
     """A-10 R-03: the best line of each part, and the 1000 best of those."""
     rows = candidates(spark, sf_dir).withColumn("arrival", c("unit") * 10 + c("ordinal")).withColumn("score", (c("unit") * 17 % 97).cast("int"))
-    return ranking.keep_capacity(ranking.keep_best(rows, "l_partkey", "score", "arrival"), "score", "arrival", 1000).select("l_partkey", "arrival", "score")
+    return ranking.keep_capacity(ranking.keep_best(rows, "l_partkey", "score", "arrival"), "score", "arrival", "l_partkey", 1000).select("l_partkey", "arrival", "score")
 
 
 KEEP_MAX = f"""
     WITH {CANDIDATES.strip()}, r AS (SELECT l_partkey, unit * 10 + ordinal AS arrival, (unit * 17 % 97)::INT AS score FROM cand),
     b AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY score DESC, arrival) = 1)
-    SELECT l_partkey, arrival, score FROM b ORDER BY score DESC, arrival LIMIT 1000"""
+    SELECT l_partkey, arrival, score FROM b ORDER BY score DESC, arrival, l_partkey LIMIT 1000"""
 
 
 def merge_sum_upsert(spark, sf_dir):
