@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from dataclasses import dataclass
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import has
+from .text import all_matches, has
 
 #: Names and keywords that the detectors look for.
 COMPRESSION = ("deflate", "inflate", "compress", "decompress", "lz77", "huffman", "zlib")
@@ -17,73 +20,109 @@ STDIO = ("fopen", "fclose", "fread", "fwrite", "fprintf", "fscanf", "fgets", "fp
 MUTEX = ("pthread_mutex_lock", "pthread_mutex_unlock", "pthread_mutex_init", "EnterCriticalSection", "LeaveCriticalSection")
 ATOMIC = ("atomic_load", "atomic_store", "atomic_fetch_add", "__atomic", "__sync_fetch", "InterlockedIncrement")
 
-
-def _found(text: Column, words: tuple[str, ...], suffix: str = "", lower: bool = False) -> Column:
-    """Those of the words that the text holds, in their order."""
-    return F.array_compact(F.array(*[F.when(text.contains((w.lower() if lower else w) + suffix), F.lit(w)) for w in words]))
+@dataclass(frozen=True)
+class Sign:
+    """What tells a kind of design. A test is a text that a source must hold; `low:` looks in lower case, `re:` for a pattern.
+
+    All groups of `needs` must hold, a group by any of its tests. `kinds` are tried in turn, the first whose tests hold
+    (any of them, or none given) names the hint. `shows` says what is involved: `name:` the first group of all matches of
+    a pattern, `word:` those of the given words that the source holds, `fixed:` itself, `states:` how many distinct
+    names there are. Without anything found, `instead` stands.
+    """
+
+    category: str
+    kinds: tuple[tuple[str, tuple[str, ...]], ...]
+    needs: tuple[tuple[str, ...], ...]
+    shows: tuple[str, ...]
+    instead: str | None = None
+
+
+def words(prefix: str, names: tuple[str, ...], suffix: str = "") -> tuple[str, ...]:
+    return tuple(f"{prefix}{n}{suffix}" for n in names)
+
+
+#: The signs, in the order of their hints, with the names that stand for what is not found.
+SIGNS = (
+    Sign("data", (("doubly_linked_list", ("*prev;", "->prev")), ("linked_list", ())), ((r"re:struct\s+\w+\s*\*\s*next\s*;",), ("->next",)), (r"name:(?s)struct\s+(\w+)\s*\{[^}]*\*\s*next\s*;[^}]*\}",), "(struct with ->next)"),
+    Sign("data", (("hash_table", ()),), (("**buckets", "** buckets", r"re:(?i)\b(hash|djb2|fnv|murmur)\b"), ("**buckets", "** buckets", "low:capacity"), ("**buckets", "** buckets", "low:size"), ("hash", "Hash")), (r"name:struct\s+(\w*[Hh]ash\w*)",), "(hash table structs)"),
+    Sign("data", (("tree", ()),), (("*left", "-> left"), ("*right", "-> right")), (r"name:(?s)struct\s+(\w+)\s*\{[^}]*\*\s*left\s*;[^}]*\*\s*right\s*;[^}]*\}",), "(struct with left/right)"),
+    Sign("data", (("stack", ()),), ((r"re:\bpush\s*\(",), (r"re:\bpop\s*\(",), ("low:top", "low:->sp")), ("fixed:push", "fixed:pop")),
+    Sign("data", (("queue", ()),), (("low:enqueue", "low:queue_push"), ("low:dequeue", "low:queue_pop")), ("fixed:enqueue", "fixed:dequeue")),
+    Sign("algorithm", (("sort", ()),), (("qsort(",),), ("fixed:qsort", r"name:int\s+(\w+)\s*\(\s*const\s+void")),
+    Sign("algorithm", (("sort", ()),), (("!qsort(",), ("low:swap", "temp ="), (r"re:for\s*\([^)]*\)\s*\{[^}]*for\s*\(",)), ("fixed:(manual sort detected)",)),
+    Sign("algorithm", (("binary_search", ()),), (("low:low", "low:left"), ("low:high", "low:right"), (r"re:\bmid\b\s*=.*[/+].*2", ">> 1")), (r"name:(?i)\b(\w*search\w*)\s*\(",), "(binary search pattern)"),
+    Sign("algorithm", (("compression", ()),), (words("low:", COMPRESSION),), words("word:low:", COMPRESSION)),
+    Sign("algorithm", (("checksum", ()),), (words("low:", CHECKSUM),), words("word:low:", CHECKSUM)),
+    Sign("algorithm", (("crypto", ()),), (words("low:", CRYPTO),), words("word:low:", CRYPTO)),
+    Sign("control", (("state_machine", ()),), ((r"re:(?i)\bSTATE_\w+", r"re:enum\s+\w*[Ss]tate\w*"), (r"re:switch\s*\(\s*\w*->?\s*state", r"re:->?\s*state\s*=\s*STATE_", r"re:->?\s*state\s*=\s*\w+_STATE")), (r"states:STATE_(\w+)",)),
+    Sign("control", (("recursive_descent_parser", ()),), (("parsers:",),), (r"distinct:\b(parse_\w+)\s*\(",)),
+    Sign("control", (("event_loop", ()),), (words("low:", EVENTS),), ("fixed:(event dispatch)",)),
+    Sign("control", (("goto_cleanup", ()),), ((r"re:\bgoto\s+\w+",), (r"re:(?m)^\w+:\s*$",)), ("fixed:(goto-based resource cleanup)",)),
+    Sign("io", (("file_readwrite", ()),), (("two:",),), words("word:", STDIO, "(")),
+    Sign("io", (("buffer_management", ()),), (("low:buffer", "low:buf_size"), ("low:read(", "low:recv("), ("low:write(", "low:send(")), ("fixed:(buffered I/O)",)),
+    Sign("io", (("serialization", ()),), (("low:serialize", "low:json"), ("low:serialize", "low:parse", "low:print")), ("fixed:(serialization/deserialization)",)),
+    Sign("concurrency", (("mutex", ()),), (MUTEX,), words("word:", MUTEX)),
+    Sign("concurrency", (("thread_creation", ()),), (("pthread_create", "CreateThread"),), words("word:", ("pthread_create", "pthread_join", "CreateThread"))),
+    Sign("concurrency", (("atomic", ()),), (tuple(f"low:{a.lower()}" for a in ATOMIC),), words("word:low:", ATOMIC)),
+)
+
+
+def _holds(text: Column, low: Column, test: str) -> Column:
+    how, _, what = test.partition(":") if test.split(":")[0] in ("low", "re") else ("", "", test)
+    if test.startswith("!"):
+        return ~text.contains(test[1:])
+    return low.contains(what.lower()) if how == "low" else text.rlike(what) if how == "re" else text.contains(what)
+
+
+def _shown(text: Column, low: Column, show: str) -> Column:
+    """What one entry of a sign's `shows` gives, an array."""
+    how, _, what = show.partition(":")
+    if how == "word":
+        name = what.removeprefix("low:").removesuffix("(")
+        return F.array_compact(F.array(F.when(_holds(text, low, what), F.lit(name))))
+    if how == "fixed":
+        return F.array(F.lit(what))
+    found = all_matches(text, what)
+    if how == "states":
+        return F.array(F.concat(F.size(F.array_distinct(found)).cast("string"), F.lit(" states detected")))
+    return F.array_sort(F.array_distinct(found)) if how == "distinct" else found
+
+
+def _hint(text: Column, low: Column, sign: Sign) -> Column:
+    found = F.flatten(F.array(*[_shown(text, low, s) for s in sign.shows]))
+    any_of = lambda tests: reduce(lambda a, b: a | b, [_holds(text, low, x) for x in tests])
+    if sign.needs == (("two:",),):
+        when = F.size(found) >= 2
+    elif sign.needs == (("parsers:",),):
+        when = (F.size(found) >= 3) & (F.size(F.filter(found, lambda f: has(f, *GRAMMAR))) >= 2)
+    else:
+        when = reduce(lambda a, b: a & b, [any_of(group) for group in sign.needs])
+    kind = F.coalesce(*[F.when(any_of(tests), F.lit(k)) if tests else F.lit(k) for k, tests in sign.kinds])
+    involved = F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(sign.instead))) if sign.instead else found
+    return F.when(when, F.struct(F.lit(sign.category).alias("category"), kind.alias("kind"), involved.alias("involved")))
+
+
+def memory_kind(text: Column) -> Column:
+    return F.when(text.contains("realloc("), "resize").when(text.contains("malloc(") & text.contains("free("), "pairs").when(text.contains("calloc("), "zeroed").otherwise("ownership")
 
 
-def _all(text: Column, pattern: str) -> Column:
-    return F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-
+def hints(text: Column) -> Column:
+    """array<struct<category, kind, involved>> of the signs that hold, in their order; names come as found, with repeats.
 
-def _or(names: Column, instead: str) -> Column:
-    return F.when(F.size(names) > 0, names).otherwise(F.array(F.lit(instead)))
+    Memory is not among them: what it involves follows from the bodies of functions (with_memory).
+    """
+    low = F.lower(text)
+    return F.array_compact(F.array(*[_hint(text, low, s).cast("struct<category:string,kind:string,involved:array<string>>") for s in SIGNS]))
 
 
-def _hint(when: Column, category: str, kind: str | Column, involved: Column) -> Column:
-    kind = F.lit(kind) if isinstance(kind, str) else kind
-    return F.when(when, F.struct(F.lit(category).alias("category"), kind.alias("kind"), involved.alias("involved")))
+def with_memory(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, hints): those of each text, led by that on memory where functions take it or give it back (D-01).
 
+    Functions are told by the span table of the text (operators.spans).
+    """
+    from ..operators.spans import allocating, c_tokens
 
-def hints(text: Column) -> Column:
-    """array<struct<category, kind, involved>> in the detectors' order; names come as found, with repeats."""
-    low = F.lower(text)
-    one = lambda *names: F.array(*[F.lit(n) for n in names])
-    allocs = has(text, "malloc(", "calloc(", "realloc(", "free(")
-    linked = text.rlike(r"struct\s+\w+\s*\*\s*next\s*;") & text.contains("->next")
-    table = (has(text, "**buckets", "** buckets") | (text.rlike(r"(?i)\b(hash|djb2|fnv|murmur)\b") & has(low, "capacity") & has(low, "size"))) & has(text, "hash", "Hash")
-    tree = has(text, "*left", "-> left") & has(text, "*right", "-> right")
-    stack = text.rlike(r"\bpush\s*\(") & text.rlike(r"\bpop\s*\(") & has(low, "top", "->sp")
-    queue = has(low, "enqueue", "queue_push") & has(low, "dequeue", "queue_pop")
-    qsort = text.contains("qsort(")
-    swaps = (has(low, "swap") | text.contains("temp =")) & text.rlike(r"for\s*\([^)]*\)\s*\{[^}]*for\s*\(")
-    halving = text.rlike(r"\bmid\b\s*=.*[/+].*2") | text.contains(">> 1")
-    search = has(low, "low", "left") & has(low, "high", "right") & halving
-    states = text.rlike(r"(?i)\bSTATE_\w+") | text.rlike(r"enum\s+\w*[Ss]tate\w*")
-    moves = text.rlike(r"switch\s*\(\s*\w*->?\s*state") | text.rlike(r"\w*->?\s*state\s*=\s*STATE_") | text.rlike(r"\w*->?\s*state\s*=\s*\w+_STATE")
-    n_states = F.size(F.array_distinct(_all(text, r"STATE_(\w+)")))
-    parsers = F.array_sort(F.array_distinct(_all(text, r"\b(parse_\w+)\s*\(")))
-    descent = (F.size(parsers) >= 3) & (F.size(F.filter(parsers, lambda f: has(f, *GRAMMAR))) >= 2)
-    stdio = _found(text, STDIO, "(")
-    buffers = has(low, "buffer", "buf_size") & has(low, "read(", "recv(") & has(low, "write(", "send(")
-    serial = has(low, "serialize") | (has(low, "json") & has(low, "parse", "print"))
-    threads = F.array_compact(F.array(*[F.when(text.contains(w), F.lit(w)) for w in ("pthread_create", "pthread_join", "CreateThread")]))
-    every = [
-        _hint(allocs, "memory", F.when(text.contains("realloc("), "resize").when(text.contains("malloc(") & text.contains("free("), "pairs").when(text.contains("calloc("), "zeroed").otherwise("ownership"), one()),
-        _hint(linked, "data", F.when(has(text, "*prev;", "->prev"), "doubly_linked_list").otherwise("linked_list"), _or(_all(text, r"(?s)struct\s+(\w+)\s*\{[^}]*\*\s*next\s*;[^}]*\}"), "(struct with ->next)")),
-        _hint(table, "data", "hash_table", _or(_all(text, r"struct\s+(\w*[Hh]ash\w*)"), "(hash table structs)")),
-        _hint(tree, "data", "tree", _or(_all(text, r"(?s)struct\s+(\w+)\s*\{[^}]*\*\s*left\s*;[^}]*\*\s*right\s*;[^}]*\}"), "(struct with left/right)")),
-        _hint(stack, "data", "stack", one("push", "pop")),
-        _hint(queue, "data", "queue", one("enqueue", "dequeue")),
-        _hint(qsort | swaps, "algorithm", "sort", F.when(qsort, F.concat(one("qsort"), _all(text, r"int\s+(\w+)\s*\(\s*const\s+void"))).otherwise(one("(manual sort detected)"))),
-        _hint(search, "algorithm", "binary_search", _or(_all(text, r"(?i)\b(\w*search\w*)\s*\("), "(binary search pattern)")),
-        *[_hint(F.size(_found(low, words)) > 0, "algorithm", kind, _found(low, words)) for kind, words in (("compression", COMPRESSION), ("checksum", CHECKSUM), ("crypto", CRYPTO))],
-        _hint(states & moves, "control", "state_machine", F.array(F.concat(n_states.cast("string"), F.lit(" states detected")))),
-        _hint(descent, "control", "recursive_descent_parser", parsers),
-        _hint(has(low, *EVENTS), "control", "event_loop", one("(event dispatch)")),
-        _hint(text.rlike(r"\bgoto\s+\w+") & text.rlike(r"(?m)^\w+:\s*$"), "control", "goto_cleanup", one("(goto-based resource cleanup)")),
-        _hint(F.size(stdio) >= 2, "io", "file_readwrite", stdio),
-        _hint(buffers, "io", "buffer_management", one("(buffered I/O)")),
-        _hint(serial, "io", "serialization", one("(serialization/deserialization)")),
-        _hint(F.size(_found(text, MUTEX)) > 0, "concurrency", "mutex", _found(text, MUTEX)),
-        _hint(has(text, "pthread_create", "CreateThread"), "concurrency", "thread_creation", threads),
-        _hint(F.size(_found(low, ATOMIC, lower=True)) > 0, "concurrency", "atomic", _found(low, ATOMIC, lower=True)),
-    ]
-    return F.array_compact(F.array(*[h.cast("struct<category:string,kind:string,involved:array<string>>") for h in every]))
-
-
-def memory_functions(bodies: Column) -> tuple[Column, Column]:
-    """Names of struct(name, body) rows whose body allocates, and those whose body frees, sorted."""
-    names = lambda test: F.array_sort(F.array_distinct(F.transform(F.filter(bodies, test), lambda f: f["name"])))
-    return names(lambda f: has(f["body"], "malloc(", "calloc(", "realloc(")), names(lambda f: f["body"].contains("free("))
+    found = allocating(c_tokens(df, key, text), key)
+    memory = F.struct(F.lit("memory").alias("category"), memory_kind(F.col(text)).alias("kind"), F.col("functions").alias("involved"))
+    rows = df.select(key, text).join(found, key, "left")
+    return rows.select(key, F.concat(F.when(F.col("functions").isNotNull(), F.array(memory)).otherwise(F.array().cast("array<struct<category:string,kind:string,involved:array<string>>>")), hints(F.col(text))).alias("hints"))

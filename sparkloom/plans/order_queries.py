@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import detectors
 from ..functions import text as t
 from ..operators import generators, graph, ordered, rewrites, scanners, sets
 from ..streaming import limiters
 from .result_queries import CANDIDATES, candidates
 from .unit_queries import _TRIMMED, read
-from .units import WITH_UNITS, d_has, d_rows, units
+from .units import WITH_UNITS, d_rows, units
 
 c = F.col
 
@@ -209,40 +208,6 @@ SET_PACK = """
 # ---------------------------------------------------------------- detectors, scanners, rewrites
 
 
-def semantic_hints(spark, sf_dir):
-    """D-01..D-14: a row for each hint of each unit."""
-    return units(spark, sf_dir).select("id", F.explode(detectors.hints(c("c"))).alias("h")).select("id", "h.category", "h.kind", F.array_sort("h.involved").alias("involved"))
-
-
-def _semantic_hints() -> str:
-    low, rx = "lower(c)", lambda p: f"regexp_matches(c, '{p}')"
-    every = lambda p: f"regexp_extract_all(c, '{p}', 1)"
-    orelse = lambda x, y: f"CASE WHEN len({x}) > 0 THEN {x} ELSE ['{y}'] END"
-    words = lambda ws, x, suffix="": "list_filter([" + ", ".join(f"CASE WHEN contains({x}, '{w}{suffix}') THEN '{w}' END" for w in ws) + "], lambda w: w IS NOT NULL)"
-    parse = "list_distinct(" + every("\\b(parse_\\w+)\\s*\\(") + ")"
-    rules = [
-        (d_has("c", "malloc(", "calloc(", "realloc(", "free("), "memory", "CASE WHEN contains(c, 'realloc(') THEN 'resize' WHEN contains(c, 'malloc(') AND contains(c, 'free(') THEN 'pairs' WHEN contains(c, 'calloc(') THEN 'zeroed' ELSE 'ownership' END", "[]::VARCHAR[]"),
-        (rx("struct\\s+\\w+\\s*\\*\\s*next\\s*;") + " AND contains(c, '->next')", "data", "CASE WHEN contains(c, '*prev;') OR contains(c, '->prev') THEN 'doubly_linked_list' ELSE 'linked_list' END", orelse(every("(?s)struct\\s+(\\w+)\\s*\\{[^}]*\\*\\s*next\\s*;[^}]*\\}"), "(struct with ->next)")),
-        ("(" + d_has("c", "**buckets", "** buckets") + " OR (" + rx("(?i)\\b(hash|djb2|fnv|murmur)\\b") + f" AND contains({low}, 'capacity') AND contains({low}, 'size'))) AND " + d_has("c", "hash", "Hash"), "data", "'hash_table'", orelse(every("struct\\s+(\\w*[Hh]ash\\w*)"), "(hash table structs)")),
-        (d_has("c", "*left", "-> left") + " AND " + d_has("c", "*right", "-> right"), "data", "'tree'", orelse(every("(?s)struct\\s+(\\w+)\\s*\\{[^}]*\\*\\s*left\\s*;[^}]*\\*\\s*right\\s*;[^}]*\\}"), "(struct with left/right)")),
-        (rx("\\bpush\\s*\\(") + " AND " + rx("\\bpop\\s*\\(") + " AND " + d_has(low, "top", "->sp"), "data", "'stack'", "['pop', 'push']"),
-        (d_has(low, "enqueue", "queue_push") + " AND " + d_has(low, "dequeue", "queue_pop"), "data", "'queue'", "['dequeue', 'enqueue']"),
-        ("contains(c, 'qsort(')", "algorithm", "'sort'", "list_prepend('qsort', " + every("int\\s+(\\w+)\\s*\\(\\s*const\\s+void") + ")"),
-        (d_has(low, "low", "left") + " AND " + d_has(low, "high", "right") + " AND (" + rx("\\bmid\\b\\s*=.*[/+].*2") + " OR contains(c, '>> 1'))", "algorithm", "'binary_search'", orelse(every("(?i)\\b(\\w*search\\w*)\\s*\\("), "(binary search pattern)")),
-        *[(f"len({words(ws, low)}) > 0", "algorithm", f"'{k}'", words(ws, low)) for k, ws in (("compression", detectors.COMPRESSION), ("checksum", detectors.CHECKSUM), ("crypto", detectors.CRYPTO))],
-        ("(" + rx("(?i)\\bSTATE_\\w+") + " OR " + rx("enum\\s+\\w*[Ss]tate\\w*") + ") AND (" + rx("switch\\s*\\(\\s*\\w*->?\\s*state") + " OR " + rx("->?\\s*state\\s*=\\s*STATE_") + ")", "control", "'state_machine'", "[len(list_distinct(" + every("STATE_(\\w+)") + ")) || ' states detected']"),
-        (f"len({parse}) >= 3 AND len(list_filter({parse}, lambda f: " + " OR ".join(f"contains(f, '{g}')" for g in detectors.GRAMMAR) + ")) >= 2", "control", "'recursive_descent_parser'", parse),
-        (d_has(low, *detectors.EVENTS), "control", "'event_loop'", "['(event dispatch)']"),
-        (rx("\\bgoto\\s+\\w+") + " AND " + rx("(?m)^\\w+:\\s*$"), "control", "'goto_cleanup'", "['(goto-based resource cleanup)']"),
-        (f"len({words(detectors.STDIO, 'c', '(')}) >= 2", "io", "'file_readwrite'", words(detectors.STDIO, "c", "(")),
-        (d_has(low, "buffer", "buf_size") + " AND " + d_has(low, "read(", "recv(") + " AND " + d_has(low, "write(", "send("), "io", "'buffer_management'", "['(buffered I/O)']"),
-        (f"contains({low}, 'serialize') OR (contains({low}, 'json') AND " + d_has(low, "parse", "print") + ")", "io", "'serialization'", "['(serialization/deserialization)']"),
-        (f"len({words(detectors.MUTEX, 'c')}) > 0", "concurrency", "'mutex'", words(detectors.MUTEX, "c")),
-        (d_has("c", "pthread_create", "CreateThread"), "concurrency", "'thread_creation'", words(("pthread_create", "pthread_join", "CreateThread"), "c")),
-    ]
-    return WITH_UNITS + " " + " UNION ALL ".join(f"SELECT id, '{cat}' AS category, {kind} AS kind, list_sort({inv}) AS involved FROM texts WHERE {when}" for when, cat, kind, inv in rules)
-
-
 def scanner_udfs(spark, sf_dir):
     """C-02 C-22: functions without a body, and arguments at top level."""
     args = F.concat(F.lit("a, f(b, c), [d, "), c("id").cast("string"), F.lit("], {e, f}"))
@@ -419,14 +384,14 @@ def fixture_builtins(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        brace_depth, truncate_balanced, directive_forward_fill, file_markers, comment_blocks, best_version_fold, greedy_chunks, module_split, stall_counter, merge_imports, first_definition_wins, set_pack, semantic_hints,
+        brace_depth, truncate_balanced, directive_forward_fill, file_markers, comment_blocks, best_version_fold, greedy_chunks, module_split, stall_counter, merge_imports, first_definition_wins, set_pack,
         scanner_udfs, rewrite_line_rules, rewrite_block_rules, topo_order, sliding_limiter, anchored_limiter, incremental_state, fuzz_inputs, fuzz_summary, test_value_combos, trace_groups,
         column_stats, fixture_builtins,
     )
 }
 ORACLE_SQL = {
     "brace_depth": BRACE_DEPTH, "truncate_balanced": TRUNCATE_BALANCED, "directive_forward_fill": DIRECTIVE_FORWARD_FILL, "file_markers": FILE_MARKERS, "comment_blocks": COMMENT_BLOCKS, "best_version_fold": BEST_VERSION,
-    "greedy_chunks": GREEDY_CHUNKS, "module_split": MODULE_SPLIT, "stall_counter": STALL_COUNTER, "merge_imports": MERGE_IMPORTS, "first_definition_wins": FIRST_DEFINITION, "set_pack": SET_PACK, "semantic_hints": _semantic_hints(),
+    "greedy_chunks": GREEDY_CHUNKS, "module_split": MODULE_SPLIT, "stall_counter": STALL_COUNTER, "merge_imports": MERGE_IMPORTS, "first_definition_wins": FIRST_DEFINITION, "set_pack": SET_PACK, 
     "rewrite_line_rules": REWRITE_LINE_RULES, "sliding_limiter": SLIDING_LIMITER, "anchored_limiter": ANCHORED_LIMITER, "incremental_state": INCREMENTAL_STATE, "fuzz_summary": FUZZ_SUMMARY,
     "test_value_combos": TEST_VALUE_COMBOS, "trace_groups": TRACE_GROUPS, "column_stats": COLUMN_STATS,
 }

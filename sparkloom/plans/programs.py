@@ -21,6 +21,7 @@ C_TEMPLATES = [
     "enum Kind@K { A@K, B@K };\nint (*hook@K)(int);\nunsigned long @N(FILE *f, void *p) {\n    {\n        @A(1, 0);\n    }\n    hook@K(2);\n    return 1;\n}",
     "typedef struct {\n    int x;\n} Pair@K;\nint counter@K = 3;\nstruct Pair@K *create_@N(void) { return calloc(1, 8); }\nint @N(int n) { return create_@N()->x + @B(n) + sizeof(n); }",
     "int @N(unsigned int *v, size_t n) {\n    for (size_t i = 0; i < n; i++) {\n        v[i] = realloc_all(@A(i, 0));\n    }\n    return n;\n}",
+    "void @N(int *v, int n) {\n    for (int i = 0; i < n; i++) {\n        for (int j = 0; j < i; j++) { int temp = v[j]; v[j] = v[i]; v[i] = temp; }\n    }\n    __sync_fetch_and_add(v, @A(n, 0));\n    SwapAll@K(v); // swap\n}",
 ]
 RUST_TEMPLATES = [
     "// @N was left out",
@@ -38,6 +39,12 @@ MODULE_TEMPLATES = [
     "\n\nfn free_@K(x: i32) -> i32 {\n    x\n}\n\n",
     "pub struct Outer@M {\n    inner: i32,\n    const Kind@M: [i32; 2] = [\n        1, 2\n    ];\n}",
 ]
+HEADER_TEMPLATES = [
+    '#ifndef H@K\n#define H@K\n#define _GUARD@K 1\n#include "x.h"\n/* struct no */\ntypedef struct {\n@R    struct { int b; } c;\n} T@K;\nint f@K(int a);\nextern int e@K;\n  enum E@K { A@K };\n#endif\n',
+    "#pragma once\nint nothing@K;\n",
+    "struct S@K {\n@R};\nvoid g@K(void) {\n    struct S@K s;\n}\nint (*typedef_@K)(*);\n",
+]
+FIELD = "    int a;\n"
 CONTRACT = "pub struct Shared1 {\n    pub a: i32,\n}\npub type Id2 = u32;"
 STYLES = ("step_{k}", "getItem{k}", "ParseNode{k}", "is_ready_{k}")
 
@@ -59,12 +66,13 @@ def snake(name: Column) -> Column:
 
 
 def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(k, file, name, c, rust, module): a function for each part."""
+    """(k, file, name, c, rust, module, header): a function for each part, and texts that go with it."""
     k = F.col("p_partkey")
     name = name_of(k)
-    words = {"@K": k.cast("string"), "@N": name, "@A": name_of(k * 2), "@B": name_of(k * 2 + 1), "@S": snake(name), "@L": F.lower(name), "@M": (k % 7).cast("string")}
+    words = {"@K": k.cast("string"), "@N": name, "@A": name_of(k * 2), "@B": name_of(k * 2 + 1), "@S": snake(name), "@L": F.lower(name), "@M": (k % 7).cast("string"), "@R": F.repeat(F.lit(FIELD), (k % 23).cast("int"))}
     return spark.read.parquet(f"{sf_dir}/part.parquet").select(
-        k.alias("k"), F.floor(k / 12).alias("file"), name.alias("name"), _filled(C_TEMPLATES, k, words).alias("c"), _filled(RUST_TEMPLATES, k, words).alias("rust"), _filled(MODULE_TEMPLATES, k, words).alias("module")
+        k.alias("k"), F.floor(k / 12).alias("file"), name.alias("name"), _filled(C_TEMPLATES, k, words).alias("c"), _filled(RUST_TEMPLATES, k, words).alias("rust"), _filled(MODULE_TEMPLATES, k, words).alias("module"),
+        _filled(HEADER_TEMPLATES, k, words).alias("header"),
     )
 
 
@@ -82,6 +90,20 @@ def modules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("unit", "module", F.concat(F.lit("m"), F.col("module").cast("string")).alias("name"), F.array_join(F.transform("v", lambda x: x["t"]), "\n").alias("text"))
 
 
+def headers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(folder, name, text) of a header for each part, and (folder, file, c) of files that include ten of them or fewer.
+
+    Each file takes those of its own first parts, one that is not there, a system header, and one again.
+    """
+    k = F.col("k")
+    store = parts(spark, sf_dir).select((F.col("file") % 5).alias("folder"), F.concat(F.lit("h"), k.cast("string"), F.lit(".h")).alias("name"), F.col("header").alias("text"))
+    line = lambda number: F.concat(F.lit('#include "h'), number.cast("string"), F.lit('.h"'))
+    own = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: line(F.col("file") * 12 + i))
+    text = F.concat(F.lit("#include <h1.h>\n#include  \"none.h\"\n"), F.array_join(own, "\n"), F.lit("\n  "), line(F.col("file") * 12), F.lit(" \nint x;"))
+    files = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.floor(F.col("p_partkey") / 12).alias("file")).distinct()
+    return store, files.select((F.col("file") % 5).alias("folder"), "file", text.alias("c"))
+
+
 def _sql(values: list[str]) -> str:
     quoted = ("'" + v.replace("'", "''") + "'" for v in values)
     return "[" + ", ".join(quoted) + "]"
@@ -94,15 +116,15 @@ def _sql_name(k: str) -> str:
 def _sql_filled(templates: list[str]) -> str:
     text = f"{_sql(templates)}[p_partkey % {len(templates)} + 1]"
     n = _sql_name("p_partkey")
-    marks = {"@K": "p_partkey::VARCHAR", "@N": n, "@A": _sql_name("p_partkey * 2"), "@B": _sql_name("p_partkey * 2 + 1"), "@S": f"lower(regexp_replace({n}, '(.)([A-Z])', '\\1_\\2', 'g'))", "@L": f"lower({n})", "@M": "(p_partkey % 7)::VARCHAR"}
+    marks = {"@K": "p_partkey::VARCHAR", "@N": n, "@A": _sql_name("p_partkey * 2"), "@B": _sql_name("p_partkey * 2 + 1"), "@S": f"lower(regexp_replace({n}, '(.)([A-Z])', '\\1_\\2', 'g'))", "@L": f"lower({n})", "@M": "(p_partkey % 7)::VARCHAR", "@R": f"repeat('{FIELD}', (p_partkey % 23)::INT)"}
     for mark, word in marks.items():
         text = f"replace({text}, '{mark}', {word})"
     return text
 
 
-#: Common table expressions functions(k, file, name, c, rust, module), programs(file, c, rust) and modules(unit, module, text).
+#: Common table expressions functions(k, file, name, c, rust, module, header), programs(file, c, rust) and modules(unit, module, text).
 PROGRAMS_SQL = f"""
     functions AS (SELECT p_partkey AS k, p_partkey // 12 AS file, {_sql_name('p_partkey')} AS name, {_sql_filled(C_TEMPLATES)} AS c,
-        {_sql_filled(RUST_TEMPLATES)} AS rust, {_sql_filled(MODULE_TEMPLATES)} AS module FROM part),
+        {_sql_filled(RUST_TEMPLATES)} AS rust, {_sql_filled(MODULE_TEMPLATES)} AS module, {_sql_filled(HEADER_TEMPLATES)} AS header FROM part),
     programs AS (SELECT file, string_agg(c, chr(10) ORDER BY k) AS c, string_agg(rust, chr(10) ORDER BY k) AS rust FROM functions GROUP BY file),
     modules AS (SELECT k // 24 AS unit, k % 24 // 4 AS module, string_agg(module, chr(10) ORDER BY k) AS text FROM functions GROUP BY ALL)"""

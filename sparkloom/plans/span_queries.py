@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import outlines, predicates
+from ..functions import detectors, outlines, predicates
 from ..functions import text as t
 from ..operators import chunks, graph, joins, sets, spans
 from ..operators.ordered import exploded_lines
-from .programs import CONTRACT, PROGRAMS_SQL, modules, parts, programs, snake
+from ..sources.texts import header_types
+from .programs import CONTRACT, PROGRAMS_SQL, headers, modules, programs
 from .unit_queries import _TRIMMED
-from .units import d_rows
+from .units import WITH_UNITS, d_has, d_rows, units
 
 c = F.col
 
@@ -22,9 +23,9 @@ def _quoted(text: str) -> str:
 #: A token of C, for DuckDB, whose alternatives are those of spans.C_TOKEN.
 _TOKEN = r"""(?s)((?m:^)[ \t]*#(?:\\\n|[^\n])*|//[^\n]*|/\*.*?\*/|"(?:[^"\\\n]|\\.)*"?|'(?:[^'\\\n]|\\.)*'?|\w+(?:\s*\()?|\n|[^\S\n]+|[(){};]|[^\w\s"'/#(){};]+|.)"""
 #: Statements at depth 0 and those that are functions. A statement ends with its semicolon, its last brace, or a directive's line.
-SPANS_SQL = f"""{PROGRAMS_SQL},
-    pieces AS (SELECT file, string_split(regexp_replace(c, {_quoted(_TOKEN)}, chr(1) || '\\1', 'g'), chr(1))[2:] AS p FROM programs),
-    tokens AS (SELECT file, unnest(p) AS token, generate_subscripts(p, 1) AS i FROM pieces),
+SPANS_OF_PROGRAMS = f"""
+    cut AS (SELECT file, string_split(regexp_replace(c, {_quoted(_TOKEN)}, chr(1) || '\\1', 'g'), chr(1))[2:] AS p FROM programs),
+    tokens AS (SELECT file, unnest(p) AS token, generate_subscripts(p, 1) AS i FROM cut),
     deep AS (SELECT *, sum(length(token)) OVER w - length(token) AS off, 1 + coalesce(sum(length(token) - length(replace(token, chr(10), ''))) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS line,
             sum((token = '{{')::INT - (token = '}}')::INT) OVER w AS depth, regexp_matches(token, '^[ \\t]*#') AS directive, regexp_matches(token, '^(\\s|/[/*])') AND NOT regexp_matches(token, '^[ \\t]*#') AS quiet
         FROM tokens WINDOW w AS (PARTITION BY file ORDER BY i)),
@@ -37,6 +38,7 @@ SPANS_SQL = f"""{PROGRAMS_SQL},
         FROM items WHERE before = ')' AND function IS NOT NULL),
     edges AS (SELECT DISTINCT s.function AS src, regexp_extract(d.token, '^\\w+') AS dst FROM signs d JOIN spans s USING (file, item) WHERE d.i > s.brace AND regexp_matches(d.token, '^\\w+\\s*\\($')
         AND regexp_extract(d.token, '^\\w+') IN (SELECT function FROM spans) AND regexp_extract(d.token, '^\\w+') <> s.function)"""
+SPANS_SQL = f"{PROGRAMS_SQL}, {SPANS_OF_PROGRAMS.strip()}"
 
 
 def tokens_of(spark, sf_dir):
@@ -102,6 +104,63 @@ MEMORY_FUNCTIONS = f"""
     WHERE contains(body, 'malloc(') OR contains(body, 'calloc(') OR contains(body, 'realloc(') OR contains(body, 'free(') GROUP BY file"""
 
 
+def hint_rules(table: str, key: str) -> str:
+    """SQL of the hints that a text alone decides, one SELECT for each rule over column c of a table."""
+    low, rx = "lower(c)", lambda p: f"regexp_matches(c, '{p}')"
+    every = lambda p: f"regexp_extract_all(c, '{p}', 1)"
+    orelse = lambda x, y: f"CASE WHEN len({x}) > 0 THEN {x} ELSE ['{y}'] END"
+    words = lambda ws, x, suffix="": "list_filter([" + ", ".join(f"CASE WHEN contains({x}, '{w}{suffix}') THEN '{w}' END" for w in ws) + "], lambda w: w IS NOT NULL)"
+    parse = "list_distinct(" + every("\\b(parse_\\w+)\\s*\\(") + ")"
+    rules = [
+        (rx("struct\\s+\\w+\\s*\\*\\s*next\\s*;") + " AND contains(c, '->next')", "data", "CASE WHEN contains(c, '*prev;') OR contains(c, '->prev') THEN 'doubly_linked_list' ELSE 'linked_list' END", orelse(every("(?s)struct\\s+(\\w+)\\s*\\{[^}]*\\*\\s*next\\s*;[^}]*\\}"), "(struct with ->next)")),
+        ("(" + d_has("c", "**buckets", "** buckets") + " OR (" + rx("(?i)\\b(hash|djb2|fnv|murmur)\\b") + f" AND contains({low}, 'capacity') AND contains({low}, 'size'))) AND " + d_has("c", "hash", "Hash"), "data", "'hash_table'", orelse(every("struct\\s+(\\w*[Hh]ash\\w*)"), "(hash table structs)")),
+        (d_has("c", "*left", "-> left") + " AND " + d_has("c", "*right", "-> right"), "data", "'tree'", orelse(every("(?s)struct\\s+(\\w+)\\s*\\{[^}]*\\*\\s*left\\s*;[^}]*\\*\\s*right\\s*;[^}]*\\}"), "(struct with left/right)")),
+        (rx("\\bpush\\s*\\(") + " AND " + rx("\\bpop\\s*\\(") + " AND " + d_has(low, "top", "->sp"), "data", "'stack'", "['pop', 'push']"),
+        (d_has(low, "enqueue", "queue_push") + " AND " + d_has(low, "dequeue", "queue_pop"), "data", "'queue'", "['dequeue', 'enqueue']"),
+        (f"NOT contains(c, 'qsort(') AND (contains({low}, 'swap') OR contains(c, 'temp =')) AND " + rx("for\\s*\\([^)]*\\)\\s*\\{[^}]*for\\s*\\("), "algorithm", "'sort'", "['(manual sort detected)']"),
+        ("contains(c, 'qsort(')", "algorithm", "'sort'", "list_prepend('qsort', " + every("int\\s+(\\w+)\\s*\\(\\s*const\\s+void") + ")"),
+        (d_has(low, "low", "left") + " AND " + d_has(low, "high", "right") + " AND (" + rx("\\bmid\\b\\s*=.*[/+].*2") + " OR contains(c, '>> 1'))", "algorithm", "'binary_search'", orelse(every("(?i)\\b(\\w*search\\w*)\\s*\\("), "(binary search pattern)")),
+        *[(f"len({words(ws, low)}) > 0", "algorithm", f"'{k}'", words(ws, low)) for k, ws in (("compression", detectors.COMPRESSION), ("checksum", detectors.CHECKSUM), ("crypto", detectors.CRYPTO))],
+        ("(" + rx("(?i)\\bSTATE_\\w+") + " OR " + rx("enum\\s+\\w*[Ss]tate\\w*") + ") AND (" + rx("switch\\s*\\(\\s*\\w*->?\\s*state") + " OR " + rx("->?\\s*state\\s*=\\s*STATE_") + ")", "control", "'state_machine'", "[len(list_distinct(" + every("STATE_(\\w+)") + ")) || ' states detected']"),
+        (f"len({parse}) >= 3 AND len(list_filter({parse}, lambda f: " + " OR ".join(f"contains(f, '{g}')" for g in detectors.GRAMMAR) + ")) >= 2", "control", "'recursive_descent_parser'", parse),
+        (d_has(low, *detectors.EVENTS), "control", "'event_loop'", "['(event dispatch)']"),
+        (rx("\\bgoto\\s+\\w+") + " AND " + rx("(?m)^\\w+:\\s*$"), "control", "'goto_cleanup'", "['(goto-based resource cleanup)']"),
+        (f"len({words(detectors.STDIO, 'c', '(')}) >= 2", "io", "'file_readwrite'", words(detectors.STDIO, "c", "(")),
+        (d_has(low, "buffer", "buf_size") + " AND " + d_has(low, "read(", "recv(") + " AND " + d_has(low, "write(", "send("), "io", "'buffer_management'", "['(buffered I/O)']"),
+        (f"contains({low}, 'serialize') OR (contains({low}, 'json') AND " + d_has(low, "parse", "print") + ")", "io", "'serialization'", "['(serialization/deserialization)']"),
+        (f"len({words(detectors.MUTEX, 'c')}) > 0", "concurrency", "'mutex'", words(detectors.MUTEX, "c")),
+        (d_has("c", "pthread_create", "CreateThread"), "concurrency", "'thread_creation'", words(("pthread_create", "pthread_join", "CreateThread"), "c")),
+        (d_has(low, *[a.lower() for a in detectors.ATOMIC]), "concurrency", "'atomic'", "list_filter([" + ", ".join(f"CASE WHEN contains({low}, '{a.lower()}') THEN '{a}' END" for a in detectors.ATOMIC) + "], lambda w: w IS NOT NULL)"),
+    ]
+    return " UNION ALL ".join(f"SELECT {key}, '{cat}' AS category, {kind} AS kind, list_sort({inv}) AS involved FROM {table} WHERE {when}" for when, cat, kind, inv in rules)
+
+
+def program_hints(spark, sf_dir):
+    """D-01..D-14 on programs: a row for each hint of each file."""
+    return hint_rows(programs(spark, sf_dir), "file")
+
+
+def hint_rows(texts, key):
+    rows = detectors.with_memory(texts.select(key, "c"), key, "c").select(key, F.explode("hints").alias("h"))
+    return rows.select(key, "h.category", "h.kind", F.array_sort("h.involved").alias("involved"))
+
+
+#: Hints of `programs`, whatever that is: rules that the text alone decides, and memory by the bodies of functions.
+MEMORY_RULE = """SELECT s.file, 'memory' AS category, CASE WHEN contains(any_value(c), 'realloc(') THEN 'resize' WHEN contains(any_value(c), 'malloc(') AND contains(any_value(c), 'free(') THEN 'pairs'
+        WHEN contains(any_value(c), 'calloc(') THEN 'zeroed' ELSE 'ownership' END AS kind, list_sort(list(DISTINCT function)) AS involved
+    FROM spans s JOIN programs USING (file) WHERE regexp_matches(c[s.opens + 1:s.last], '(malloc|calloc|realloc|free)\\(') GROUP BY s.file"""
+PROGRAM_HINTS = f"WITH {SPANS_SQL} {MEMORY_RULE} UNION ALL {hint_rules('programs', 'file')}"
+
+
+def semantic_hints(spark, sf_dir):
+    """D-01..D-14: a row for each hint of each unit."""
+    return hint_rows(units(spark, sf_dir), "id")
+
+
+SEMANTIC_HINTS = f"""{WITH_UNITS}, programs AS (SELECT id AS file, c FROM texts), {SPANS_OF_PROGRAMS.strip()}
+    SELECT file AS id, category, kind, involved FROM ({MEMORY_RULE}) UNION ALL {hint_rules('texts', 'id')}"""
+
+
 def traceable(spark, sf_dir):
     """F-05: each function of the files with its return type and why it cannot be traced, null if it can."""
     rows = function_spans(spark, sf_dir).join(programs(spark, sf_dir).select("file", "c"), "file")
@@ -259,13 +318,36 @@ SOURCE_SUMMARY = f"""
         (coalesce(len(ty), 0) + coalesce(len(re), 0) + coalesce(len(fn), 0) + coalesce(len(gl), 0))::INT AS entries FROM parts"""
 
 
+def included_types(spark, sf_dir):
+    """S-15: type lines of the headers that each file includes, as far as sixty lines take them; later ones are still tried."""
+    store, files = headers(spark, sf_dir)
+    return header_types(files, ["folder"], "file", "c", store, 60).select("file", "included", F.sha2("types", 256).alias("types"))
+
+
+_NOISE, _TYPES = "^(#pragma|#ifndef|#define _|#endif|#include|#ifdef|#else|#if )", "^(typedef |struct |enum |#define |extern )"
+#: Lines of headers one by one, then includes of files one by one.
+INCLUDED_TYPES = f"""
+    WITH RECURSIVE {PROGRAMS_SQL},
+    r AS (SELECT k, unnest({d_rows('header')}) AS x, generate_subscripts({d_rows('header')}, 1) AS n FROM functions),
+    l AS MATERIALIZED (SELECT k, n, x, trim(x) AS y, (length(x) - length(replace(x, '{{', ''))) - (length(x) - length(replace(x, '}}', ''))) AS change FROM r),
+    scan AS (
+        SELECT DISTINCT k, 0::BIGINT AS n, 0::BIGINT AS depth, false AS kept, '' AS x FROM l
+        UNION ALL SELECT l.k, l.n, CASE WHEN take THEN greatest(s.depth + change, 0) ELSE s.depth END, take, l.x FROM scan s JOIN l ON l.k = s.k AND l.n = s.n + 1,
+            LATERAL (SELECT NOT regexp_matches(l.y, '{_NOISE}') AND (s.depth > 0 OR regexp_matches(l.y, '{_TYPES}') OR (contains(l.y, 'typedef') AND contains(l.y, '(*)'))) AS take)),
+    held AS MATERIALIZED (SELECT k, count(*) FILTER (WHERE kept) AS n, coalesce(string_agg(x, chr(10) ORDER BY n) FILTER (WHERE kept), '') AS t FROM scan GROUP BY k),
+    wanted AS (SELECT file, row_number() OVER (PARTITION BY file ORDER BY i) AS i, k, n FROM (SELECT DISTINCT file FROM functions), range(0, 9) g(i) JOIN held ON k = file * 12 + CASE WHEN i = 8 THEN 0 ELSE i END),
+    fold AS (SELECT DISTINCT file, 0::BIGINT AS i, 0::BIGINT AS total, NULL::BIGINT AS k FROM wanted
+        UNION ALL SELECT w.file, w.i, CASE WHEN f.total + w.n <= 60 THEN f.total + w.n ELSE f.total END, CASE WHEN f.total + w.n <= 60 THEN w.k END FROM fold f JOIN wanted w ON w.file = f.file AND w.i = f.i + 1)
+    SELECT file, list('h' || k || '.h' ORDER BY i) AS included, sha256(string_agg('// === From h' || k || '.h ===' || chr(10) || t, chr(10) || chr(10) ORDER BY i)) AS types FROM fold JOIN held USING (k) GROUP BY file"""
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        function_spans, call_graph, module_waves, module_order, direct_dependencies, memory_functions, traceable, missing_counterparts, error_to_function, module_assembly, structural_chunks, source_summary,
+        function_spans, call_graph, module_waves, module_order, direct_dependencies, memory_functions, traceable, missing_counterparts, error_to_function, module_assembly, structural_chunks, source_summary, program_hints, semantic_hints, included_types,
     )
 }
 ORACLE_SQL = {
     "function_spans": FUNCTION_SPANS, "call_graph": CALL_GRAPH, "module_waves": MODULE_WAVES, "module_order": MODULE_ORDER, "direct_dependencies": DIRECT_DEPENDENCIES, "memory_functions": MEMORY_FUNCTIONS, "traceable": TRACEABLE,
-    "missing_counterparts": MISSING_COUNTERPARTS, "error_to_function": ERROR_TO_FUNCTION, "module_assembly": MODULE_ASSEMBLY, "structural_chunks": STRUCTURAL_CHUNKS, "source_summary": SOURCE_SUMMARY,
+    "missing_counterparts": MISSING_COUNTERPARTS, "error_to_function": ERROR_TO_FUNCTION, "module_assembly": MODULE_ASSEMBLY, "structural_chunks": STRUCTURAL_CHUNKS, "source_summary": SOURCE_SUMMARY, "program_hints": PROGRAM_HINTS, "semantic_hints": SEMANTIC_HINTS, "included_types": INCLUDED_TYPES,
 }

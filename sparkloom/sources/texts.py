@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import fenced_code, lines, strip
+from ..functions.folds import emitting
+from ..functions.outlines import header_type_lines
+from ..functions.text import fenced_code, line_count, lines, strip
 
 MOST_BYTES = 10 * 1024 * 1024
 #: Events that a summary log keeps.
@@ -82,21 +86,45 @@ def split_files(df: DataFrame, text: str, key: str, names: list[str]) -> DataFra
     return parts.select(key, F.explode(F.when(F.size(known) > 0, cut).otherwise(first())).alias("p")).select(key, "p.file", "p.content")
 
 
-def include_headers(df: DataFrame, headers: dict[str, str], text: str, key: str, most: int = 1500) -> DataFrame:
-    """(key, included): local headers of each text, in order, whose lines still fit; one that does not is passed over.
+#: Lines of headers that one text takes at most.
+MOST_HEADER_LINES = 1500
+
+
+def header_types(df: DataFrame, where: list[str], key: str, text: str, headers: DataFrame, most: int = MOST_HEADER_LINES) -> DataFrame:
+    """(where..., key, included, types): the local headers of each text whose type lines still fit, and those lines.
 
-    A header too long does not stop later ones, so this is a fold over the includes, not a filter on a running sum.
+    headers has (where..., name, text): `where` says which headers a text sees, as its folder. Includes are taken in the
+    order of lines; a header whose lines would pass `most` is passed over, and later ones are still tried, so this is a
+    fold over the includes and not a filter on a running sum. Headers that are not there go, those without type lines
+    count 0. Texts without any have no row here.
+
+    Includes meet the headers' numbers of lines first; only headers that are taken are joined with what they hold.
     """
-    store = F.create_map(*[F.lit(x) for name, body in headers.items() for x in (name, body.count("\n") + 1)]) if headers else F.create_map().cast("map<string,int>")
-    names = F.regexp_extract_all(F.col(text), F.lit(r'(?m)^\s*#\s*include\s+"([^"]+)"'), F.lit(1))
-    start = F.struct(F.lit(0).alias("n"), F.array().cast("array<string>").alias("out"))
+    held = headers.select(*where, "name", F.array_join(header_type_lines(F.col("text")), "\n").alias("lines"))
+    sizes = held.select(*where, "name", line_count(F.col("lines")).alias("n"))
+    local = r"^#include\s*\"(.*)\"$"
+    found = df.select(*where, key, F.posexplode(lines(F.col(text))).alias("pos", "line")).select(*where, key, "pos", F.regexp_extract(strip(F.col("line")), local, 1).alias("name"), strip(F.col("line")).rlike(local).alias("is"))
+    sized = found.filter("is").join(sizes, [*where, "name"]).groupBy(*where, key).agg(F.array_sort(F.collect_list(F.struct("pos", "name", "n"))).alias("v"))
+
+    def step(total: Column, x: Column) -> tuple[Column, Column]:
+        fits = total + x["n"] <= most
+        return F.when(fits, total + x["n"]).otherwise(total), F.when(fits, F.array(x)).otherwise(F.array().cast("array<struct<pos:int,name:string,n:int>>"))
+
+    taken = sized.select(*where, key, F.explode(emitting(F.col("v"), F.lit(0), step, "struct<pos:int,name:string,n:int>")).alias("x")).select(*where, key, "x.pos", "x.name")
+    block = F.concat(F.lit("// === From "), "name", F.lit(" ===\n"), "lines")
+    each = taken.join(held, [*where, "name"]).groupBy(*where, key).agg(F.array_sort(F.collect_list(F.struct("pos", "name", block.alias("block")))).alias("v"))
+    own = lambda field: F.transform("v", lambda x: x[field])
+    return each.select(*where, key, own("name").alias("included"), F.array_join(own("block"), "\n\n").alias("types"))
 
-    def step(acc, name):
-        size = F.try_element_at(store, name)
-        fits = size.isNotNull() & (acc["n"] + size <= most)
-        return F.when(fits, F.struct((acc["n"] + size).alias("n"), F.array_append(acc["out"], name).alias("out"))).otherwise(acc)
 
-    return df.select(key, F.aggregate(names, start, step, lambda acc: acc["out"]).alias("included"))
+def read_baseline(spark: SparkSession, path: str, result: str) -> DataFrame:
+    """A row for each of the results of saved baselines, whose fields have the DDL types of `result`, with the run's success rate.
+
+    Fields that a baseline lacks are null; a rate that it lacks is 0.
+    """
+    schema = f"summary struct<success_rate_pct: double>, results array<struct<{result}>>"
+    saved = spark.read.schema(schema).option("multiLine", "true").json(path)
+    return saved.select(F.coalesce("summary.success_rate_pct", F.lit(0.0)).alias("base_rate"), F.posexplode("results").alias("ordinal", "r")).select("base_rate", "ordinal", "r.*")
 
 
 def html_report(rows: list[dict]) -> str:
@@ -108,6 +136,28 @@ def html_report(rows: list[dict]) -> str:
     return f"<!doctype html><table>{body}</table>"
 
 
+MANIFEST = "version int, run_id string, at timestamp, folder string, rows long"
+
+
 def write_run(df: DataFrame, path: str, run_id: str) -> None:
-    """A run's artifacts under its id; other runs stay."""
-    df.withColumn("run_id", F.lit(run_id)).write.partitionBy("run_id").mode("append").parquet(path)
+    """A run's artifacts: first the rows in a folder of their own, and then the manifest that makes them visible.
+
+    A run that fails while it writes leaves a folder that no manifest names, so that read_runs does not see it. The same
+    run may be written again; its newest manifest counts.
+    """
+    import uuid
+
+    spark = df.sparkSession
+    folder = f"{path}/data/{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    rows = spark.read.parquet(folder).count()
+    manifest = spark.createDataFrame([(2, run_id, folder, rows)], "version int, run_id string, folder string, rows long").withColumn("at", F.current_timestamp())
+    manifest.select("version", "run_id", "at", "folder", "rows").coalesce(1).write.mode("append").json(f"{path}/manifest")
+
+
+def read_runs(spark: SparkSession, path: str) -> DataFrame | None:
+    """The rows of all runs that have a manifest, with their run_id; None where there is none. The driver holds one row a run."""
+    manifests = read_store(spark, f"{path}/manifest", MANIFEST)
+    newest = manifests.groupBy("run_id").agg(F.max_by("folder", F.struct("at", "folder")).alias("folder")).orderBy("run_id").collect()
+    each = [spark.read.parquet(folder).withColumn("run_id", F.lit(run)) for run, folder in newest]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), each) if each else None

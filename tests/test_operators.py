@@ -3,6 +3,7 @@
 import random
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.functions import predicates as p
@@ -194,15 +195,39 @@ def test_readers(spark, tmp_path):
     lines = spark.createDataFrame([("__T__{\"f\": \"x\"}",), ("noise",), ("__T__{bad",)], "line string")
     assert [r["f"] for r in texts.parse_traces(lines, "line", "__T__", "f string").collect()] == ["x"]
     texts.write_run(log, str(tmp_path / "runs"), "r1")
-    assert spark.read.parquet(str(tmp_path / "runs")).filter("run_id = 'r1'").count() == 2
+    texts.write_run(log.limit(1), str(tmp_path / "runs"), "r2")
+    broken = log.withColumn("n", F.when(F.col("n") == 2, F.raise_error(F.lit("lost"))).otherwise(F.col("n")))
+    for run in ("r2", "r3"):
+        with pytest.raises(Exception, match="lost"):
+            texts.write_run(broken, str(tmp_path / "runs"), run)
+    seen = {(r["run_id"], r["type"]) for r in texts.read_runs(spark, str(tmp_path / "runs")).collect()}
+    assert {x for x in seen if x[0] == "r1"} == {("r1", "error"), ("r1", "llm_call")} and {x[0] for x in seen} == {"r1", "r2"} and len(seen) == 3
+    texts.write_run(log, str(tmp_path / "runs"), "r2")
+    assert texts.read_runs(spark, str(tmp_path / "runs")).count() == 4 and texts.read_runs(spark, str(tmp_path / "no")) is None
+    (tmp_path / "base.json").write_text('{"summary": {"success_rate_pct": 50.5}, "results": [{"name": "a", "state": "Validated"}, {"name": "b"}]}')
+    (tmp_path / "bare.json").write_text('{"results": [{"name": "c", "state": "x"}]}')
+    base = texts.read_baseline(spark, [str(tmp_path / "base.json"), str(tmp_path / "bare.json")], "name string, state string")
+    assert {tuple(r) for r in base.collect()} == {(50.5, 0, "a", "Validated"), (50.5, 1, "b", None), (0.0, 0, "c", "x")}
+
+
+def test_header_types(spark):
+    head = "#ifndef A\n#define A 1\n#define _B\n// no\ntypedef struct {\n  int x;\n\n} T;\nint f(void);\n  enum E { P };\nint (*typedef)(*);\n#endif\n"
+    big = "struct S {\n" + "  int a;\n" * 8 + "};\n"
+    headers = spark.createDataFrame([("d", "a.h", head), ("d", "big.h", big), ("d", "none.h", "int x;"), ("e", "a.h", "enum F { Q };"), ("d", "null.h", None)], "folder string, name string, text string")
+    source = '#include <a.h>\n#include "big.h"\n  #include  "a.h"  \n#include "missing.h"\n#include "none.h"\n#include "big.h"\nint y;'
+    df = spark.createDataFrame([("d", 1, source), ("e", 2, source), ("d", 3, ""), ("d", 4, None)], "folder string, id int, src string")
+    got = {r["id"]: (r["included"], r["types"]) for r in texts.header_types(df, ["folder"], "id", "src", headers, 12).collect()}
+    lines_of_a = "#define A 1\ntypedef struct {\n  int x;\n\n} T;\n  enum E { P };\nint (*typedef)(*);"
+    assert got == {1: (["big.h", "none.h"], f"// === From big.h ===\n{big[:-1]}\n\n// === From none.h ===\n"), 2: (["a.h"], "// === From a.h ===\nenum F { Q };")}
+    wide = {r["id"]: r["included"] for r in texts.header_types(df, ["folder"], "id", "src", headers, 17).collect()}
+    assert wide[1] == ["big.h", "a.h", "none.h"]
+    assert texts.header_types(df, ["folder"], "id", "src", headers, 17).filter("id = 1").first()["types"].split("\n\n// === From a.h ===\n")[1].startswith(lines_of_a)
 
 
 def test_compiler_output_and_headers(spark):
     out = "error[E0499]: cannot `x`\n  --> f.rs:12:5\nerror: expected `;`\n --> f.rs:3:1\nerror: aborting due to 2\n --> f.rs:9:9\n"
     df = spark.createDataFrame([(1, out, '#include "a.h"\n#include "big.h"\n#include "b.h"\n')], "id int, text string, src string")
     assert [tuple(r)[2:] for r in rewrites.parse_errors(df, "text", ["id"]).orderBy("ordinal").collect()] == [("E0499", 12, "cannot `x`"), ("SYNTAX", 3, "expected `;`")]
-    heads = {"a.h": "x\n" * 900, "big.h": "x\n" * 700, "b.h": "x"}
-    assert texts.include_headers(df, heads, "src", "id").first()["included"] == ["a.h", "b.h"]
     assert "&lt;b&gt;" in texts.html_report([{"name": "<b>", "score": 95}])
 
 
