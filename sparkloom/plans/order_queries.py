@@ -234,12 +234,103 @@ _ODD = _PRE.format("use libc::c_int;", "#[derive(Debug)]|", "use rand::Rng;").re
 REWRITE_LINE_RULES = f"""{WITH_UNITS} SELECT id, sha256(CASE WHEN id % 2 = 0 THEN '{_EVEN}' ELSE '{_ODD}' END || rust) AS out FROM texts"""
 
 
+#: Lines before the translations, behind k % 5 lines of padding: @K is the key, @M one of seven numbers, @R what line 2 imports.
+BLOCK_LINES = [
+    "use a::Read;", "use b::@R;", "let v = n.value@M;", "fn gen@K<T: Debug, U>(x: T) {", "    self.go@K(x.clone());", "}", "impl D for X@M {", "}", "impl fmt::D for X@M {", "    fn fmt() {}", "}",
+    "fn go@K(x: i32) {}", "#[cfg(windows)]", "fn win() {", "}", "fn opt(v: Option<&mut T>) {", "    if let Some(x) = v {}", "}",
+]
+
+
+def block_errors(spark, sf_dir):
+    """Translations, each twice, behind lines that the block rules look for, and errors on or beside those lines."""
+    k, p = c("id"), (c("id") % 5).cast("int")
+    pre = F.lit("\n".join(BLOCK_LINES) + "\n")
+    for mark, word in (("@K", k.cast("string")), ("@M", (k % 7).cast("string")), ("@R", F.when(k % 3 == 0, "Read").otherwise("Wr"))):
+        pre = F.replace(pre, F.lit(mark), word)
+    e = lambda when, code, line, message: F.when(when, F.struct(F.lit(code).alias("code"), line.cast("int").alias("line"), message.alias("message")))
+    named = lambda before, word, behind: F.concat(F.lit(before), word.cast("string"), F.lit(behind))
+    always = F.lit(True)
+    errors = F.array_compact(
+        F.array(
+            e(always, "E0252", p + 2, F.lit("the name `Read` is defined multiple times")),
+            e(always, "E0428", p + 20, F.lit("the name `add_numbers` is defined multiple times")),
+            e(always, "E0609", p + 1 + k % 4, named("no field `value", k % 7, "` on type `N`")),
+            e(always, "E0599", F.when(k % 2 == 0, p + 5).otherwise(p + 13), F.lit("trait bounds were not satisfied")),
+            e(always, "E0599", F.when(k % 3 == 1, p + 5).otherwise(p + 6), named("no method named `go", k, "` found")),
+            e(always, "E0119", F.when(k % 2 == 1, p + 9).otherwise(p + 30), named("conflicting implementations of trait `D` for type `X", k % 7, "`")),
+            e(k % 4 == 0, "E0433", p + 13, F.lit("no windows here")),
+            e(k % 5 < 3, "E0382", p + 17, F.lit("use of moved value: `v`")),
+        )
+    )
+    text = F.concat(F.repeat(F.lit("// pad\n"), p), pre, c("rust"), F.lit("\n"), c("rust"))
+    return units(spark, sf_dir).select("id", text.alias("rust"), errors.alias("errors"))
+
+
 def rewrite_block_rules(spark, sf_dir):
-    """X-01..X-03 X-07 X-09 X-11..X-14 and the line rules, in order."""
-    e = lambda code, line, message: F.struct(F.lit(code).alias("code"), F.lit(line).alias("line"), F.lit(message).alias("message"))
-    errors = F.array(e("E0428", 1, "the name `add_numbers` is defined multiple times"), e("E0252", 1, "the name `Read` is defined multiple times"), e("E0609", 2, "no field `value` on type `Node`"))
-    rows = units(spark, sf_dir).select("id", c("rust").alias("before"), F.concat(F.lit("use a::Read;\nlet v = n.value;\n"), c("rust"), F.lit("\n"), c("rust")).alias("rust"), errors.alias("errors"))
-    return rewrites.apply_rules(rows, "rust", "errors").select("id", F.sha2("rust", 256).alias("out"), F.regexp_count("rust", F.lit(r"fn add_numbers\(")).alias("kept"))
+    """X-00..X-14: all rules in their order, from fences to the closing of braces."""
+    return rewrites.apply_rules(block_errors(spark, sf_dir), "rust", "errors").select("id", F.sha2("rust", 256).alias("out"), F.regexp_count("rust", F.lit(r"fn add_numbers\(")).alias("kept"))
+
+
+def _stage(name: str, lines: str) -> str:
+    """A table of lines numbered anew."""
+    return f"{name} AS MATERIALIZED (SELECT id, row_number() OVER (PARTITION BY id ORDER BY n) AS n, x FROM ({lines}))"
+
+
+def _deep(name: str, of: str) -> str:
+    """Lines with the depth of braces before and after them, and whether they open any."""
+    return f"""{name} AS MATERIALIZED (SELECT id, n, x, contains(x, '{{') AS opens, sum((length(x) - length(replace(x, '{{', ''))) - (length(x) - length(replace(x, '}}', '')))) OVER (PARTITION BY id ORDER BY n) AS d,
+        coalesce(sum((length(x) - length(replace(x, '{{', ''))) - (length(x) - length(replace(x, '}}', '')))) OVER (PARTITION BY id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM {of})"""
+
+
+def _end(deep: str, row: str) -> str:
+    """The last line of the block that opens at or after a row."""
+    opened = f"(SELECT min(o.n) FROM {deep} o WHERE o.id = {row}.id AND o.n >= {row}.n AND o.opens)"
+    return f"coalesce((SELECT min(z.n) FROM {deep} z WHERE z.id = {row}.id AND z.n >= {opened} AND z.d <= {row}.b), (SELECT max(z.n) FROM {deep} z WHERE z.id = {row}.id))"
+
+
+def _rewrite_block_rules() -> str:
+    pre = "'" + "\n".join(BLOCK_LINES).replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+    for mark, word in (("@K", "id::VARCHAR"), ("@M", "(id % 7)::VARCHAR"), ("@R", "CASE WHEN id % 3 = 0 THEN 'Read' ELSE 'Wr' END")):
+        pre = f"replace({pre}, '{mark}', {word})"
+    text = f"repeat('// pad' || chr(10), (id % 5)::INT) || {pre} || chr(10) || rust || chr(10) || rust"
+    bare = "regexp_replace(regexp_replace(x, '\"([^\"\\\\]|\\\\.)*(\"|$)', '', 'g'), '//.*', '')"
+    stages = [
+        f"t AS (SELECT id, {text} AS text FROM texts)",
+        _stage("s0", f"SELECT id, unnest({d_rows('text')}) AS x, generate_subscripts({d_rows('text')}, 1) AS n FROM t"),
+        # X-07: of lines that import Read, the first stays.
+        _stage("s1", "SELECT *, trim(x) LIKE 'use %' AND (contains(x, '::Read') OR trim(x) LIKE '%Read;') AS imports FROM s0 QUALIFY NOT imports OR row_number() OVER (PARTITION BY id, imports ORDER BY n) = 1"),
+        # X-02: of functions of the name, the first stays.
+        _deep("d1", "s1"),
+        f"h1 AS (SELECT id, n, {_end('d1', 'd')} AS last, row_number() OVER (PARTITION BY id ORDER BY n) AS r FROM d1 d WHERE contains(x, 'fn add_numbers('))",
+        _stage("s2", "SELECT s.* FROM s1 s WHERE NOT EXISTS (SELECT 1 FROM h1 WHERE h1.id = s.id AND r > 1 AND s.n BETWEEN h1.n AND h1.last)"),
+        # X-09: the first of the later impls near the error goes.
+        _deep("d2", "s2"),
+        "sizes AS (SELECT id, max(n) AS size, id % 5 + CASE WHEN id % 2 = 1 THEN 9 ELSE 30 END AS line FROM s2 GROUP BY id)",
+        "i2 AS (SELECT d.*, row_number() OVER (PARTITION BY d.id ORDER BY d.n) AS r FROM d2 d WHERE regexp_matches(trim(x), '^impl\\s+(\\w+::)*D\\s+for\\s+(\\w+::)*X' || (id % 7)))",
+        f"h2 AS (SELECT i.id, i.n, {_end('d2', 'i')} AS last FROM i2 i JOIN sizes USING (id) WHERE r > 1 AND i.n BETWEEN greatest(line - 3, 0) AND least(line + 2, size) + 5 QUALIFY row_number() OVER (PARTITION BY i.id ORDER BY i.n) = 1)",
+        _stage("s3", "SELECT s.* FROM s2 s WHERE NOT EXISTS (SELECT 1 FROM h2 WHERE h2.id = s.id AND s.n BETWEEN h2.n AND h2.last)"),
+        # X-11: what stands under the Windows switch becomes comments.
+        _deep("d3", "s3"),
+        f"h3 AS (SELECT w.id, w.n - 1 AS n, {_end('d3', 'w')} AS last FROM d3 w JOIN s3 q ON q.id = w.id AND q.n = w.n - 1 AND q.x = '#[cfg(windows)]' WHERE w.id % 4 = 0)",
+        _stage("s4", "SELECT s.id, s.n, CASE WHEN h.n IS NULL THEN x WHEN s.n = h.n THEN '// R11 (non-Windows): ' || trim(x) ELSE '// R11: ' || trim(x) END AS x FROM s3 s LEFT JOIN h3 h ON h.id = s.id AND s.n BETWEEN h.n AND h.last"),
+        # X-01: the last head at or above the error, if it has parameters of type.
+        "near AS (SELECT id, arg_max(n, n) AS n, arg_max(regexp_matches(x, 'fn\\s+\\w+\\s*<[^>]+>'), n) AS generic FROM (SELECT *, id % 5 + CASE WHEN id % 2 = 0 THEN 5 ELSE 13 END AS line FROM s4) WHERE n <= line AND (regexp_matches(x, 'fn\\s+\\w+\\s*<[^>]+>') OR (n < line AND regexp_matches(trim(x), '^(pub )?fn '))) GROUP BY id)",
+        _stage("s5", "SELECT s.id, s.n, CASE WHEN near.generic AND NOT contains(regexp_extract(x, 'fn\\s+\\w+\\s*<[^>]+>'), 'Clone') THEN regexp_replace(x, '(\\w+): (\\w+)([,>])', '\\1: \\2 + Clone\\3', 'g') ELSE x END AS x FROM s4 s LEFT JOIN near ON near.id = s.id AND near.n = s.n"),
+        # X-03, line by line, since no match spans lines here.
+        "s6 AS (SELECT id, n, CASE WHEN id % 5 < 3 THEN regexp_replace(regexp_replace(x, '([(,]\\s*)v: Option<&mut ', '\\1mut v: Option<&mut '), 'if let Some\\((\\w+)\\) = v\\b', 'if let Some(ref mut \\1) = v') ELSE x END AS x FROM s5)",
+        # X-13 and X-14.
+        "s7 AS (SELECT id, n, CASE WHEN abs(n - (id % 5 + 1 + id % 4)) <= 1 THEN replace(x, '.value' || (id % 7), '.m_value' || (id % 7)) ELSE x END AS x FROM s6)",
+        "s8 AS MATERIALIZED (SELECT id, n, CASE WHEN n = id % 5 + CASE WHEN id % 3 = 1 THEN 5 ELSE 6 END THEN replace(replace(x, 'self.go' || id || '(', 'go' || id || '(self, '), 'Self::go' || id || '(', 'go' || id || '(') ELSE x END AS x FROM s7)",
+        # X-04
+        f"z AS (SELECT id, n, x, sum((length(y) - length(replace(y, '{{', ''))) - (length(y) - length(replace(y, '}}', '')))) OVER (PARTITION BY id ORDER BY n) AS depth FROM (SELECT *, CASE WHEN ltrim(x) LIKE '//%' THEN '' ELSE {bare} END AS y FROM s8))",
+        "e AS (SELECT id, max(n) FILTER (WHERE depth = 0) AS cut, arg_max(depth, n) AS final, count(*) AS n FROM z GROUP BY id)",
+        """done AS (SELECT e.id, CASE WHEN any_value(final) <= 0 THEN string_agg(x, chr(10) ORDER BY z.n) WHEN any_value(cut) < any_value(e.n) THEN string_agg(x, chr(10) ORDER BY z.n) FILTER (WHERE z.n <= cut) || chr(10) || '// truncated ' || any_value(e.n - cut) || ' lines of incomplete code'
+            ELSE string_agg(x, chr(10) ORDER BY z.n) || chr(10) || repeat('}', any_value(final)::INT) || ' // auto-closed: truncated output' END AS text FROM z JOIN e ON e.id = z.id GROUP BY e.id)""",
+    ]
+    return f"{WITH_UNITS}, " + ",\n".join(stages) + " SELECT id, sha256(text) AS out, len(regexp_extract_all(text, 'fn add_numbers\\('))::INT AS kept FROM done"
+
+
+REWRITE_BLOCK_RULES = _rewrite_block_rules()
 
 
 # ---------------------------------------------------------------- graphs
@@ -392,6 +483,6 @@ QUERIES = {
 ORACLE_SQL = {
     "brace_depth": BRACE_DEPTH, "truncate_balanced": TRUNCATE_BALANCED, "directive_forward_fill": DIRECTIVE_FORWARD_FILL, "file_markers": FILE_MARKERS, "comment_blocks": COMMENT_BLOCKS, "best_version_fold": BEST_VERSION,
     "greedy_chunks": GREEDY_CHUNKS, "module_split": MODULE_SPLIT, "stall_counter": STALL_COUNTER, "merge_imports": MERGE_IMPORTS, "first_definition_wins": FIRST_DEFINITION, "set_pack": SET_PACK, 
-    "rewrite_line_rules": REWRITE_LINE_RULES, "sliding_limiter": SLIDING_LIMITER, "anchored_limiter": ANCHORED_LIMITER, "incremental_state": INCREMENTAL_STATE, "fuzz_summary": FUZZ_SUMMARY,
+    "rewrite_line_rules": REWRITE_LINE_RULES, "rewrite_block_rules": REWRITE_BLOCK_RULES, "sliding_limiter": SLIDING_LIMITER, "anchored_limiter": ANCHORED_LIMITER, "incremental_state": INCREMENTAL_STATE, "fuzz_summary": FUZZ_SUMMARY,
     "test_value_combos": TEST_VALUE_COMBOS, "trace_groups": TRACE_GROUPS, "column_stats": COLUMN_STATS,
 }
