@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import string
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import prepare, scratch, stored
@@ -38,16 +38,30 @@ def lowered(text):
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, string.ascii_uppercase, string.ascii_lowercase))
 
 
-def term_counts(rows: DataFrame) -> DataFrame:
-    """(lang, source, term, n, docs): occurrences, and rows that hold the term.
+def numbered_groups(rows: DataFrame) -> tuple[DataFrame, Column]:
+    """(g, lang, source) of all groups, stored, and the column that gives a row's g: a hash that no two groups share.
+
+    A key of a number and a term takes less than one of three texts wherever terms are counted.
+    """
+    groups = stored(rows.select("lang", "source").distinct(), "groups")
+    for seed in range(64):
+        g = F.xxhash64(F.lit(seed), "lang", "source")
+        known = groups.select(g.alias("g"), "lang", "source")
+        if known.groupBy("g").count().filter("count > 1").isEmpty():
+            return known, g
+    raise ValueError("no hash tells all groups apart")
+
+
+def term_counts(rows: DataFrame, g: Column) -> DataFrame:
+    """(g, term, n, docs) of each group: occurrences, and rows that hold the term.
 
     Texts are split between terms, which takes a fraction of the time that matching terms one by one does.
     """
-    terms = rows.select("lang", "source", F.array_remove(F.split(lowered(F.col("text")), BETWEEN), "").alias("terms"))
+    terms = rows.select(g.alias("g"), F.array_remove(F.split(lowered(F.col("text")), BETWEEN), "").alias("terms"))
     # Each row gives all its terms, and then each distinct one again to count the row once.
-    both = terms.select("lang", "source", F.posexplode(F.array("terms", F.array_distinct("terms"))).alias("once", "terms"))
-    each = both.select("lang", "source", "once", F.explode("terms").alias("term"))
-    return each.groupBy("lang", "source", "term").agg(F.sum(1 - F.col("once")).alias("n"), F.sum("once").alias("docs"))
+    both = terms.select("g", F.posexplode(F.array("terms", F.array_distinct("terms"))).alias("once", "terms"))
+    each = both.select("g", "once", F.explode("terms").alias("term"))
+    return each.groupBy("g", "term").agg(F.sum(1 - F.col("once")).alias("n"), F.sum("once").alias("docs"))
 
 
 def source_divergence(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text", least: int = 10, top: int = TOP) -> DataFrame:
@@ -69,10 +83,12 @@ def source_divergence(docs: DataFrame, lang_col: str = "lang", source_col: str =
     named = [(lang_col, "lang"), (source_col, "source"), (text_col, "text")]
     rows = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(to) for c, to in named])
     with scratch(spark):
-        terms = term_counts(rows).groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("total"), F.collect_list(F.struct("source", "n")).alias("counts"))
+        known, g = numbered_groups(rows)
+        counts = term_counts(rows, g).join(known, "g").select("lang", "source", "term", "n", "docs")
+        terms = counts.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("total"), F.collect_list(F.struct("source", "n")).alias("counts"))
         kept = stored(terms.filter(F.col("docs") >= least).select("lang", "term", "total", "counts"), "terms", keep=True)
         totals = kept.select("lang", F.explode("counts").alias("c")).groupBy("lang", F.col("c.source").alias("source")).agg(F.sum("c.n").alias("n"))
-        groups = rows.select("lang", "source").distinct().join(totals, ["lang", "source"], "left")
+        groups = known.select("lang", "source").join(totals, ["lang", "source"], "left")
         places = groups.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("source", F.coalesce("n", F.lit(0)).alias("n")))).alias("sources"))
         sizes = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("total").alias("all"))
         langs = stored(places.join(sizes, "lang", "left").select("lang", "sources", F.coalesce("v", F.lit(0)).alias("v"), F.coalesce("all", F.lit(0)).alias("all")), "sources", keep=True)
