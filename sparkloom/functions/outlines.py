@@ -149,6 +149,49 @@ def brief_of(signature: Column, name: Column) -> Column:
     return F.concat(F.lit("Migrated from C function `"), name, F.lit("`"), given, gives, F.lit("."))
 
 
+def comments_above(text: Column, name: Column) -> Column:
+    """W-04: the comments right above the first line that holds a name and a parenthesis, as an array of their lines.
+
+    Blank lines between do not matter. Line comments come in order; a block comment ends the search, and its lines come
+    first and from its last line up. Comment marks and blank lines of a block go.
+    """
+    bare = F.transform(lines(text), strip)
+    at = F.array_position(F.transform(bare, lambda x: F.contains(x, name) & x.contains("(") & ~x.startswith("//")), True).cast("int")
+    above = F.reverse(F.slice(bare, 1, F.greatest(at - 1, F.lit(1))))
+    stop = F.array_position(F.transform(above, lambda x: ~x.startswith("//") & (x != "")), True).cast("int")
+    taken = F.when(stop > 0, F.slice(above, 1, F.greatest(stop - 1, F.lit(0)))).otherwise(above)
+    single = F.transform(F.filter(taken, lambda x: x.startswith("//")), lambda x: strip(F.regexp_replace(x, r"\A(?://)+", "")))
+    rest = F.when((stop > 0) & F.get(above, stop - 1).endswith("*/"), F.slice(above, F.greatest(stop, F.lit(1)), F.size(above))).otherwise(F.array().cast("array<string>"))
+    begin = F.array_position(F.transform(rest, lambda x: x.contains("/*")), True).cast("int")
+    block = F.when(begin > 0, F.slice(rest, 1, F.greatest(begin, F.lit(1)))).otherwise(rest)
+    cleaned = F.transform(block, lambda x: strip(F.regexp_replace(F.regexp_replace(F.regexp_replace(x, r"\A(?:/\*)+", ""), r"(?:\*/)+\z", ""), r"\A\*+", "")))
+    return F.when(at > 0, F.concat(F.filter(cleaned, lambda x: x != ""), F.reverse(single))).when(text.isNotNull(), F.array().cast("array<string>"))
+
+
+#: Heads of functions that get documentation, and the note on unsafe code.
+DOCUMENTED = ("pub fn ", "fn ", "pub unsafe fn ", "unsafe fn ")
+SAFETY_NOTE = ("///", "/// # Safety", "/// This function contains unsafe code.")
+
+
+def documented(rust: Column, comments: Column, name: Column) -> Column:
+    """C-28: a Rust text with documentation above each function that has none: the C comments, or else a brief of its head.
+
+    A function has documentation if the last line before it that is not blank is some. `comments` should be a column of
+    its own. Each line ends with a line feed.
+    """
+    of = F.transform(lines(rust), lambda x: F.struct(x.alias("line"), strip(x).alias("bare")))
+    given = F.transform(comments, lambda x: F.concat(F.lit("/// "), x))
+    note = F.when(rust.contains("unsafe "), F.array(*[F.lit(x) for x in SAFETY_NOTE])).otherwise(F.array().cast("array<string>"))
+
+    def step(has: Column, x: Column) -> tuple[Column, Column]:
+        brief = F.array(F.concat(F.lit("/// "), brief_of(x["bare"], name)))
+        wants = _starts(x["bare"], DOCUMENTED) & ~has
+        out = F.when(wants, F.concat(F.when(F.size(given) > 0, given).otherwise(brief), note, F.array(x["line"]))).otherwise(F.array(x["line"]))
+        return F.when(x["bare"] == "", has).otherwise(x["bare"].startswith("///")), out
+
+    return F.array_join(F.transform(emitting(of, F.lit(False), step, "string"), lambda x: F.concat(x, F.lit("\n"))), "")
+
+
 def heads_in(text: Column) -> Column:
     """Lower-case names x for which `fn x(` stands in a text: those in blocks, too."""
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"fn (\w+)\("), F.lit(1)))

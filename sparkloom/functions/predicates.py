@@ -102,6 +102,29 @@ def model_tier(difficulty: Column, task: Column) -> Column:
     return F.when(difficulty == "hard", "large").when((difficulty == "medium") | (task == "analysis"), "medium").otherwise("small")
 
 
+#: Lines up to which a small and a medium model do, for whole projects and for interfaces of modules.
+PROJECT_BANDS, INTERFACE_BANDS = (300, 1500), (100, 500)
+
+
+def tier_by_lines(n_lines: Column, bands: tuple[int, int], provider: Column, local: Column) -> Column:
+    """F-17: a local model if one is named; one model of a provider without sizes; else small, medium or large by lines."""
+    sized = F.when(n_lines <= bands[0], "small").when(n_lines <= bands[1], "medium").otherwise("large")
+    return F.when(local.isNotNull(), F.concat(F.lit("local:"), local)).when(provider == "deepseek", "chat").otherwise(sized)
+
+
+def provider_tier(difficulty: Column, task: Column, provider: Column, keys: Column) -> Column:
+    """F-17: who translates and at which size: the local model where asked for, else the preferred provider with a key.
+
+    `keys` are the providers that have one. The provider with two sizes takes its reasoning one for hard units.
+    """
+    two = F.when(difficulty == "hard", "deepseek:reasoner").otherwise("deepseek:chat")
+    other = F.array_contains(keys, "deepseek")
+    return (
+        F.when(provider == "ollama", "ollama").when((provider == "deepseek") & other, two)
+        .when(F.array_contains(keys, "anthropic"), F.concat(F.lit("anthropic:"), model_tier(difficulty, task))).when(other, two).otherwise("ollama")
+    )
+
+
 def error_severity(kind: Column) -> Column:
     return F.when(kind.isin("Validation", "Tool"), "Low").when(kind.isin("Agent", "NoSourceFiles", "Orchestration"), "Medium").when(kind.isin("Io", "BudgetExceeded"), "High")
 

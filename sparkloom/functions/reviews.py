@@ -41,3 +41,11 @@ def confidence(text: Column) -> Column:
 def summary(text: Column) -> Column:
     plain = F.try_element_at(F.filter(lines(text), lambda x: (strip(x) != "") & ~x.startswith("#")), F.lit(1))
     return F.coalesce(_first_of(text, "### Summary", "**Summary:**"), plain, F.lit("No summary available."))
+
+
+def spec_results(output: Column) -> Column:
+    """A-15: (passed, failed, failures) of a test run's output: lines of a test that is ok, and the lines of those that are not."""
+    tests = F.filter(lines(output), lambda x: x.contains("test "))
+    failures = F.filter(tests, lambda x: x.contains("... FAILED"))
+    passed = F.size(F.filter(tests, lambda x: x.contains("... ok")))
+    return F.struct(passed.alias("passed"), F.size(failures).alias("failed"), failures.alias("failures"))

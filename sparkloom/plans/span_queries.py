@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import detectors, outlines, predicates
+from ..functions import detectors, outlines, reviews
+from ..functions import predicates as p
 from ..functions import text as t
 from ..operators import chunks, graph, joins, sets, spans
 from ..operators.ordered import exploded_lines
 from ..sources.texts import header_types
-from .programs import CONTRACT, PROGRAMS_SQL, headers, modules, programs
-from .unit_queries import _TRIMMED
+from .programs import CONTRACT, PROGRAMS_SQL, headers, modules, parts, programs
+from .unit_queries import _TRIMMED, read
 from .units import WITH_UNITS, d_has, d_rows, units
 
 c = F.col
@@ -169,7 +170,7 @@ def traceable(spark, sf_dir):
     before = F.regexp_extract(source, r"(?s)\A(.*?)\w+\s*\(", 1)
     returns = F.regexp_replace(F.regexp_replace(before, r"[\s*]+\z", ""), r"\s+", " ")
     typed = rows.select("file", "function", head.alias("head"), returns.alias("returns"))
-    return typed.select("file", "function", "returns", predicates.not_instrumentable(c("head"), c("returns")).alias("reason"))
+    return typed.select("file", "function", "returns", p.not_instrumentable(c("head"), c("returns")).alias("reason"))
 
 
 def _list(values) -> str:
@@ -186,10 +187,10 @@ TRACEABLE = f"""
     typed AS (SELECT file, body, n, {_TYPE} AS t FROM (SELECT *, list_filter(regexp_split_to_array(p, '\\s+'), lambda x: x <> '') AS w FROM each) WHERE len(w) > 0),
     faults AS (SELECT file, body, n, CASE WHEN contains(t, 'void*') OR contains(t, 'void *') THEN 'void* parameter: ' || t WHEN starts_with(t, 'struct ') OR starts_with(t, 'union ') THEN 'struct/union parameter: ' || t
         WHEN contains(t, '(*') THEN 'function pointer parameter: ' || t WHEN contains(t, 'FILE') THEN 'FILE parameter: ' || t
-        WHEN t IN ({_list(predicates.SCALAR_TYPES)}) OR t IN ({_list(predicates.TEXT_TYPES)}) OR (t LIKE '%*' AND regexp_replace(trim(rtrim(t, '*')), '^const ', '') IN ({_list(predicates.SCALAR_TYPES)})) THEN NULL ELSE 'unsupported parameter type: ' || t END AS fault FROM typed),
+        WHEN t IN ({_list(p.SCALAR_TYPES)}) OR t IN ({_list(p.TEXT_TYPES)}) OR (t LIKE '%*' AND regexp_replace(trim(rtrim(t, '*')), '^const ', '') IN ({_list(p.SCALAR_TYPES)})) THEN NULL ELSE 'unsupported parameter type: ' || t END AS fault FROM typed),
     firsts AS (SELECT file, body, arg_min(fault, n) AS fault FROM faults WHERE fault IS NOT NULL GROUP BY ALL)
     SELECT i.file, function, returns, CASE WHEN contains(head, '...') THEN 'variadic function' WHEN fault IS NOT NULL THEN fault
-        WHEN returns = 'void' OR returns IN ({_list(predicates.SCALAR_TYPES)}) OR returns IN ({_list(predicates.TEXT_TYPES)}) OR returns LIKE '%*' THEN NULL ELSE 'unsupported return type: ' || returns END AS reason
+        WHEN returns = 'void' OR returns IN ({_list(p.SCALAR_TYPES)}) OR returns IN ({_list(p.TEXT_TYPES)}) OR returns LIKE '%*' THEN NULL ELSE 'unsupported return type: ' || returns END AS reason
     FROM inside i LEFT JOIN firsts f ON f.file = i.file AND f.body = i.body"""
 
 
@@ -341,13 +342,86 @@ INCLUDED_TYPES = f"""
     SELECT file, list('h' || k || '.h' ORDER BY i) AS included, sha256(string_agg('// === From h' || k || '.h ===' || chr(10) || t, chr(10) || chr(10) ORDER BY i)) AS types FROM fold JOIN held USING (k) GROUP BY file"""
 
 
+#: What stands above a part's C text, by the key.
+COMMENTS = ["", "// one\n//// two of @N\n\n", "/* three\n * four\n *\n ** five */\n// six\n", "int before;\n\n/* seven */", "// eight\n/** nine\n*/\n\n"]
+
+
+def documented_rust(spark, sf_dir):
+    """C-28 W-04: Rust functions of each part with the comments of its C function, or a brief of their signature."""
+    k = c("k")
+    above = F.replace(F.element_at(F.array(*[F.lit(x) for x in COMMENTS]), (k % 5 + 1).cast("int")), F.lit("@N"), c("name"))
+    rust = F.concat("rust", F.when(k % 3 == 0, "\n/// known\n\npub fn two(a: i32, b: u8) -> u8 { 1 }\n").otherwise("\npub unsafe fn three() {}"))
+    rows = parts(spark, sf_dir).select("k", "name", F.concat(above, "c").alias("c"), rust.alias("rust"))
+    found = rows.select("k", "name", "rust", outlines.comments_above(c("c"), c("name")).alias("comments"))
+    return found.select("k", "comments", F.sha2(outlines.documented(c("rust"), c("comments"), c("name")), 256).alias("rust"))
+
+
+_BRIEF = "'/// Migrated from C function `' || name || '`' || CASE WHEN regexp_extract(y, {0}, 1) <> '' THEN ' with ' || array_to_string(list_transform(string_split(regexp_extract(y, {0}, 1), ','), lambda p: trim(split_part(p, ':', 1))), ', ') ELSE '' END || CASE WHEN regexp_extract(y, {0}, 2) NOT IN ('', '()') THEN ', returning `' || regexp_extract(y, {0}, 2) || '`' ELSE '' END || '.'".format(r"'fn\s+\w+\(([^)]*)\)(?:\s*->\s*(\S+))?'")
+#: Lines by number: the last one above the function that is neither blank nor a line comment decides.
+DOCUMENTED_RUST = f"""
+    WITH {PROGRAMS_SQL},
+    p AS (SELECT k, name, replace([{_list(COMMENTS)}][k % 5 + 1], '@N', name) || c AS c, rust || CASE WHEN k % 3 = 0 THEN {_quoted(chr(10) + "/// known" + chr(10) * 2 + "pub fn two(a: i32, b: u8) -> u8 { 1 }" + chr(10))} ELSE {_quoted(chr(10) + "pub unsafe fn three() {}")} END AS rust FROM functions),
+    l AS (SELECT k, name, trim(unnest({d_rows('c')})) AS y, generate_subscripts({d_rows('c')}, 1) AS n FROM p),
+    f AS (SELECT k, min(n) AS n FROM l WHERE contains(y, name) AND contains(y, '(') AND NOT starts_with(y, '//') GROUP BY k),
+    s AS (SELECT f.k, f.n, (SELECT max(l.n) FROM l WHERE l.k = f.k AND l.n < f.n AND NOT starts_with(l.y, '//') AND l.y <> '') AS stop FROM f),
+    b AS (SELECT s.*, CASE WHEN (SELECT y LIKE '%*/' FROM l WHERE l.k = s.k AND l.n = s.stop) THEN (SELECT coalesce(max(l.n) FILTER (WHERE contains(l.y, '/*')), 1) FROM l WHERE l.k = s.k AND l.n <= s.stop) END AS begin FROM s),
+    marks AS (SELECT l.k, 0 AS part, -l.n AS n, trim(regexp_replace(regexp_replace(regexp_replace(y, '^(/\\*)+', ''), '(\\*/)+$', ''), '^\\*+', '')) AS x FROM l JOIN b ON b.k = l.k AND l.n BETWEEN b.begin AND b.stop
+        UNION ALL SELECT l.k, 1, l.n, trim(regexp_replace(y, '^(//)+', '')) FROM l JOIN b ON b.k = l.k AND l.n > coalesce(b.stop, 0) AND l.n < b.n WHERE starts_with(y, '//')),
+    notes AS (SELECT p.k, coalesce(list(x ORDER BY part, n) FILTER (WHERE part = 1 OR x <> ''), []) AS comments FROM p LEFT JOIN marks ON marks.k = p.k GROUP BY p.k),
+    r AS (SELECT k, name, contains(rust, 'unsafe ') AS risky, unnest({d_rows('rust')}) AS x, generate_subscripts({d_rows('rust')}, 1) AS n FROM p),
+    h AS (SELECT *, trim(x) AS y, last_value(CASE WHEN trim(x) <> '' THEN starts_with(trim(x), '///') END IGNORE NULLS) OVER (PARTITION BY k ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS has FROM r),
+    o AS (SELECT h.k, n, CASE WHEN regexp_matches(y, '^(pub )?(unsafe )?fn ') AND NOT coalesce(has, false) THEN CASE WHEN len(comments) > 0 THEN array_to_string(list_transform(comments, lambda c: '/// ' || c), chr(10)) ELSE {_BRIEF} END || chr(10)
+        || CASE WHEN risky THEN {_quoted(chr(10).join(outlines.SAFETY_NOTE) + chr(10))} ELSE '' END ELSE '' END || x || chr(10) AS x FROM h JOIN notes ON notes.k = h.k)
+    SELECT o.k, any_value(comments) AS comments, sha256(string_agg(x, '' ORDER BY n)) AS rust FROM o JOIN notes ON notes.k = o.k GROUP BY o.k"""
+
+
+def routing_bands(spark, sf_dir):
+    """F-17: models of each file by its lines, by the lines of an interface, and by difficulty, provider and keys."""
+    rows = programs(spark, sf_dir).select("file", t.line_count(c("c")).alias("n"), t.difficulty(c("c")).alias("difficulty"))
+    k = c("file")
+    provider = F.element_at(F.array(F.lit("anthropic"), F.lit("deepseek"), F.lit("ollama")), (k % 3 + 1).cast("int"))
+    keys = F.array_compact(F.array(F.when(k % 2 == 0, "anthropic"), F.when(k % 5 < 3, "deepseek")))
+    local = F.when(k % 7 == 0, "small-coder")
+    return rows.select(
+        "file", p.tier_by_lines(c("n") * (k % 30), p.PROJECT_BANDS, provider, local).alias("project"), p.tier_by_lines(c("n"), p.INTERFACE_BANDS, provider, local).alias("interface"),
+        p.provider_tier(c("difficulty"), F.when(k % 4 == 0, "analysis").otherwise("repair"), provider, keys).alias("unit"),
+    )
+
+
+def _routing_bands() -> str:
+    from .unit_queries import d_difficulty
+
+    bands = lambda n, small, large: f"CASE WHEN file % 7 = 0 THEN 'local:small-coder' WHEN file % 3 = 1 THEN 'chat' WHEN {n} <= {small} THEN 'small' WHEN {n} <= {large} THEN 'medium' ELSE 'large' END"
+    two = "CASE WHEN hard = 'hard' THEN 'deepseek:reasoner' ELSE 'deepseek:chat' END"
+    return f"""
+        WITH {PROGRAMS_SQL}, c_texts AS (SELECT file, c, {d_rows('c')} AS c_rows FROM programs), r AS (SELECT file, len(c_rows) AS n, {d_difficulty('c')} AS hard FROM c_texts)
+        SELECT file, {bands('n * (file % 30)', *p.PROJECT_BANDS)} AS project, {bands('n', *p.INTERFACE_BANDS)} AS interface,
+            CASE WHEN file % 3 = 2 THEN 'ollama' WHEN file % 3 = 1 AND file % 5 < 3 THEN {two} WHEN file % 2 = 0 THEN 'anthropic:' || CASE WHEN hard = 'hard' THEN 'large' WHEN hard = 'medium' OR file % 4 = 0 THEN 'medium' ELSE 'small' END
+                WHEN file % 5 < 3 THEN {two} ELSE 'ollama' END AS unit FROM r"""
+
+
+def spec_lines(spark, sf_dir):
+    """A-15: tests that passed and failed, from the lines of their output."""
+    k = c("p_partkey")
+    word = lambda i: F.element_at(F.array(*[F.lit(x) for x in ("ok", "FAILED", "ignored", "ok (slow)", "panicked")]), ((k + i * i) % 5 + 1).cast("int"))
+    each = F.transform(F.sequence(F.lit(0), (k % 9).cast("int")), lambda i: F.concat(F.when((k + i) % 4 == 0, "spec ").otherwise("test "), F.lit("f"), i.cast("string"), F.lit(" ... "), word(i)))
+    rows = read(spark, sf_dir, "part").select(k.alias("id"), reviews.spec_results(F.concat(F.lit("running\n"), F.array_join(each, "\n"), F.lit("\n\ntest result: FAILED\n"))).alias("r"))
+    return rows.select("id", "r.passed", "r.failed", "r.failures")
+
+
+SPEC_LINES = """
+    WITH e AS (SELECT p_partkey AS id, i, CASE WHEN (p_partkey + i) % 4 = 0 THEN 'spec ' ELSE 'test ' END || 'f' || i || ' ... ' || (['ok', 'FAILED', 'ignored', 'ok (slow)', 'panicked'])[(p_partkey + i * i) % 5 + 1] AS x FROM part, range(0, 9) t(i) WHERE i <= p_partkey % 9)
+    SELECT id, (count(*) FILTER (WHERE contains(x, 'test ') AND contains(x, '... ok')))::INT AS passed, (count(*) FILTER (WHERE contains(x, 'test ') AND contains(x, '... FAILED')))::INT AS failed,
+        coalesce(list(x ORDER BY i) FILTER (WHERE contains(x, 'test ') AND contains(x, '... FAILED')), []) AS failures FROM e GROUP BY id"""
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        function_spans, call_graph, module_waves, module_order, direct_dependencies, memory_functions, traceable, missing_counterparts, error_to_function, module_assembly, structural_chunks, source_summary, program_hints, semantic_hints, included_types,
+        function_spans, call_graph, module_waves, module_order, direct_dependencies, memory_functions, traceable, missing_counterparts, error_to_function, module_assembly, structural_chunks, source_summary, program_hints, semantic_hints, included_types, documented_rust, routing_bands, spec_lines,
     )
 }
 ORACLE_SQL = {
     "function_spans": FUNCTION_SPANS, "call_graph": CALL_GRAPH, "module_waves": MODULE_WAVES, "module_order": MODULE_ORDER, "direct_dependencies": DIRECT_DEPENDENCIES, "memory_functions": MEMORY_FUNCTIONS, "traceable": TRACEABLE,
-    "missing_counterparts": MISSING_COUNTERPARTS, "error_to_function": ERROR_TO_FUNCTION, "module_assembly": MODULE_ASSEMBLY, "structural_chunks": STRUCTURAL_CHUNKS, "source_summary": SOURCE_SUMMARY, "program_hints": PROGRAM_HINTS, "semantic_hints": SEMANTIC_HINTS, "included_types": INCLUDED_TYPES,
+    "missing_counterparts": MISSING_COUNTERPARTS, "error_to_function": ERROR_TO_FUNCTION, "module_assembly": MODULE_ASSEMBLY, "structural_chunks": STRUCTURAL_CHUNKS, "source_summary": SOURCE_SUMMARY, "program_hints": PROGRAM_HINTS, "semantic_hints": SEMANTIC_HINTS, "included_types": INCLUDED_TYPES, "documented_rust": DOCUMENTED_RUST, "routing_bands": _routing_bands(), "spec_lines": SPEC_LINES,
 }
