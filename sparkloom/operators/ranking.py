@@ -43,23 +43,42 @@ def relevant_patterns(units: DataFrame, patterns: DataFrame, text: str, key: str
     return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def similar_signatures(queries: DataFrame, store: DataFrame, key: str, k: int) -> DataFrame:
+#: Rows of stored shapes up to which each shape asked for is held against all of them.
+COMPARED_SHAPES = 100_000
+
+
+def similar_signatures(queries: DataFrame, store: DataFrame, key: str, k: int, bound: int = COMPARED_SHAPES) -> DataFrame:
     """The k stored rows (ordinal, returns, params, quality) most like each query (key, returns, params), ties by ordinal.
 
     10 for the return type, 5 for as many parameters, 3 for each of the query's that the other has, a tenth of quality.
 
     The score sees of a query its shape, the return type and the parameters in any order, and of a stored row its shape,
     where a repeated parameter counts once, and the tenth. So each distinct shape of a query is ranked once, against the
-    k best rows of each stored shape: no other row of a shape can be among the k best. Those are broadcast.
+    k best rows of each stored shape: no other row of a shape can be among the k best.
+
+    Up to `bound` such rows are broadcast. More of them meet what is asked for by what they share: return type, number
+    of parameters, each parameter. A row that shares nothing scores its tenth only, so the k best of all by that, k rows,
+    stand for the rest.
     """
     shape = F.struct(F.col("returns").alias("r"), F.size("params").alias("n"), F.array_sort(F.array_distinct("params")).alias("s"))
     s = store.select("ordinal", shape.alias("shape"), F.floor(F.col("quality") / 10).alias("tenth"))
     best = F.row_number().over(Window.partitionBy("shape").orderBy(F.desc("tenth"), "ordinal"))
     s = s.withColumn("__at", best).filter(F.col("__at") <= k).select("ordinal", "shape", "tenth")
     q = queries.select(key, F.struct(F.col("returns").alias("r"), F.array_sort("params").alias("p")).alias("asked"))
-    shared = F.size(F.filter("asked.p", lambda x: F.array_contains("shape.s", x)))
-    score = F.when(F.col("asked.r") == F.col("shape.r"), 10).otherwise(0) + F.when(F.size("asked.p") == F.col("shape.n"), 5).otherwise(0) + shared * 3 + F.col("tenth")
-    scored = q.select("asked").distinct().crossJoin(F.broadcast(s)).select("asked", "ordinal", score.cast("int").alias("score"))
+    asked = q.select("asked").distinct()
+    if s.limit(bound + 1).count() <= bound:
+        shared = F.size(F.filter("asked.p", lambda x: F.array_contains("shape.s", x)))
+        score = F.when(F.col("asked.r") == F.col("shape.r"), 10).otherwise(0) + F.when(F.size("asked.p") == F.col("shape.n"), 5).otherwise(0) + shared * 3 + F.col("tenth")
+        scored = asked.crossJoin(F.broadcast(s)).select("asked", "ordinal", score.cast("int").alias("score"))
+    else:
+        sign = lambda kind, value, points: F.struct(F.concat(F.lit(kind), value.cast("string")).alias("sign"), F.lit(points).alias("points"))
+        signs = lambda r, n, p: F.concat(F.array(sign("r", r, 10), sign("n", n, 5)), F.transform(p, lambda x: sign("p", x, 3)))
+        mine = asked.select("asked", F.explode(signs(F.col("asked.r"), F.size("asked.p"), F.col("asked.p"))).alias("x")).select("asked", "x.*")
+        held = s.select("ordinal", F.explode(signs(F.col("shape.r"), F.col("shape.n"), F.col("shape.s"))).alias("x")).select("ordinal", "x.sign")
+        met = mine.join(held, "sign").groupBy("asked", "ordinal").agg(F.sum("points").alias("points"))
+        first = F.broadcast(s.orderBy(F.desc("tenth"), "ordinal").limit(k).select("ordinal"))  # k rows
+        every = met.unionByName(asked.crossJoin(first).withColumn("points", F.lit(0).cast("long"))).groupBy("asked", "ordinal").agg(F.max("points").alias("points"))
+        scored = every.join(s.select("ordinal", "tenth"), "ordinal").select("asked", "ordinal", (F.col("points") + F.col("tenth")).cast("int").alias("score"))
     rank = F.row_number().over(Window.partitionBy("asked").orderBy(F.desc("score"), "ordinal"))
     ranked = scored.withColumn("rank", rank).filter(F.col("rank") <= k)
     return q.join(ranked, q["asked"].eqNullSafe(ranked["asked"])).select(key, "ordinal", "score", "rank")

@@ -16,6 +16,22 @@ def abbreviated_source(spark, sf_dir):
     return units(spark, sf_dir).select("id", outlines.abbreviated(c("c"), 6).alias("outline"))
 
 
+_BRACES = lambda mark: f"(length(x) - length(replace(x, '{mark}', '')))"
+_ELIDED = f"CASE WHEN b = 1 THEN ['{outlines.ELIDED}'] ELSE []::VARCHAR[] END"
+#: Lines one by one: the depth of braces, and whether a body is being left out.
+ABBREVIATED_SOURCE = f"""{WITH_UNITS},
+    l AS MATERIALIZED (SELECT id, unnest(c_rows) AS x, generate_subscripts(c_rows, 1) AS n FROM texts),
+    m AS MATERIALIZED (SELECT *, {_BRACES('{')} AS up, {_BRACES('{')} - {_BRACES('}')} AS change, regexp_matches(trim(x), '^(int|void) main') AS main, regexp_matches(trim(x), '^(#include|#define|typedef|struct |enum |union )') AS kept FROM l),
+    scan AS (
+        SELECT DISTINCT id, 0::BIGINT AS n, 0::BIGINT AS depth, 0 AS body, []::VARCHAR[] AS out FROM m
+        UNION ALL SELECT m.id, m.n, CASE WHEN enters THEN s.depth + change WHEN inside THEN greatest(s.depth + change, 0) ELSE greatest(s.depth + change, 0) END,
+            CASE WHEN enters THEN 1 WHEN inside AND s.depth + change <= 0 THEN 0 WHEN inside THEN 2 ELSE b END,
+            CASE WHEN inside AND s.depth + change <= 0 THEN list_append({_ELIDED}, '}}') WHEN inside THEN {_ELIDED} ELSE [m.x] END
+        FROM scan s JOIN m ON m.id = s.id AND m.n = s.n + 1, LATERAL (SELECT CASE WHEN main THEN 0 ELSE s.body END AS b), LATERAL (SELECT s.depth = 0 AND up > 0 AND NOT main AND NOT kept AS enters), LATERAL (SELECT NOT enters AND b > 0 AND s.depth > 0 AS inside)),
+    short AS (SELECT id, array_to_string(flatten(list(out ORDER BY n)), chr(10)) AS t FROM scan GROUP BY id)
+    SELECT id, CASE WHEN len(c_rows) <= 6 THEN c ELSE t END AS outline FROM texts LEFT JOIN short USING (id)"""
+
+
 def fenced_answers(spark, sf_dir):
     """C-16: answers that hold JSON in a tagged fence, in a plain one, bare, cut short, or in a fence left open."""
     k, body = c("p_partkey"), F.concat(F.lit('{"difficulty": "'), c("p_name"), F.lit('", "risks": '), c("p_size").cast("string"), F.lit("}"))
@@ -55,4 +71,4 @@ BRIEF_DOCS = rf"""{WITH_UNITS},
         || CASE WHEN gives NOT IN ('', '()') THEN ', returning `' || gives || '`' ELSE '' END || '.' AS brief FROM h"""
 
 QUERIES = {f.__name__: f for f in (abbreviated_source, fenced_answers, brief_docs)}
-ORACLE_SQL = {"fenced_answers": FENCED_ANSWERS, "brief_docs": BRIEF_DOCS}
+ORACLE_SQL = {"abbreviated_source": ABBREVIATED_SOURCE, "fenced_answers": FENCED_ANSWERS, "brief_docs": BRIEF_DOCS}

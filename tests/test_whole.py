@@ -14,7 +14,9 @@ SF = "/root/testdata/sf0.01"
 def test_signature_shapes_lose_no_row(spark):
     rows = [(i, "abc"[i * 5 % 3], [["x", "y", "z"][(i * j + i) % 3] for j in range(i % 4)], i * 37 % 101) for i in range(120)]
     df = spark.createDataFrame(rows, "ordinal int, returns string, params array<string>, quality int")
-    got = ranking.similar_signatures(df.withColumnRenamed("ordinal", "query"), df, "query", 3).collect()
+    asked = df.withColumnRenamed("ordinal", "query")
+    got = ranking.similar_signatures(asked, df, "query", 3).collect()
+    assert set(map(tuple, ranking.similar_signatures(asked, df, "query", 3, bound=5).collect())) == set(map(tuple, got))
     want = set()
     for q, returns, params, _ in rows:
         scores = [((r == returns) * 10 + (len(p) == len(params)) * 5 + 3 * sum(x in p for x in params) + n // 10, i) for i, r, p, n in rows]
