@@ -342,6 +342,16 @@ INCLUDED_TYPES = f"""
     SELECT file, list('h' || k || '.h' ORDER BY i) AS included, sha256(string_agg('// === From h' || k || '.h ===' || chr(10) || t, chr(10) || chr(10) ORDER BY i)) AS types FROM fold JOIN held USING (k) GROUP BY file"""
 
 
+def ordered_uses(spark, sf_dir):
+    """U-04: use lines of each unit where they first stand, over its modules in order."""
+    rows = exploded_lines(modules(spark, sf_dir), "text", ["unit", "module"]).withColumn("line", t.strip(c("line"))).filter(c("line").startswith("use "))
+    return sets.ordered_distinct(rows, "unit", "line", ["module", "pos"]).select("unit", "module", "pos", "line")
+
+
+ORDERED_USES = f"""
+    WITH {PROGRAMS_SQL}, l AS (SELECT unit, module, trim(unnest({d_rows('text')})) AS line, generate_subscripts({d_rows('text')}, 1) - 1 AS pos FROM modules)
+    SELECT unit, module, pos::INT AS pos, line FROM l WHERE starts_with(line, 'use ') QUALIFY row_number() OVER (PARTITION BY unit, line ORDER BY module, pos) = 1"""
+
 #: What stands above a part's C text, by the key.
 COMMENTS = ["", "// one\n//// two of @N\n\n", "/* three\n * four\n *\n ** five */\n// six\n", "int before;\n\n/* seven */", "// eight\n/** nine\n*/\n\n"]
 
@@ -418,10 +428,10 @@ SPEC_LINES = """
 QUERIES = {
     f.__name__: f
     for f in (
-        function_spans, call_graph, module_waves, module_order, direct_dependencies, memory_functions, traceable, missing_counterparts, error_to_function, module_assembly, structural_chunks, source_summary, program_hints, semantic_hints, included_types, documented_rust, routing_bands, spec_lines,
+        function_spans, call_graph, module_waves, module_order, direct_dependencies, memory_functions, traceable, missing_counterparts, error_to_function, module_assembly, structural_chunks, source_summary, program_hints, semantic_hints, included_types, documented_rust, routing_bands, spec_lines, ordered_uses,
     )
 }
 ORACLE_SQL = {
     "function_spans": FUNCTION_SPANS, "call_graph": CALL_GRAPH, "module_waves": MODULE_WAVES, "module_order": MODULE_ORDER, "direct_dependencies": DIRECT_DEPENDENCIES, "memory_functions": MEMORY_FUNCTIONS, "traceable": TRACEABLE,
-    "missing_counterparts": MISSING_COUNTERPARTS, "error_to_function": ERROR_TO_FUNCTION, "module_assembly": MODULE_ASSEMBLY, "structural_chunks": STRUCTURAL_CHUNKS, "source_summary": SOURCE_SUMMARY, "program_hints": PROGRAM_HINTS, "semantic_hints": SEMANTIC_HINTS, "included_types": INCLUDED_TYPES, "documented_rust": DOCUMENTED_RUST, "routing_bands": _routing_bands(), "spec_lines": SPEC_LINES,
+    "missing_counterparts": MISSING_COUNTERPARTS, "error_to_function": ERROR_TO_FUNCTION, "module_assembly": MODULE_ASSEMBLY, "structural_chunks": STRUCTURAL_CHUNKS, "source_summary": SOURCE_SUMMARY, "program_hints": PROGRAM_HINTS, "semantic_hints": SEMANTIC_HINTS, "included_types": INCLUDED_TYPES, "documented_rust": DOCUMENTED_RUST, "routing_bands": _routing_bands(), "spec_lines": SPEC_LINES, "ordered_uses": ORDERED_USES,
 }
