@@ -60,3 +60,29 @@ def test_briefs(spark):
 
 def test_heads_in_blocks(spark):
     assert one(spark, "impl A { pub fn Go(&self) {} fn go() {} }", o.heads_in) == ["go"]
+
+
+def test_comments_above_a_function(spark):
+    cases = {
+        "/* a\n * b\n */\n\n// c\n//// d\nint f(int x) {": ["b", "a", "c", "d"],
+        "// far\nint y;\n// near\n\nint f(void);": ["near"],
+        "int x;\nint f(void) { /* own */": [],
+        "int f(void) /* own */": ["int f(void) /* own"],
+        "// f(1) is no head\nvoid g();\nint f(int a)": [],
+        " text */\nint f()": ["text"],
+        "no function": [],
+        "": [],
+    }
+    rows = spark.createDataFrame([(x,) for x in [*cases, None]], "t string")
+    got = {r["t"]: r["c"] for r in rows.select("t", o.comments_above(F.col("t"), F.lit("f")).alias("c")).collect()}
+    assert got == {**cases, None: None}
+
+
+def test_documentation_goes_where_there_is_none(spark):
+    rust = "use x;\nfn f(a: i32) -> u8 {\n}\n/// has\n\npub fn g() {}\n  unsafe fn h() {}\n"
+    rows = spark.createDataFrame([(rust, ["one", "two"]), (rust, []), ("", []), (None, [])], "r string, c array<string>")
+    got = [r[0] for r in rows.select(o.documented(F.col("r"), F.col("c"), F.lit("f")).alias("d")).collect()]
+    note = "///\n/// # Safety\n/// This function contains unsafe code.\n"
+    docs = "/// one\n/// two\n" + note
+    assert got[0] == f"use x;\n{docs}fn f(a: i32) -> u8 {{\n}}\n/// has\n\npub fn g() {{}}\n{docs}  unsafe fn h() {{}}\n"
+    assert "/// Migrated from C function `f` with a, returning `u8`.\n" + note + "fn f(" in got[1] and got[2:] == ["", None]
