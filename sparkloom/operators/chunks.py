@@ -24,7 +24,7 @@ def data_blocks(df: DataFrame, key: str, text: str) -> DataFrame:
     """
     bare = strip(F.col("line"))
     head = (bare.startswith("static ") | bare.startswith("const ")) & bare.contains("[") & bare.contains("= {")
-    rows = exploded_lines(df.repartition(F.col(key)), text, [key])
+    rows = exploded_lines(df, text, [key])
     blocks = block_ends(rows, [key], "pos", "line", head)
     before = F.max("end").over(Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))
     outer = blocks.withColumn("before", before).filter((F.coalesce("before", F.lit(-1)) < F.col("pos")) & (F.col("end") - F.col("pos") >= LONG_TABLE))

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.spread import spread
+
 C_PIECES = [
     "int add_numbers(int a, int b) {\n    return a + b;\n}",
     "static void *make_node(size_t n) {\n    void *p = malloc(n);\n    return p;\n}",
@@ -56,7 +58,7 @@ def _pick(values: list[str], at: Column) -> Column:
 def units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, name, c, rust, unsafe, warnings, compiles, same, score, errors, state, iteration, calls, max_calls, tokens, budget)."""
     k = F.col("p_partkey")
-    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey")
+    part = spread(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey"), "p_partkey")
     # A piece is chosen by the key and its quotients, so that neighbours differ in more than one.
     c = F.concat_ws("\n", _pick(C_PIECES, k), _pick(C_PIECES, F.floor(k / 16)), _pick(C_PIECES, F.floor(k / 7)), F.repeat(F.lit(FILLER), (k % 53).cast("int")))
     rust = F.concat_ws("\n", _pick(RUST_PIECES, k), _pick(RUST_PIECES, F.floor(k / 16)), _pick(RUST_PIECES, F.floor(k / 5)), _pick(RUST_PIECES, F.floor(k / 11)))
