@@ -42,15 +42,19 @@ def occurrences(text: Column, part: str) -> Column:
     return ((F.length(text) - F.length(F.replace(text, F.lit(part), F.lit("")))) / F.lit(len(part))).cast("int")
 
 
+#: White space as \s takes it.
+BLANKS = " \t\n\x0b\f\r"
+
+
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+\z", "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def lines(text: Column) -> Column:
     """Lines without their ends (LF or CR LF); a last line feed starts no line, and empty text has none."""
     parts = F.split(text, "\n", -1)
     full = F.when(F.length(text) == 0, F.array().cast("array<string>")).when(text.endswith("\n"), F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
-    return F.transform(full, lambda x: F.regexp_replace(x, r"\r\z", ""))
+    return F.when(text.contains("\r"), F.transform(full, lambda x: F.regexp_replace(x, r"\r\z", ""))).otherwise(full)
 
 
 def line_count(text: Column) -> Column:

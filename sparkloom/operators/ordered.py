@@ -24,7 +24,7 @@ def code_only(line: Column) -> Column:
 
 def brace_delta(line: Column) -> Column:
     code = code_only(line)
-    return F.regexp_count(code, F.lit(r"\{")) - F.regexp_count(code, F.lit(r"\}"))
+    return F.when(line.contains("{") | line.contains("}"), F.regexp_count(code, F.lit(r"\{")) - F.regexp_count(code, F.lit(r"\}"))).when(line.isNotNull(), 0)
 
 
 def brace_depth(df: DataFrame, text: str, key: str) -> DataFrame:

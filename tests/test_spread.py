@@ -36,3 +36,18 @@ def test_what_is_no_sign_is_one_token(spark):
     assert [r["token"] for r in rows] == ["\n  int a = 1 + b / 2", ";", "\n", "  #define X (", "\n\n int ", "f\n (", "int x", ")", " ", "/* ( */", " ", "{", " y \n z"]
     found = spans.c_functions(spans.c_tokens(df, "id", "t"), "id").collect()
     assert [tuple(r) for r in found] == [(1, 1, "f", 5, 7, 38, 61, 68)]
+
+
+def test_rules_only_fold_lines_that_matter(spark):
+    """Rules of blocks look at the lines that can change: long texts without any take little more than being split."""
+    from pyspark.sql import functions as F
+
+    from sparkloom.operators import rewrites
+
+    e = '[{"code": "E0252", "line": 2, "message": "the name `Read` is defined multiple times"}, {"code": "E0119", "line": 9, "message": "conflicting implementations of trait `D` for type `X`"}]'
+    source = "use a::Read;\n\tpub use b::{c::Read, Wr};\nuse d::Wr;\nlet z = Read;\n\x0cuse e::Read;\r\nimpl D for X {\n}\n impl q::D for r::X {\n}\n```\nfn f() {}\n"
+    df = spark.createDataFrame([(source,), (None,), ("",)], "t string").withColumn("e", F.from_json(F.lit(e), "array<struct<code:string,line:int,message:string>>"))
+    got = [r["t"] for r in rewrites.apply_rules(df, "t", "e").collect()]
+    assert got == ["use a::Read;\nuse d::Wr;\nlet z = Read;\nimpl D for X {\n}\nfn f() {}", None, ""]
+    texts = df.select(rewrites.truncated_functions(F.split("t", "\n"), F.col("e")).alias("r"))
+    assert ", ---)" in texts._jdf.queryExecution().optimizedPlan().toString()
