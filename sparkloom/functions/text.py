@@ -67,8 +67,8 @@ def filled_lines(text: Column) -> Column:
 
 def token_estimate(text: Column) -> Column:
     """Words and marks, one more for every 8 word characters, a quarter for each line after the first; 1 at least, 0 if empty."""
-    word = r"[\p{IsAlphabetic}\p{N}_]"
-    words, chars = F.regexp_count(text, F.lit(f"{word}+")), F.regexp_count(text, F.lit(word))
+    word = r"\p{IsAlphabetic}\p{N}_"
+    words, chars = F.regexp_count(text, F.lit(f"[{word}]++")), F.length(F.regexp_replace(text, f"[^{word}]++", ""))
     marks = F.regexp_count(text, F.lit(r"[^\p{IsAlphabetic}\p{N}_\s\p{Z}\u0085]"))
     total = words + marks + F.floor(chars / 8) + F.floor(F.greatest(line_count(text) - 1, F.lit(0)) / 4)
     return F.when(F.length(text) == 0, F.lit(0)).otherwise(F.greatest(total, F.lit(1))).cast("long")

@@ -266,9 +266,9 @@ MESSAGE_SIMPLIFY = f"""{WITH_UNITS}
 
 def agg_pack(spark, sf_dir):
     """A-01 A-12 A-14 A-15 A-17: progress, signals, checks and token estimates of all units."""
-    u = units(spark, sf_dir)
-    n = t.token_estimate(c("c"))
-    iterations = p.repair_iterations(F.lit(5), t.line_count(c("c")), F.lit(False))
+    u = units(spark, sf_dir).withColumn("n", t.token_estimate(c("c"))).withColumn("rows", t.line_count(c("c")))  # once for all sums
+    n = c("n")
+    iterations = p.repair_iterations(F.lit(5), c("rows"), F.lit(False))
     estimate = n + 500 + (n * 2 + F.floor(n * 3 / 2)) + n * 4 * iterations + n * 3
     failed = c("state").isin("FallbackUnsafe", "CompilesUnsafe", "CompilesLowScore", "NearlyCompiles")
     return u.groupBy((c("id") % 10).alias("batch")).agg(

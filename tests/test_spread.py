@@ -51,3 +51,8 @@ def test_rules_only_fold_lines_that_matter(spark):
     assert got == ["use a::Read;\nuse d::Wr;\nlet z = Read;\nimpl D for X {\n}\nfn f() {}", None, ""]
     texts = df.select(rewrites.truncated_functions(F.split("t", "\n"), F.col("e")).alias("r"))
     assert ", ---)" in texts._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_tokens_are_estimated_once_for_all_sums(spark):
+    df = entry.queries()["agg_pack"](spark, SF)
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("IsAlphabetic") == 3
