@@ -56,3 +56,8 @@ def test_rules_only_fold_lines_that_matter(spark):
 def test_tokens_are_estimated_once_for_all_sums(spark):
     df = entry.queries()["agg_pack"](spark, SF)
     assert df._jdf.queryExecution().optimizedPlan().toString().count("IsAlphabetic") == 3
+
+
+def test_scores_of_documents_stay_with_them(spark):
+    df = entry.queries()["pattern_relevance"](spark, SF)
+    assert plan(df).count("Exchange hashpartitioning(doc_id") == 1 and "REPARTITION_BY_NUM" in plan(df)
