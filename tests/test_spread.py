@@ -1,5 +1,7 @@
 """Small keys that large texts are made from are dealt to many tasks, and what is made of them stays there."""
 
+import pytest
+
 import __spark_entry__ as entry
 from sparkloom.operators import spans
 from sparkloom.operators.spread import spread
@@ -61,3 +63,9 @@ def test_tokens_are_estimated_once_for_all_sums(spark):
 def test_scores_of_documents_stay_with_them(spark):
     df = entry.queries()["pattern_relevance"](spark, SF)
     assert plan(df).count("Exchange hashpartitioning(doc_id") == 1 and "REPARTITION_BY_NUM" in plan(df)
+
+
+@pytest.mark.parametrize("query", ["predicate_pack"])
+def test_keys_are_dealt_once_and_texts_stay(spark, query):
+    df = entry.queries()[query](spark, SF)
+    assert plan(df).count("Exchange") == 1 and "REPARTITION_BY_NUM" in plan(df) and df.rdd.getNumPartitions() == 8
