@@ -65,7 +65,7 @@ def test_scores_of_documents_stay_with_them(spark):
     assert plan(df).count("Exchange hashpartitioning(doc_id") == 1 and "REPARTITION_BY_NUM" in plan(df)
 
 
-@pytest.mark.parametrize("query", ["predicate_pack", "text_pack", "documented_rust", "brace_depth"])
+@pytest.mark.parametrize("query", ["predicate_pack", "text_pack", "documented_rust", "brace_depth", "file_markers"])
 def test_keys_are_dealt_once_and_texts_stay(spark, query):
     df = entry.queries()[query](spark, SF)
     assert plan(df).count("Exchange") == 1 and "REPARTITION_BY_NUM" in plan(df) and df.rdd.getNumPartitions() == 8
