@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import batch, prepare, row_chunks, stored, table_path, word_bounds, word_hashes
+from .shared import batch, give_back, prepare, row_chunks, stored, table_path, word_bounds, word_hashes
 
 MAGIC = b"LRS1"
 LANES = 64
@@ -160,8 +160,10 @@ def unpack_segment(data: bytes, table: Table) -> tuple[np.ndarray, np.ndarray, i
 
 # ---------------------------------------------------------------- tokens
 
-CACHED_WORDS = 1_500_000
-ENCODE_BYTES = 1 << 22
+#: What a worker holds beside its batch: words whose ids it knows, text taken apart at a time, and words asked for at a time.
+CACHED_WORDS = 750_000
+ENCODE_BYTES = 1 << 20
+ASKED_WORDS = 8_000
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
 _MARK = np.zeros(256, bool)
@@ -204,19 +206,28 @@ class WordEncoder:
         ids = np.zeros(0, np.uint32)
         if alone:  # one word mark each
             texts = [" ".join([words[i] for i in alone[j : j + 500]]) for j in range(0, len(alone), 500)]
-            ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.tool.encode_batch_fast(texts, add_special_tokens=False)])
+            ids = np.concatenate([x for x, _ in self._asked(texts, ASKED_WORDS // 500)])
             stops = np.flatnonzero(self.ends[ids])
             if len(stops) != len(alone):
                 whole[:], ids = False, np.zeros(0, np.uint32)
             else:
                 n[whole] = np.diff(np.append(-1, stops))
         rest = np.flatnonzero(~whole).tolist()
-        other = [e.ids for e in self.tool.encode_batch_fast([words[i] for i in rest], add_special_tokens=False)]
-        n[rest] = [len(x) for x in other]
+        other, sizes = zip(*self._asked([words[i] for i in rest], ASKED_WORDS), strict=True)
+        n[rest] = np.concatenate(sizes)
         order = np.concatenate((np.flatnonzero(whole), rest)).astype(np.int64)
         begin = np.empty(len(words), np.int64)
         begin[order] = np.cumsum(n[order]) - n[order]
-        return np.append(ids, np.array([i for x in other for i in x], np.uint32)), begin, n
+        return np.concatenate((ids, *other)), begin, n
+
+    def _asked(self, texts: list[str], step: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(ids, how many each text has) of every step texts: the library's answers hold much beside ids, so few are kept at a time."""
+        out = [(np.zeros(0, np.uint32), np.zeros(0, np.int64))]
+        for lo in range(0, len(texts), step):
+            found = [e.ids for e in self.tool.encode_batch_fast(texts[lo : lo + step], add_special_tokens=False)]
+            n = np.fromiter(map(len, found), np.int64, len(found))
+            out.append((np.fromiter((i for x in found for i in x), np.uint32, int(n.sum())), n))
+        return out
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a string column end to end, and how many each row has."""
@@ -289,6 +300,7 @@ def write_tokens(docs: DataFrame, path: str, end_id: int, folder: str, id_col: s
     kind = "<u2" if small else "<u4"
 
     def tokenize(batches):
+        give_back()
         tool, first = encoder(path), 0
         for b in batches:
             ids, n = tool.encode(b.column(1))

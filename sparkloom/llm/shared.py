@@ -6,6 +6,7 @@ longer UTF-8 sequence, so everything here works on the bytes that Arrow hands ov
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 import uuid
@@ -19,6 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 ROWS_PER_BATCH = 1000
 CHUNK_BYTES = 1 << 21
+#: Bytes of words hashed at a time: some 60 bytes of numbers each, which so stay in a core's cache.
+HASHED_BYTES = 1 << 18
 
 
 def prepare(spark: SparkSession) -> None:
@@ -32,6 +35,14 @@ def prepare(spark: SparkSession) -> None:
         spark.conf.set(key, str(ROWS_PER_BATCH))
 
 
+def give_back() -> None:
+    """Returns memory that earlier tasks of this worker have freed: its allocators keep it, and the worker stays."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim:
+        trim(0)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir, which driver and executors see; a local one only where it is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -148,7 +159,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bo
     out = np.empty(len(starts), np.uint64)
     lo = 0
     while lo < len(starts):
-        hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + CHUNK_BYTES, "right")))
+        hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + HASHED_BYTES, "right")))
         s, n = starts[lo:hi], ends[lo:hi] - starts[lo:hi]
         begin = np.cumsum(n) - n
         within = np.arange(begin[-1] + n[-1]) - np.repeat(begin, n)

@@ -46,3 +46,40 @@ def test_files_give_what_the_library_gives(spark):
     assert [r[0] for r in got] == [w[0] for w in want]
     assert [r[1] for r in got] == [sum(r[2] for r in got[:n]) for n in range(len(got))]
     assert rans.packed_documents(df.limit(0), PATH).collect() == []
+
+
+def test_what_a_worker_holds_does_not_follow_its_batch():
+    """Hashing and encoding take a text apart in small pieces; ids do not depend on how many words are asked for at a time."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from sparkloom.llm import shared
+
+    rng = np.random.default_rng(1)
+    texts = [" ".join(f"w{x} {'abcdefghij'[x % 10] * (x % 7 + 1)}" for x in rng.integers(0, 4000, 2000).tolist()) for _ in range(200)]
+    column = pa.array(texts)
+    data, at = shared.string_bytes(column)
+    starts, ends, _ = shared.word_bounds(data, at)
+    assert len(data) > 3_500_000
+    tracemalloc.start()
+    hashes = shared.word_hashes(data, starts, ends)
+    hashing = tracemalloc.get_traced_memory()[1]
+    tool = rans.WordEncoder(PATH)
+    tracemalloc.reset_peak()
+    before = tracemalloc.get_traced_memory()[0]
+    ids, n = tool.encode(column)
+    encoding = tracemalloc.get_traced_memory()[1] - before
+    tracemalloc.stop()
+    assert hashing < 40_000_000 and encoding < 60_000_000
+    some = [0, 7, len(starts) - 1]
+    assert (hashes[some] == [shared.word_hashes(data[starts[i] : ends[i]], np.array([0]), ends[i : i + 1] - starts[i])[0] for i in some]).all()
+    words = ["alpha", "x1", "don't", "Beta", "42"] * 30
+    want = [tool.tool.encode(w, add_special_tokens=False).ids for w in words]
+    held, rans.ASKED_WORDS = rans.ASKED_WORDS, 500
+    try:
+        got, begin, sizes = tool.ask(words)
+    finally:
+        rans.ASKED_WORDS = held
+    assert [got[b : b + k].tolist() for b, k in zip(begin.tolist(), sizes.tolist(), strict=True)] == want
+    assert tool.ask([])[0].tolist() == [] and len(n) == 200 and n.sum() == len(ids)
